@@ -196,19 +196,19 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(v, root) for each vertex of the edges (a, b): root is the smallest vertex reachable.
 
-    Every round gives each vertex the least label of its neighbours and then of its label (pointer jumping), so the
-    rounds grow with the logarithm of the longest path. Each round is a table in the shared folder; the driver sees
-    only how many labels changed.
+    Every round points each vertex at the least of itself and its neighbours, and contracts the edges along these
+    pointers. A star, however large, is gone after one round, and every other component loses half of its vertices at
+    least, so the tables shrink from round to round. Each round is a table in the shared folder; the driver sees only whether
+    edges are left.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("root")), f"{name}-0")
-    for step in range(1, 200):
-        near = both.join(labels.select(F.col("v").alias("b"), "root"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
-        hop = labels.join(near, "v").select("v", F.least("root", "near").alias("up"), F.col("root").alias("old"))
-        jump = labels.select(F.col("v").alias("up"), F.col("root").alias("far"))
-        labels_new = cut(hop.join(jump, "up").select("v", F.least("up", "far").alias("root"), (F.least("up", "far") != F.col("old")).alias("moved")), f"{name}-{step}")
-        moved = labels_new.where("moved").limit(1).count()
-        labels = labels_new.select("v", "root")
-        if not moved:
+    left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    labels = None
+    for step in range(200):
+        both = left.select(F.col("a").alias("v"), F.col("b").alias("w")).union(left.select(F.col("b").alias("v"), F.col("a").alias("w")))
+        least = cut(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("up")), f"{name}-{step}")
+        labels = least.withColumnRenamed("up", "root") if labels is None else labels.join(least, F.col("root") == least["v"], "left").select(labels["v"], F.coalesce("up", "root").alias("root"))
+        ends = left.join(least.select(F.col("v").alias("a"), F.col("up").alias("c")), "a").join(least.select(F.col("v").alias("b"), F.col("up").alias("d")), "b")
+        left = cut(ends.where("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), f"{name}-{step}-edges")
+        if left.isEmpty():
             break
-    return labels
+    return cut(labels, f"{name}-labels")

@@ -31,7 +31,7 @@ from trailknit.llm.common import LOWER, TURN, U64, mix
 
 WORDS = 5
 WIDTH, SIDE = 3, 12
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_ROWS, BLOCK_SHINGLES = 160, 1 << 20
 TILE = 2048
 
 
