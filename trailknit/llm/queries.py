@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailknit.llm import line_dedup, neardup, span_dedup, toxicity
+from trailknit.llm import fingerprints, line_dedup, neardup, secrets, span_dedup, toxicity
 from trailknit.llm.common import read
 
 
+def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints_and_edits(read(spark, sf_dir, "documents"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(read(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
@@ -32,6 +40,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_merkle_fingerprints": op1_merkle_fingerprints,
+    "op3_secret_scan": op3_secret_scan,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_substring_dedup": op8_substring_dedup,
