@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailknit.llm import fingerprints, line_dedup, neardup, secrets, span_dedup, toxicity
+import corpus_pipeline
+from trailknit.llm import decontaminate, fingerprints, line_dedup, mixing, neardup, secrets, span_dedup, toxicity
 from trailknit.llm.common import read
 
 
@@ -21,6 +22,19 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, source, rate, copy: documents repeated to the default target weights, shuffled."""
+    out = mixing.replicate(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.withColumn("rate", F.round("rate", 9))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, contaminated, item_ids, similarity (the highest), kept."""
+    found = decontaminate.find_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    leaked = F.size("item_ids") > 0
+    return found.select("doc_id", leaked.alias("contaminated"), "item_ids", "similarity", (~leaked).alias("kept"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text without the lines of repeated three-line windows, n_lines, n_removed."""
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -43,11 +57,15 @@ QUERIES = {
     "op1_merkle_fingerprints": op1_merkle_fingerprints,
     "op3_secret_scan": op3_secret_scan,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_poisson_mixing": op5_poisson_mixing,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_poisson_mixing": mixing.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
 }
