@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trailknit.llm import decontaminate, fingerprints, line_dedup, mixing, neardup, secrets, span_dedup, toxicity
+from trailknit.llm import decontaminate, fingerprints, line_dedup, mixing, neardup, quality, secrets, span_dedup, suffix_dedup, toxicity
 from trailknit.llm.common import read
 
 
@@ -14,6 +14,13 @@ def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints_and_edits(read(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+    held = F.coalesce(~quality.training_fold(), F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
@@ -46,6 +53,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.dedup_spans(read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_suffixes(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
@@ -55,12 +66,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_merkle_fingerprints": op1_merkle_fingerprints,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_secret_scan": op3_secret_scan,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_toxicity": op10_toxicity,
     "pipeline": corpus_pipeline.run,
 }
