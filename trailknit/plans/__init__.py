@@ -1,4 +1,7 @@
 """Queries over the driver's tables, each with an equivalent SQL text where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from trailknit.plans import groups
+
+MODULES = (groups,)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
