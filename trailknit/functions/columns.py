@@ -51,7 +51,7 @@ def parse_social_time(text: str | Column) -> Column:
 def category_path(category: str | Column) -> Column:
     """'A > B>C' as ['A', 'B', 'C']; empty parts go."""
     c = F.col(category) if isinstance(category, str) else category
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), SEP), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), SEP), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def prefix(path: Column, level: int | Column) -> Column:
