@@ -122,9 +122,10 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key().alias("text_key"), "text")
     found = texts.mapInArrow(_spans, "doc_id long, text_key long, start long, stop long, h1 long, h2 long")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_key").alias("tk"), F.col("start").alias("at"))
-    shared = found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    # a table of its own: a join of two plain shuffles is one whose hot partitions Spark can split
+    shared = common.cut(found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "span-shared")
     repeated = common.cut(found.join(shared, ["h1", "h2"]), "span-repeats")
-    first = repeated.groupBy("h1", "h2").agg(F.min(order).alias("first"))
+    first = common.cut(repeated.groupBy("h1", "h2").agg(F.min(order).alias("first")), "span-first")
     later = repeated.join(first, ["h1", "h2"]).where(order > F.col("first"))
     gone = later.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__tk")).agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     out = texts.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__tk")), "left").select("doc_id", "text", "gone")
