@@ -326,13 +326,15 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     found = texts.mapInArrow(_runs, RUN)
-    shared = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # a table of its own: a join of two plain shuffles is one whose hot partitions Spark can split
+    shared = common.cut(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "suffix-shared")
+    _release(spark)
     near = common.cut(found.join(shared, "anchor"), "suffix-runs")
     _release(spark)
     first = common.cut(near.where("not later").groupBy("anchor", "whole").agg(F.min("doc_id").alias("first")), "suffix-first")
     judged = near.join(first, ["anchor", "whole"])
     whole = judged.where("later or doc_id > first").select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + LENGTH).alias("stop"))
-    several = first.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    several = common.cut(first.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "suffix-several")
     lead = judged.where("not later and doc_id = first").join(several, "anchor")
     listed = common.cut(lead.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "n", "place")).alias("runs")), "suffix-listed")
     _release(spark)
