@@ -1,7 +1,7 @@
 """Queries over the driver's tables, each with an equivalent SQL text where SQL can express it."""
 
-from trailknit.plans import graph, groups
+from trailknit.plans import evaluation, graph, groups
 
-MODULES = (groups, graph)
+MODULES = (groups, graph, evaluation)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
