@@ -124,7 +124,8 @@ def test_large_buckets_are_carried_on(monkeypatch, plain, texts):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 500)
     import pyarrow as pa
 
-    part = bytes(random.Random(1).randrange(65, 91) for _ in range(130))
+    rng = random.Random(1)
+    part = bytes(rng.randrange(65, 91) for _ in range(130))
     rows = [(7, d, 10, part) for d in range(20)]
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["bucket", "doc_id", "lo", "bytes"])
     found = [r for b in suffix_dedup._blocks(iter([batch])) for r in b.to_pylist()]
