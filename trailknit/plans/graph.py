@@ -227,3 +227,22 @@ def ego_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(T.sql(T.CHECKINS, T.VENUES, select="SELECT CAST(len(string_split(category, '>')) AS INTEGER) AS depth, count(*) AS n FROM venues GROUP BY 1"))
 def depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.venues(spark, sf_dir).groupBy(F.size(F.split("category", ">")).alias("depth")).agg(F.count("*").alias("n"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS audit, CAST(0 AS BIGINT) AS violations" for a in ("group_size", "group_span", "self_loops", "leaked_friends", "tie_order")))
+def audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of rows that break a rule; all are 0."""
+    g, t = T.groups(spark, sf_dir), T.ties(spark, sf_dir)
+    old, new = T.friends(spark, sf_dir)
+    broken = {
+        "group_size": g.where(~F.size("members").between(2, 8)),
+        "group_span": g.where("end_minute - start_minute > 60 or end_minute < start_minute"),
+        "self_loops": K.clean(K.group_layer(g, t, T.venues(spark, sf_dir))).where("h = t"),
+        "leaked_friends": new.join(old, ["u1", "u2"], "left_semi"),
+        "tie_order": t.where("u1 >= u2"),
+    }
+    out = None
+    for name, df in broken.items():
+        one = df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("audit"), "violations")
+        out = one if out is None else out.union(one)
+    return out
