@@ -150,10 +150,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     member = linkable.select("doc_id", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"]).select("doc_id", "s1", "s2", "n_shingles", "rep")
     reps = linkable.join(classes.select("s1", "s2", "n_shingles", F.col("rep").alias("doc_id")), ["s1", "s2", "n_shingles", "doc_id"]).select("doc_id", "n_shingles", "keys")
     table = reps.select("doc_id", "keys").mapInArrow(_tables, "key long, doc long")
-    shared = table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # a table of its own: a join of two plain shuffles is one whose hot partitions Spark can split
+    shared = common.cut(table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "neardup-shared")
     entries = common.cut(table.join(shared, "key"), "neardup-buckets")
-    centre = entries.groupBy("key").agg(F.min("doc").alias("a"))
-    stars = entries.join(centre, "key").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
+    centre = common.cut(entries.groupBy("key").agg(F.min("doc").alias("a")), "neardup-centres")
+    stars = common.cut(entries.join(centre, "key").where("doc <> a").select("a", F.col("doc").alias("b")), "neardup-stars")
     clusters = common.components(stars, "neardup-clusters").select(F.col("v").alias("doc_id"), F.col("root").alias("cluster"))
     sized = clusters.join(reps.select("doc_id", "n_shingles"), "doc_id").dropDuplicates(["doc_id"])
     blocks = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
