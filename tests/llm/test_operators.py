@@ -161,6 +161,35 @@ def test_spans(docs, plain, texts):
     assert span_dedup.dedup_spans(docs.where("false")).count() == 0
 
 
+def test_spans_by_brute_force(spark):
+    """All runs of whole sentences with 20 words or more: one long sentence, tails of few words, whole short texts."""
+    rng = random.Random(12)
+
+    def sentence(n):
+        return " ".join(f"w{rng.randrange(10_000)}" for _ in range(n)) + "."
+
+    pool = [[sentence(n) for n in sizes] for sizes in ((15, 15, 4), (4, 15, 15), (25,), (30, 2, 3), (3, 2, 30), (9, 2, 9), (9, 1, 9), (60,), (1,) * 25)]
+    parts = [rng.choice(pool) if rng.random() < 0.7 else [sentence(rng.randint(1, 30))] for _ in range(150)]
+    rows = [[x for p in parts[i : i + 3] for x in p] for i in range(0, 150, 3)]
+    rows += [pool[2], pool[2], ["one two."], ["one two."], ["one two.", "three."], ["one two.", "three."], [sentence(12), "one two."], pool[0], [sentence(2), *pool[0], sentence(40)]]
+    seen, want = set(), []
+    for x in rows:
+        words = [s.split() for s in x]
+        gone = set()
+        for i in range(len(x)):
+            for j in range(i, len(x)):
+                run = tuple(w for s in words[i : j + 1] for w in s)
+                if len(run) >= 20 or (i, j) == (0, len(x) - 1):
+                    key = (len(run) >= 20, run)
+                    if key in seen:
+                        gone.update(range(i, j + 1))
+                    seen.add(key)
+        want.append("".join(s + " " * (k < len(x) - 1) for k, s in enumerate(x) if k not in gone))
+    got = by_id(span_dedup.dedup_spans(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string")))
+    assert [got[i].text for i in range(len(rows))] == want
+    assert got[51].text == got[53].text == got[55].text == "" and got[56].n_removed == 0
+
+
 def test_decontamination(spark, docs, texts):
     rng = random.Random(9)
     item = " ".join(f"q{rng.randrange(10_000)}" for _ in range(30))

@@ -1,15 +1,16 @@
 """Substring dedup over sliding spans of sentences.
 
-A sentence ends after [.!?] before white space, or at a line's end. From every sentence on, the span is the shortest run of
-at least `MIN_SENTENCES` sentences and `MIN_WORDS` words; its words are hashed in order (two 64-bit hashes), so a
-span depends on nothing around it. The first of equal spans stays, by (doc_id, text hash, position), and sentences that
-a later one covers are removed. Spans are judged on the input. A passage that repeats is thus caught from its first
-whole sentence to its last one.
+A sentence ends after [.!?] before white space, or at a line's end. A passage is a run of whole sentences with at least
+`MIN_WORDS` words, be it one long sentence or many. From every sentence on, the shortest passage that begins with it is a span,
+and so is the shortest one that ends with it; every sentence of any passage lies in a span within the passage, so a passage
+that repeats is caught from its first whole sentence to its last one. A text with fewer words is one span as a whole. A
+span's words are hashed in order (two 64-bit hashes), so it depends on nothing around it. The first of equal spans
+stays, by (doc_id, text hash, position), and sentences that a later one covers are removed. Spans are judged on the input.
 
 Hashing is vectorised over Arrow batches; counting spans combines in the map tasks, only repeated spans are joined back, and
 cutting texts needs one row per document with its merged intervals.
 
-Edge cases: null and empty texts have no span; texts with too few sentences or words stay as they are; rows with equal
+Edge cases: null and empty texts have no span; texts with fewer words are compared as a whole only; rows with equal
 doc_id and text count as one document; rows without doc_id come last in the order; an empty table gives an empty
 result; extra columns are ignored.
 """
@@ -24,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailknit.llm import common
-from trailknit.llm.common import SPACE, U64, mix
+from trailknit.llm.common import BASE, SPACE, U64, mix
 
-MIN_SENTENCES, MIN_WORDS = 2, 20
+MIN_WORDS = 20
+UNTURN = U64(pow(int(BASE), -1, 1 << 64))
 STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
 
@@ -53,30 +55,37 @@ def sentences(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, start byte, end byte, hash, other hash) of the span from each sentence on, where there is one."""
+    """(text, start byte, end byte, hash, other hash) of the shortest passages from and up to each sentence, and of short texts."""
     at, stop, begin, start, end, first_sentence = sentences(raw, off)
     m = len(at)
     if not m:
         none = np.empty(0, np.int64)
         return none, none, none, none.astype(U64), none.astype(U64)
     text = np.repeat(np.arange(len(off) - 1), np.diff(first_sentence))
-    limit = first_sentence[1:][text]
     word_end = np.append(begin[1:], len(start))
-    last = np.maximum(np.arange(m) + MIN_SENTENCES - 1, np.searchsorted(word_end, begin + MIN_WORDS))
-    ok = last < limit
-    a, z = begin[ok], word_end[np.minimum(last, m - 1)][ok]
+    each = np.arange(m)
+    last = np.searchsorted(word_end, begin + MIN_WORDS)
+    ahead = last < first_sentence[1:][text]
+    head = np.searchsorted(begin, word_end - MIN_WORDS, side="right") - 1
+    # a passage that is the shortest both ways is one span
+    behind = (head >= first_sentence[:-1][text]) & (last[np.maximum(head, 0)] != each)
+    some = np.flatnonzero(np.diff(first_sentence))
+    one, end_one = first_sentence[some], first_sentence[some + 1] - 1
+    short = word_end[end_one] - begin[one] < MIN_WORDS
+    lo = np.concatenate([each[ahead], head[behind], one[short]])
+    hi = np.concatenate([last[ahead], each[behind], end_one[short]])
+    a, z = begin[lo], word_end[hi]
     h = common.span_hash(raw, start, end)
-    lengths = z - a
-    total = np.concatenate([[0], np.cumsum(lengths)])
-    rel = np.arange(total[-1]) - np.repeat(total[:-1], lengths)
-    word = h[rel + np.repeat(a, lengths)]
-    turn = common.powers(int(lengths.max()) + 1 if len(lengths) else 1)[rel]
-    if len(lengths):
-        h1 = mix(np.add.reduceat(word * turn, total[:-1]))
-        h2 = mix(np.add.reduceat(mix(word ^ U64(0x5851F42D4C957F2D)) * turn, total[:-1]))
-    else:
-        h1 = h2 = np.empty(0, U64)
-    return text[ok], at[ok], stop[np.minimum(last, m - 1)][ok], h1, h2
+    turn = common.powers(len(h))[: len(h)]
+    back = np.full(len(h) + 1, UNTURN, U64)
+    back[0] = 1
+    back = np.cumprod(back, dtype=U64)
+
+    def hashed(word: np.ndarray) -> np.ndarray:
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(word * turn, dtype=U64)])
+        return mix((total[z] - total[a]) * back[a])
+
+    return text[lo], at[lo], stop[hi], hashed(h), hashed(mix(h ^ U64(0x5851F42D4C957F2D)))
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
