@@ -207,6 +207,39 @@ def test_decontamination(spark, docs, texts):
     assert decontaminate.find_leaks(docs, bench.where("false")).count() == len(texts) + 2
 
 
+def test_reordered_items_by_brute_force(spark):
+    """Every window of an item's size, in whatever order the item's sentences stand."""
+    rng = random.Random(14)
+
+    def grams(w, k):
+        return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+    items = [[f"i{j}w{rng.randrange(40)}" for _ in range(n)] for j, n in enumerate((50, 50, 80, 45, 12, 3, 200))]
+    rows = []
+    for j, item in enumerate(items * 4):
+        at = rng.randrange(1, len(item))
+        moved = item[at:] + item[:at] if j % 2 else item[len(item) // 2 :] + item[: len(item) // 2]
+        edited = [w if rng.random() > 0.01 * (j // len(items)) else "x" for w in moved]
+        rows.append([f"n{rng.randrange(500)}" for _ in range(rng.randrange(100))] + edited + [f"n{rng.randrange(500)}" for _ in range(rng.randrange(100))])
+    rows += [items[0][25:] + items[0][:25], items[2][:74], items[2][:60], ["a"] * 100 + items[0][25:] + items[0][:25] + ["b"] * 100]
+    want = {}
+    for i, words in enumerate(rows):
+        best = {}
+        for j, item in enumerate(items):
+            k = min(5, len(item))
+            length = min(len(item), len(words))
+            b = grams(item, k)
+            for s in range(len(words) - length + 1):
+                a = grams(words[s : s + length], k)
+                best[j] = max(best.get(j, 0), sum((a & b).values()) / sum((a | b).values()))
+        want[i] = ([j for j in best if best[j] >= 0.8], max([v for v in best.values() if v >= 0.8], default=0.0))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string")
+    got = by_id(decontaminate.find_leaks(docs, bench))
+    assert {i: (r.item_ids, round(r.similarity, 9)) for i, r in got.items()} == {i: (ids, round(v, 9)) for i, (ids, v) in want.items()}
+    assert want[len(rows) - 1][0] == [0]
+
+
 def test_simhash_radius():
     index = decontaminate.Index([(i, " ".join(f"w{i}_{k}" for k in range(20))) for i in range(30)])
     rng = np.random.default_rng(3)

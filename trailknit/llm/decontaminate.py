@@ -4,9 +4,9 @@ A benchmark item leaks into a document where a window of as many words as the it
 shorter) has a weighted similarity of THRESHOLD or more to it: the sum of the smaller counts of all five-word shingles over
 the sum of the larger ones. Words are lower-cased (A-Z) runs of other than ASCII white space.
 
-1. A window that is similar enough has a shingle of some item, so only windows aligned with such a shingle matter: its
-   place in the document less its place in the item, and all starts between two such alignments that are near each other.
-   This loses nothing and leaves most text after one look-up a word.
+1. For a similarity of THRESHOLD, the shingles that a window and an item have in common are at least THRESHOLD / (1 + THRESHOLD)
+   of both their shingles. A window gets a fingerprint where so many of its shingles occur anywhere in the item, in whatever
+   order (a sliding count over the places of such shingles). This loses nothing and leaves most text after one look-up a word.
 2. Each of these windows gets a 256-bit SimHash of its weighted shingles. Of 16 blocks of 16 bits, two fingerprints within
    RADIUS (63) bits have one that differs in 3 bits at most, so an index of every item's blocks, with all values within 3 bits,
    returns every item of that size within the radius. A pair of similarity 0.8 lies 39 bits apart on average, with a
@@ -127,17 +127,24 @@ def _windows(index: Index, h: np.ndarray, first: np.ndarray, k: int) -> dict[int
     hit, lo, m = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
     text = np.searchsorted(begin, hit, side="right") - 1
     at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo, m)
-    item, text = items[at], np.repeat(text, m)
+    item, text, place = items[at], np.repeat(text, m), np.repeat(hit - begin[text], m)
+    # each place of a text once an item, also where the item repeats the shingle
+    order = np.lexsort((place, item, text))
+    item, text, place = item[order], text[order], place[order]
+    new = np.ones(len(item), bool)
+    new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (place[1:] != place[:-1])
+    item, text, place = item[new], text[new], place[new]
     size = index.sizes[item]
-    start = np.clip(np.repeat(hit, m) - begin[text] - places[at], 0, np.maximum(n[text] - size, 0))
-    order = np.lexsort((start, item, text))
-    last = (-1, -1, -1)
-    for t, i, s in np.unique(np.stack([text[order], item[order], start[order]], 1), axis=0).tolist():
-        width = int(index.sizes[i])
-        starts = out.setdefault(width, {}).setdefault(t, set())
-        near = last[:2] == (t, i) and s - last[2] <= max(2, width // 4)
-        starts.update(range(last[2] + 1, s + 1) if near else (s,))
-        last = (t, i, s)
+    own = np.minimum(size, n[text]) - k + 1
+    need = np.ceil(THRESHOLD * (own + size - k + 1) / (1 + THRESHOLD) - 1e-9).astype(np.int64)
+    # windows that hold a hit and the need - 1 hits after it
+    other = np.minimum(np.arange(len(item)) + need - 1, len(item) - 1)
+    enough = (np.arange(len(item)) + need <= len(item)) & (item[other] == item) & (text[other] == text)
+    lo = np.maximum(place[other] - own + 1, 0)
+    hi = np.minimum(place, np.maximum(n[text] - size, 0))
+    enough &= lo <= hi
+    for t, width, a, z in np.stack([text[enough], size[enough], lo[enough], hi[enough]], 1).tolist():
+        out.setdefault(width, {}).setdefault(t, set()).update(range(a, z + 1))
     return out
 
 
