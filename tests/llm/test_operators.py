@@ -110,6 +110,27 @@ def test_suffixes(docs, plain, texts):
     assert suffix_dedup.dedup_suffixes(docs.where("false")).count() == 0
 
 
+def test_runs_repeat_across_pieces_of_a_text(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    passage, other = ("".join(rng.choice("abcdefghij") for _ in range(n)) for n in (1500, 700))
+    noise = ["".join(rng.choice("klmnopqrst") for _ in range(n)) for n in (450, 2000, 130)]
+    texts = [noise[0] + passage + noise[1] + passage + other + noise[2] + other, passage, noise[1] + passage + noise[0]]
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6, 7]), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(suffix_dedup, "PIECE", 600)
+    found = [r for b in suffix_dedup._runs(iter([batch])) for r in b.to_pylist()]
+    for i, text in zip((5, 6, 7), texts, strict=True):
+        mine = sorted((r for r in found if r["doc_id"] == i), key=lambda r: r["lo"])
+        assert sum(r["n"] for r in mine) == len(text) - 99
+        seen = set()
+        for r in mine:
+            key = (r["place"], text[r["lo"] : r["lo"] + r["n"] + 99])
+            assert r["later"] == (key in seen)
+            seen.add(key)
+    assert sum(r["n"] for r in found if r["later"]) > 1000
+
+
 def test_suffix_array_is_sorted():
     rng = random.Random(2)
     for alphabet in (b"a", b"ab", b"abcdef"):

@@ -5,8 +5,9 @@ Suffixes are sorted bucket by bucket, and only those that can have a partner:
 1. Routing. The least hash of the 32-byte strings in a window of LENGTH bytes is the window's anchor; it depends on the
    window alone, so equal windows have equal anchors at equal places. Consecutive windows with one anchor are a run. Runs
    whose anchor stands nowhere else are dropped (an aggregation that map tasks combine first, then a sort-merge join whose
-   hot partitions Spark splits). Of runs that are equal byte for byte, only the one of the smallest doc_id goes on and the
-   others are removed whole, so copies cost nothing further.
+   hot partitions Spark splits). Of runs that are equal byte for byte, only the first one of the smallest doc_id goes on and
+   the others are removed whole, so copies cost nothing further. A long text is read in pieces; a run counts as later if an
+   equal one stands in any piece before.
 2. Blocks. What is left of each anchor's windows is dealt into suffix buckets by the bytes that all windows of the bucket
    share (83 of 100). A task takes its buckets in order, a block of bounded bytes at a time, and sorts the block's
    suffixes: by their first COVER_PERIOD bytes, then by ranks of a difference-cover sample. For any two suffixes there is a
@@ -196,13 +197,19 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        seen = np.empty(0, U64)  # of the pieces so far of a text in pieces
         for rows, begin, raw, off in _pieces(batch):
+            if not begin[0]:
+                seen = np.empty(0, U64)
             text, lo, n, place, gram, whole = runs(raw, off)
             if not len(text):
                 continue
             order = np.lexsort((lo, whole, text))
             later = np.zeros(len(text), bool)
             later[order[1:]] = (whole[order[1:]] == whole[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+            if len(raw) >= PIECE or begin[0]:
+                later |= np.isin(whole, seen)
+                seen = np.concatenate([seen, whole[~later]])
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[rows[text]].astype(np.int64)), pa.array((lo + begin[text]).astype(np.int64)), pa.array(n.astype(np.int16)), pa.array(place.astype(np.int16)), pa.array(later)], ["anchor", "whole", "doc_id", "lo", "n", "place", "later"])
 
 
