@@ -110,25 +110,65 @@ def test_suffixes(docs, plain, texts):
     assert suffix_dedup.dedup_suffixes(docs.where("false")).count() == 0
 
 
-def test_runs_repeat_across_pieces_of_a_text(monkeypatch):
+def in_steps(texts: list[tuple[int, str]], per_batch: int) -> dict[int, np.ndarray]:
+    """The removed bytes of each document, by the operator's steps run one after the other on batches."""
     import pyarrow as pa
 
+    def batch(rows, names):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+
+    def rows_of(batches):
+        return [tuple(r.values()) for b in batches for r in b.to_pylist()]
+
+    found = rows_of(suffix_dedup._found(batch(texts[i : i + per_batch], ["doc_id", "text"]) for i in range(0, len(texts), per_batch)))
+    found.sort(key=lambda r: r[:2])
+    names = ["anchor", "doc_id", "run"]
+    near = rows_of(suffix_dedup._partnered(batch(found[i : i + 50], names) for i in range(0, len(found), 50)))
+    lists = {}
+    for anchor, doc, run in near:
+        lists.setdefault(doc, []).append({"anchor": anchor, "run": run})
+    listed = pa.RecordBatch.from_arrays([pa.array([d for d, _ in texts if d in lists]), pa.array([t for d, t in texts if d in lists]), pa.array([lists[d] for d, _ in texts if d in lists], pa.list_(pa.struct([("anchor", pa.int64()), ("run", pa.int64())])))], ["doc_id", "text", "runs"])
+    parts = sorted(rows_of(suffix_dedup._suffixes(iter([listed]))), key=lambda r: r[:3])
+    kinds = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("place", pa.int16()), ("bytes", pa.binary())])
+    dealt = [pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*parts[i : i + 30], strict=True), kinds, strict=True)], schema=kinds) for i in range(0, len(parts), 30)]
+    spans = rows_of(suffix_dedup._blocks(iter(dealt)))
+    for doc, runs in lists.items():
+        spans += [(doc, r["run"] >> suffix_dedup.FIRST, r["anchor"]) for r in runs if (r["run"] >> suffix_dedup.COUNT) & 127 == 0]
+    gone = {d: np.zeros(len(t.encode()), bool) for d, t in texts}
+    for doc, a, z in spans:
+        gone[doc][a:z] = True
+    return gone
+
+
+def removed_bytes(texts: list[tuple[int, str]]) -> dict[int, np.ndarray]:
+    seen, out = set(), {}
+    for d, t in sorted(texts):
+        raw = t.encode()
+        out[d] = np.zeros(len(raw), bool)
+        for s in range(len(raw) - 99):
+            if raw[s : s + 100] in seen:
+                out[d][s : s + 100] = True
+            seen.add(raw[s : s + 100])
+    return out
+
+
+@pytest.mark.parametrize("piece, block, per_batch", [(8 << 20, 3 << 20, 100), (8 << 20, 3 << 20, 3), (600, 3 << 20, 4), (8 << 20, 2000, 2), (700, 1500, 1)])
+def test_suffixes_in_chunks_pieces_and_blocks(monkeypatch, piece, block, per_batch):
+    """Passages within and across documents, chunks, pieces of a text and blocks of a bucket; padding and periods."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
     rng = random.Random(13)
-    passage, other = ("".join(rng.choice("abcdefghij") for _ in range(n)) for n in (1500, 700))
-    noise = ["".join(rng.choice("klmnopqrst") for _ in range(n)) for n in (450, 2000, 130)]
-    texts = [noise[0] + passage + noise[1] + passage + other + noise[2] + other, passage, noise[1] + passage + noise[0]]
-    batch = pa.RecordBatch.from_arrays([pa.array([5, 6, 7]), pa.array(texts)], ["doc_id", "text"])
-    monkeypatch.setattr(suffix_dedup, "PIECE", 600)
-    found = [r for b in suffix_dedup._runs(iter([batch])) for r in b.to_pylist()]
-    for i, text in zip((5, 6, 7), texts, strict=True):
-        mine = sorted((r for r in found if r["doc_id"] == i), key=lambda r: r["lo"])
-        assert sum(r["n"] for r in mine) == len(text) - 99
-        seen = set()
-        for r in mine:
-            key = (r["place"], text[r["lo"] : r["lo"] + r["n"] + 99])
-            assert r["later"] == (key in seen)
-            seen.add(key)
-    assert sum(r["n"] for r in found if r["later"]) > 1000
+    some = lambda n, a="abcdefghij": "".join(rng.choice(a) for _ in range(n))
+    passages = [some(n) for n in (1500, 700, 100, 101, 99, 260)] + ["xy" * 150, "z" * 333, some(37) * 9]
+    texts = []
+    for i in range(40):
+        parts = [x for _ in range(rng.randint(0, 4)) for x in (some(rng.randint(0, 300), "klmnopqrst"), rng.choice(passages)[rng.randint(0, 40) :])]
+        texts.append((100 - i if i % 2 else i, "".join([*parts, some(rng.randint(0, 90))])))
+    texts += [(500, texts[3][1]), (501, texts[3][1]), (502, ""), (503, "é" * 200)]
+    want = removed_bytes(texts)
+    got = in_steps(texts, per_batch)
+    assert {d: g.tolist() for d, g in got.items()} == {d: g.tolist() for d, g in want.items()}
+    assert sum(g.sum() for g in want.values()) > 5000
 
 
 def test_suffix_array_is_sorted():
@@ -136,23 +176,12 @@ def test_suffix_array_is_sorted():
     for alphabet in (b"a", b"ab", b"abcdef"):
         t = bytes(rng.choice(alphabet) for _ in range(600))
         t += t[:300]
-        at, same = suffix_dedup.suffix_array(np.frombuffer(t, np.uint8), np.arange(len(t) - 99))
-        w = [t[i : i + 100] for i in at]
+        starts = np.arange(len(t) - 99)
+        order, same = suffix_dedup.suffix_array(np.frombuffer(t, np.uint8), starts)
+        w = [t[i : i + 100] for i in starts[order]]
         assert w == sorted(w) and all((x == y) == s for x, y, s in zip(w[:-1], w[1:], same[1:], strict=True))
 
 
-def test_large_buckets_are_carried_on(monkeypatch, plain, texts):
-    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 500)
-    import pyarrow as pa
-
-    rng = random.Random(1)
-    part = bytes(rng.randrange(65, 91) for _ in range(130))
-    rows = [(7, d, 10, part) for d in range(20)]
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["bucket", "doc_id", "lo", "bytes"])
-    found = [r for b in suffix_dedup._blocks(iter([batch])) for r in b.to_pylist()]
-    assert {r["doc_id"] for r in found} == set(range(1, 20))
-
-
 def test_lines(docs, plain, texts):
     seen, gone = set(), {}
     for i, t in enumerate(texts):

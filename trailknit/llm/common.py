@@ -7,9 +7,11 @@ memory does not depend on the number of rows in a batch; a single longer text is
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
 U64 = np.uint64
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_own: dict[str, str] = {}
 
 
 # ---------------------------------------------------------------- tables
@@ -29,26 +33,53 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints; a temporary one only where none is configured."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster shares for checkpoints; a temporary one only where none is set and all runs in one machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="corpus-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="corpus-scratch-")
     return base.rstrip("/")
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of the queries that run within as soon as each has ended (here: has written its table)."""
+    before = spark.conf.get(RELEASE, None)
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared scratch folder and reads it back: lost executors then cost no recomputation.
 
-    The folder is removed when the driver's JVM ends.
+    The folder is removed by discard() or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, fs = _folder(spark, path)
+    fs.deleteOnExit(where)
+    with shuffles_released(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that cut() wrote and that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            where, fs = _folder(df.sparkSession, df._scratch)
+            fs.delete(where, True)
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:
@@ -202,13 +233,19 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     edges are left.
     """
     left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
-    labels = None
+    labels = spent = None
     for step in range(200):
         both = left.select(F.col("a").alias("v"), F.col("b").alias("w")).union(left.select(F.col("b").alias("v"), F.col("a").alias("w")))
         least = cut(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("up")), f"{name}-{step}")
+        old = labels
         labels = least.withColumnRenamed("up", "root") if labels is None else labels.join(least, F.col("root") == least["v"], "left").select(labels["v"], F.coalesce("up", "root").alias("root"))
+        if step:
+            labels = cut(labels, f"{name}-{step}-labels")
+            discard(spent, *([old] if step > 1 else []))
+        spent = least
         ends = left.join(least.select(F.col("v").alias("a"), F.col("up").alias("c")), "a").join(least.select(F.col("v").alias("b"), F.col("up").alias("d")), "b")
-        left = cut(ends.where("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), f"{name}-{step}-edges")
+        before, left = left, cut(ends.where("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), f"{name}-{step}-edges")
+        discard(before)
         if left.isEmpty():
             break
-    return cut(labels, f"{name}-labels")
+    return labels

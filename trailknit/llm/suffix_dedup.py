@@ -1,37 +1,37 @@
 """Suffix-array dedup: bytes of every LENGTH-byte string that also starts earlier are removed.
 
-Suffixes are sorted bucket by bucket, and only those that can have a partner:
-
-1. Routing. The least hash of the 32-byte strings in a window of LENGTH bytes is the window's anchor; it depends on the
-   window alone, so equal windows have equal anchors at equal places. Consecutive windows with one anchor are a run. Runs
-   whose anchor stands nowhere else are dropped (an aggregation that map tasks combine first, then a sort-merge join whose
-   hot partitions Spark splits). Of runs that are equal byte for byte, only the first one of the smallest doc_id goes on and
-   the others are removed whole, so copies cost nothing further. A long text is read in pieces; a run counts as later if an
-   equal one stands in any piece before.
-2. Blocks. What is left of each anchor's windows is dealt into suffix buckets by the bytes that all windows of the bucket
-   share (83 of 100). A task takes its buckets in order, a block of bounded bytes at a time, and sorts the block's
-   suffixes: by their first COVER_PERIOD bytes, then by ranks of a difference-cover sample. For any two suffixes there is a
-   shift below the period that puts both into the sample, whose ranks are computed before (by doubling, as the
-   sample is closed under whole periods), so long ties cost one look-up and no memory. Neighbours in the suffix array that
-   share LENGTH bytes are equal windows; all but the first by (doc_id, start) are removed. A bucket larger than a
-   block is taken in pieces, with the first windows so far carried on.
-3. Each document's removed windows are merged and cut out.
-
-Shuffles of steps that are done are released early. Edge cases: null and empty texts and texts below LENGTH bytes stay as
-they are; rows without doc_id are compared with nothing; rows that share a doc_id don't count as earlier than each
-other, and if their texts differ each gets the removals of both, within its length; extra columns are ignored; an
-empty table gives an empty result.
+The corpus' suffixes are dealt into buckets, and a bucket's suffixes are sorted a block of bounded bytes at a time. Suffixes
+of which no partner can exist are never sorted:
+
+1. Buckets. The least hash of the 32-byte strings in a window of LENGTH bytes is the window's anchor; it depends on the
+   window alone, so equal windows have equal anchors at equal places: (anchor, place) is a window's bucket. Consecutive windows
+   with one anchor are a run, about 35 windows long.
+2. In a chunk. Where an anchor repeats within a chunk of texts, the chunk's suffixes in its buckets are sorted; of
+   equal windows only the first by (doc_id, start) goes on. A passage that a third of all documents share, or padding, thus
+   leaves one window a chunk and is no hot key afterwards.
+3. Between chunks. What is left of each run is an anchor, a doc_id and a place, dealt by anchor; rows whose anchor
+   no other row has are dropped as they stream by, sorted. The others fetch their bytes and are dealt by
+   anchor again, and the buckets are sorted: by their first COVER_PERIOD bytes, then by ranks of a difference-cover
+   sample. For any two suffixes there is a shift below the period that puts both into the sample, whose ranks are computed
+   before (by doubling, as the sample is closed under whole periods), so long ties cost one look-up and no memory.
+   Neighbours in the suffix array that share LENGTH bytes are equal windows; all but the first are removed. A bucket
+   larger than a block is taken in pieces, with the first windows so far carried on.
+4. Each document's removed windows are merged and cut out.
+
+Shuffle files go as soon as a step's table is written. Edge cases: null and empty texts and texts below LENGTH bytes stay as
+they are; rows without doc_id are compared with nothing; rows that share a doc_id count as one document (neither
+is earlier at the same start, and each gets the removals of both, within its length); a text beyond PIECE bytes is taken in
+overlapping pieces; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailknit.llm import common
@@ -40,10 +40,11 @@ from trailknit.llm.span_dedup import merged
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
-SIDE = 18
 PIECE = 8 << 20
 BLOCK_BYTES = 3 << 20
 COVER_PERIOD = 32
+#: A run in a number, from the lowest bit on: the anchor's place, how many windows, the first window.
+PLACE, COUNT, FIRST = 0, 7, 14
 _inverse = np.ones(1, U64)
 
 
@@ -80,24 +81,30 @@ def _names(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def _key(words: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    return [words[at + 8 * i] for i in range(COVER_PERIOD // 8)]
+    return [words[at + 8 * i].astype(U64) for i in range(COVER_PERIOD // 8)]
 
 
-def suffix_array(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts in the order of their suffixes up to 4 periods and more, whether each shares LENGTH bytes with the one before)."""
+def suffix_array(text: np.ndarray, starts: np.ndarray, bucket: np.ndarray | None = None, length: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(the starts' indices in the order of buckets and then suffixes up to 4 periods, whether each is equal to the one before).
+
+    Suffixes are equal if they have one bucket and the same first bytes, LENGTH or as many as stated (LENGTH at least).
+    """
+    length = np.full(len(starts), LENGTH) if length is None else length
+    bucket = np.zeros(len(starts), np.int64) if bucket is None else bucket
+    reach = LENGTH + COVER_PERIOD
     pad = np.concatenate([text, np.zeros(6 * COVER_PERIOD + LENGTH, np.uint8)])
-    words = np.lib.stride_tricks.as_strided(pad, (len(pad) - 8, 8), (1, 1)).copy().view(">u8").reshape(-1).astype(U64)
-    sample = np.flatnonzero(np.resize(COVER, len(text) + 5 * COVER_PERIOD))
-    sample = sample[sample < len(text) + COVER_PERIOD]
-    slot = np.zeros(len(pad) + COVER_PERIOD, np.int64)
+    words = np.ndarray((len(pad) - 8,), ">u8", pad, strides=(1,))
+    # the cover's places that any of the suffixes needs
+    edge = np.bincount(starts, minlength=len(text) + reach + 1) - np.bincount(starts + reach, minlength=len(text) + reach + 1)
+    sample = np.flatnonzero(np.cumsum(edge) > 0)
+    sample = sample[COVER[sample % COVER_PERIOD]]
+    slot = np.full(len(pad) + 2 * COVER_PERIOD, -1, np.int32)
     slot[sample] = np.arange(len(sample))
     rank = _names(_key(words, sample))
     for step in (1, 2):  # by doubling: 64, then 128 bytes
-        after = sample + step * COVER_PERIOD
-        rank = _names([rank, np.where(after < len(text) + COVER_PERIOD, rank[slot[np.minimum(after, len(pad))]] + 1, 0)])
-    ranks = np.zeros(len(pad) + COVER_PERIOD, np.int64)
-    ranks[sample] = rank
-    group = _names(_key(words, starts))
+        after = slot[np.minimum(sample + step * COVER_PERIOD, len(slot) - 1)]
+        rank = _names([rank, np.where(after >= 0, rank[after] + 1, 0)])
+    group = _names([bucket, *_key(words, starts)])
     order = np.argsort(group, kind="stable")
     at, group = starts[order], group[order]
     group = np.searchsorted(group, group)  # the place of the group's first
@@ -115,9 +122,9 @@ def suffix_array(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
         mine = at[open_]
         pivot = np.repeat(mine[head + size // 2], size)
         shift = SHIFT[mine % COVER_PERIOD, pivot % COVER_PERIOD]
-        side = np.sign(ranks[mine + shift] - ranks[pivot + shift])
+        side = np.sign(rank[slot[mine + shift]] - rank[slot[pivot + shift]])
         where = np.lexsort((side, g))
-        at[open_] = mine[where]
+        at[open_], order[open_] = mine[where], order[open_][where]
         side = side[where]
         new = np.concatenate([[True], (g[1:] != g[:-1]) | (side[1:] != side[:-1])])
         first = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
@@ -125,11 +132,62 @@ def suffix_array(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
         open_ = open_[side != 0]
     same = np.zeros(len(at), bool)
     if len(at) > 1:
-        same[1:] = True
-        for i in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
-            w = words[at + i]
-            same[1:] &= w[1:] == w[:-1]
-    return at, same
+        same[1:] = bucket[order[1:]] == bucket[order[:-1]]
+        for i in range(0, int(length.max()) - 8 + 8, 8):
+            near = np.flatnonzero(same[1:]) + 1
+            own = length[order[near]]
+            step = np.minimum(i, own - 8)
+            same[near] = (words[at[near] + step] == words[at[near - 1] + step]) & (own == length[order[near - 1]])
+    return order, same
+
+
+def later(text: np.ndarray, starts: np.ndarray, bucket: np.ndarray, length: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For the string at each of the starts: whether an equal one of its bucket stands earlier, by (doc, at)."""
+    order, same = suffix_array(text, starts, bucket, length)
+    out = np.zeros(len(starts), bool)
+    pair = same.copy()
+    pair[:-1] |= same[1:]
+    order, group = order[pair], np.cumsum(~same)[pair]
+    if not len(order):
+        return out
+    order = order[np.lexsort((at[order], doc[order], group))]
+    head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    first = order[np.repeat(head, np.diff(np.append(head, len(group))))]
+    out[order] = (doc[order] != doc[first]) | (at[order] != at[first])
+    return out
+
+
+def later_windows(text: np.ndarray, starts: np.ndarray, n: np.ndarray, place: np.ndarray, name: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(run, window in it, whether an equal window stands earlier) of the windows of runs, by (doc, at); name numbers their anchors.
+
+    Coarse to fine: the suffixes at which runs start are sorted first, and a run that is equal to an earlier one byte for
+    byte is later as a whole; then the suffixes of all windows of the runs that are left are, where several have an anchor.
+    """
+    whole = later(text, starts, (name * 128 + place) * 128 + n, n + LENGTH - 1, doc, at)
+    left = np.flatnonzero(~whole)
+    left = left[np.bincount(name[left], minlength=int(name.max(initial=0)) + 1)[name[left]] > 1]
+    which, inside = _ranges(np.zeros(len(left), np.int64), n[left])
+    run = left[which]
+    fine = later(text, starts[run] + inside, name[run] * 128 + place[run] - inside, np.full(len(run), LENGTH), doc[run], at[run] + inside)
+    r, w = _ranges(np.zeros(len(n), np.int64), n)
+    out = whole[r]
+    out[(np.cumsum(n) - n)[run] + inside] = fine
+    return r, w, out
+
+
+def spans_of(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, stop) of the bytes that windows at ascending places of a row cover."""
+    if not len(row):
+        return row, at, at
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + LENGTH)])
+    head = np.flatnonzero(new)
+    return row[head], at[head], at[np.append(head[1:], len(row)) - 1] + LENGTH
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, number) of the numbers first, first + 1, ... of each range."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
 
 
 # ---------------------------------------------------------------- runs of windows
@@ -147,15 +205,11 @@ def _rolling(raw: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, U64), np.cumsum(BYTE[raw] * power[: len(raw)], dtype=U64)])
 
 
-def _hash(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix((s[b] - s[a]) * _inverse[a] + (b - a).astype(U64))
-
-
 def runs(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows, place of the anchor from the first window on, anchor hash, hash of all its bytes)."""
+    """(text, first window, windows, place of the anchor from the first window on, anchor hash)."""
     none = np.empty(0, np.int64)
     if len(raw) < LENGTH:
-        return none, none, none, none, none.astype(U64), none.astype(U64)
+        return none, none, none, none, none.astype(U64)
     s = _rolling(raw)
     m = len(raw) - GRAM + 1
     gram = mix((s[GRAM:] - s[:m]) * _inverse[:m])
@@ -178,7 +232,7 @@ def runs(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     end = np.flatnonzero(ok & np.concatenate([new[1:] | ~ok[1:], [True]])) + 1
     q = anchor[lo]
     text = np.searchsorted(off, lo, side="right") - 1
-    return text, lo - off[text], end - lo, q - lo, gram[q], _hash(s, lo, end - 1 + LENGTH) ^ mix((q - lo).astype(U64))
+    return text, lo - off[text], end - lo, q - lo, gram[q]
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -194,115 +248,139 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
                 yield np.array([lo + i]), np.array([a - off[i]]), part, np.array([0, len(part)])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(lo: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (lo << FIRST) | (n << COUNT) | (place << PLACE)
+
+
+def unpacked(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, place of the anchor); a row of no windows is a removed span."""
+    return run >> FIRST, (run >> COUNT) & 127, run & 127
+
+
+def in_chunk(raw: np.ndarray, off: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(anchor, doc_id, run) of the first windows in the chunk, and (stop, doc_id, run) of the spans that the others cover.
+
+    doc, begin: the doc_id of each text, and the byte of it at which the text begins.
+    """
+    text, lo, n, place, gram = runs(raw, off)
+    anchor = gram.view(np.int64)
+    order = np.argsort(anchor, kind="stable")
+    twin = np.zeros(len(anchor), bool)
+    equal = anchor[order[1:]] == anchor[order[:-1]]
+    twin[order[1:][equal]] = twin[order[:-1][equal]] = True
+    some = np.flatnonzero(twin)
+    _, name = np.unique(anchor[some], return_inverse=True)
+    which, inside, gone = later_windows(raw, off[text[some]] + lo[some], n[some], place[some], name, doc[text[some]], (begin[text] + lo)[some])
+    run = some[which]
+    r, a, z = spans_of(text[run[gone]], (begin[text] + lo)[run[gone]] + inside[gone])
+    # the windows that stay are runs again, split where some went
+    stay, where = run[~gone], inside[~gone]
+    owner = doc[r]
+    new = np.concatenate([[True], (stay[1:] != stay[:-1]) | (where[1:] != where[:-1] + 1)]) if len(stay) else np.empty(0, bool)
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(stay)))
+    r = np.concatenate([np.flatnonzero(~twin), stay[head]])
+    skip = np.concatenate([np.zeros(len(r) - len(head), np.int64), where[head]])
+    size = np.concatenate([n[~twin], size])
+    packed = _packed(begin[text[r]] + lo[r] + skip, size, place[r] - skip)
+    zero = np.zeros(len(a), np.int64)
+    return np.concatenate([anchor[r], z]), np.concatenate([doc[text[r]], owner]), np.concatenate([packed, _packed(a, zero, zero)])
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        seen = np.empty(0, U64)  # of the pieces so far of a text in pieces
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         for rows, begin, raw, off in _pieces(batch):
-            if not begin[0]:
-                seen = np.empty(0, U64)
-            text, lo, n, place, gram, whole = runs(raw, off)
-            if not len(text):
-                continue
-            order = np.lexsort((lo, whole, text))
-            later = np.zeros(len(text), bool)
-            later[order[1:]] = (whole[order[1:]] == whole[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
-            if len(raw) >= PIECE or begin[0]:
-                later |= np.isin(whole, seen)
-                seen = np.concatenate([seen, whole[~later]])
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[rows[text]].astype(np.int64)), pa.array((lo + begin[text]).astype(np.int64)), pa.array(n.astype(np.int16)), pa.array(place.astype(np.int16)), pa.array(later)], ["anchor", "whole", "doc_id", "lo", "n", "place", "later"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in in_chunk(raw, off, ids[rows], begin)], ["anchor", "doc_id", "run"])
 
 
-RUN = "anchor long, whole long, doc_id long, lo long, n short, place short, later boolean"
+def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by anchor: those with an anchor of several rows, and all spans."""
+    names = ["anchor", "doc_id", "run"]
+    held = [np.empty(0, np.int64)] * 3  # the last row, as long as it may be alone
+    known = None  # the last anchor, if several rows have it
+    for batch in batches:
+        anchor, doc, run = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, names, strict=True)]
+        if not len(anchor):
+            continue
+        equal = anchor[1:] == anchor[:-1]
+        keep = ((run >> COUNT) & 127 == 0) | (anchor == known if known is not None else False)
+        keep[1:] |= equal
+        keep[:-1] |= equal
+        known = anchor[-1] if keep[-1] else None
+        held = [np.empty(0, np.int64) if keep[-1] else c[-1:] for c in (anchor, doc, run)]
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (anchor, doc, run)], names)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of the runs listed for each text, by buckets of windows that share their middle."""
-    core = LENGTH - SIDE + 1
+    """The bytes of the runs listed for each text: (bucket, doc_id, lo, place, bytes)."""
     for batch in batches:
-        out: list[tuple] = []
-        for i in range(batch.num_rows):
-            raw = np.frombuffer((batch.column("text")[i].as_py() or "").encode(), np.uint8)
-            doc_id = batch.column("doc_id")[i].as_py()
-            data = raw.tobytes()
-            for run in batch.column("runs")[i].as_py():
-                q = run["lo"] + run["place"]
-                for side in range((run["place"] - run["n"] + 1) // SIDE, run["place"] // SIDE + 1):
-                    a, z = max(run["lo"], q - SIDE * side - SIDE + 1), min(run["lo"] + run["n"] - 1, q - SIDE * side)
-                    if a > z or z + LENGTH > len(raw):
-                        continue
-                    middle = q - SIDE * side
-                    key = hashlib.blake2b(b"%d-%d-" % (run["anchor"], side) + data[middle : middle + core], digest_size=8).digest()
-                    out.append((int.from_bytes(key, "little", signed=True), doc_id, a, data[a : z + LENGTH]))
-            if len(out) > 20_000 or i == batch.num_rows - 1:
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "doc_id", "lo", "bytes"])
-                out = []
-
-
-def later_windows(doc: np.ndarray, lo: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, start in its document) of every window in the parts that is equal to an earlier one by (doc_id, start)."""
-    text = np.frombuffer(b"".join(parts), np.uint8)
-    size = np.array([len(p) for p in parts], np.int64)
-    begin = np.cumsum(size) - size
-    n = size - LENGTH + 1
-    row = np.repeat(np.arange(len(parts)), n)
-    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    starts = begin[row] + inside
-    at, same = suffix_array(text, starts)
-    row = np.searchsorted(begin, at, side="right") - 1
-    start = lo[row] + at - begin[row]
-    group = np.cumsum(~same)
-    order = np.lexsort((start, doc[row], group))
-    row, start, group = row[order], start[order], group[order]
-    head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
-    first = np.repeat(head, np.diff(np.append(head, len(group))))
-    later = (doc[row] != doc[row][first]) | (start != start[first])
-    return row[later], start[later]
+        ids = batch.column("doc_id").to_numpy()
+        for lo, hi in common.chunks(batch):
+            raw, off = common.text_bytes(batch.column("text").slice(lo, hi - lo))
+            lists = batch.column("runs").slice(lo, hi - lo)
+            flat = lists.flatten()
+            anchor, run = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "run"))
+            text = np.repeat(np.arange(hi - lo), np.diff(lists.offsets.to_numpy()))
+            first, n, place = unpacked(run)
+            ok = (n > 0) & (first + n - 1 + LENGTH <= np.diff(off)[text])
+            anchor, text, first, n, place = anchor[ok], text[ok], first[ok], n[ok], place[ok]
+            for a in range(0, len(text), 50_000):
+                part = slice(a, a + 50_000)
+                _, byte = _ranges((off[text] + first)[part], n[part] + LENGTH - 1)
+                ends = np.concatenate([[0], np.cumsum(n[part] + LENGTH - 1)]).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw[byte]))])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), pa.array(ids[lo:hi][text[part]]), pa.array(first[part]), pa.array(place[part].astype(np.int16)), data], ["bucket", "doc_id", "lo", "place", "bytes"])
+
+
+def _sorted_block(rows: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
+    """(spans that later windows cover, the rows that have a first window); the rows are sorted by bucket."""
+    bucket, doc, lo, place = (rows.column(c).to_numpy() for c in ("bucket", "doc_id", "lo", "place"))
+    data = rows.column("bytes").combine_chunks()
+    text, off = common.text_bytes(data.chunk(0) if isinstance(data, pa.ChunkedArray) else data)
+    n = np.diff(off) - LENGTH + 1
+    name = np.cumsum(np.concatenate([[0], bucket[1:] != bucket[:-1]]))
+    row, inside, gone = later_windows(text, off[:-1], n, place.astype(np.int64), name, doc, lo)
+    r, a, z = spans_of(row[gone], lo[row[gone]] + inside[gone])
+    out = pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(a), pa.array(z)], ["doc_id", "start", "stop"])
+    return out, rows.filter(pa.array(np.bincount(row[gone], minlength=len(n)) < n))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs (doc_id, start, stop) of bytes that later windows cover, from rows sorted by bucket, doc_id and lo."""
-    held: list[tuple[int, int, bytes]] = []
-    bytes_ = 0
-
-    def solve(rows: list[tuple[int, int, bytes]]) -> tuple[pa.RecordBatch, list[tuple[int, int, bytes]]]:
-        doc, lo = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-        row, start = later_windows(doc, lo, [r[2] for r in rows])
-        order = np.lexsort((start, row))
-        row, start = row[order], start[order]
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]) if len(row) else np.empty(0, bool)
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(row)) - 1 if len(row) else head
-        out = pa.RecordBatch.from_arrays([pa.array(doc[row[head]]), pa.array(start[head]), pa.array(start[tail] + LENGTH)], ["doc_id", "start", "stop"])
-        gone = np.bincount(row, minlength=len(rows))
-        return out, [r for r, g in zip(rows, gone, strict=True) if g < len(r[2]) - LENGTH + 1]
-
-    last = None
-    group: list[tuple[int, int, bytes]] = []
+    """Spans (doc_id, start, stop) of bytes that later windows cover, from rows sorted by bucket, doc_id and lo."""
+    held: list[pa.RecordBatch] = []
+    size, limit = 0, BLOCK_BYTES
+
+    def parted() -> tuple[pa.Table, pa.Table]:
+        """(whole buckets that have partners, the last bucket)."""
+        rows = pa.Table.from_batches(held).combine_chunks()
+        bucket = rows.column("bucket").to_numpy()
+        head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        many = np.repeat(np.diff(np.append(head, len(bucket))) > 1, np.diff(np.append(head, len(bucket))))
+        return rows.slice(0, head[-1]).filter(pa.array(many[: head[-1]])), rows.slice(head[-1])
+
     for batch in batches:
-        keys = batch.column("bucket").to_pylist()
-        for key, *row in zip(keys, batch.column("doc_id").to_pylist(), batch.column("lo").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-            if key != last:
-                if len(group) > 1:  # a lone part has no partner
-                    held += group
-                    bytes_ += sum(len(r[2]) for r in group)
-                    if bytes_ > BLOCK_BYTES:
-                        yield solve(held)[0]
-                        held, bytes_ = [], 0
-                group, last = [], key
-                size = 0
-            group.append(tuple(row))
-            size += len(row[-1])
-            if size > BLOCK_BYTES:
-                out, group = solve(group)
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            held.append(part)
+            size += part.num_rows * (LENGTH + WINDOW // 2)
+            if size < limit:
+                continue
+            whole, last = parted()
+            if whole.num_rows:
+                yield _sorted_block(whole)[0]
+            if last.nbytes >= limit // 2:
+                out, last = _sorted_block(last)
                 yield out
-                # in a bucket whose windows differ the carried part may stay as large; it grows before the next sort then
-                size = sum(len(r[2]) for r in group) // 2
-    if len(group) > 1:
-        held += group
+            # a bucket whose windows differ stays as large; it grows to double before the next sort then
+            held = last.combine_chunks().to_batches()
+            size = last.num_rows * (LENGTH + WINDOW // 2)
+            limit = max(BLOCK_BYTES, 2 * size)
     if held:
-        yield solve(held)[0]
+        whole, last = parted()
+        for rows in (whole, last):
+            if rows.num_rows > 1:
+                yield _sorted_block(rows)[0]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,32 +400,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(where, kind)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """(doc_id, start, stop): the bytes of windows that also start earlier; they may overlap."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    found = texts.mapInArrow(_runs, RUN)
-    shared = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    near = common.cut(found.join(shared, "anchor"), "suffix-runs")
-    _release(spark)
-    first = common.cut(near.where("not later").groupBy("anchor", "whole").agg(F.min("doc_id").alias("first")), "suffix-first")
-    judged = near.join(first, ["anchor", "whole"])
-    whole = judged.where("later or doc_id > first").select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + LENGTH).alias("stop"))
-    several = first.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    lead = judged.where("not later and doc_id = first").join(several, "anchor")
-    listed = common.cut(lead.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "n", "place")).alias("runs")), "suffix-listed")
-    _release(spark)
-    parts = texts.join(listed, "doc_id").mapInArrow(_suffixes, "bucket long, doc_id long, lo long, bytes binary")
-    dealt = parts.repartition(common.partitions(spark), "bucket").sortWithinPartitions("bucket", "doc_id", "lo")
-    sorted_ = common.cut(dealt.mapInArrow(_blocks, "doc_id long, start long, stop long"), "suffix-later")
-    _release(spark)
-    return whole.union(sorted_)
+    found = texts.mapInArrow(_found, "anchor long, doc_id long, run long")
+    dealt = found.repartition(common.partitions(spark), "anchor").sortWithinPartitions("anchor")
+    near = dealt.mapInArrow(_partnered, "anchor long, doc_id long, run long")
+    listed = common.cut(near.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "run")).alias("runs")), "suffix-listed")
+    parts = texts.join(listed, "doc_id").mapInArrow(_suffixes, "bucket long, doc_id long, lo long, place short, bytes binary")
+    buckets = parts.repartition(common.partitions(spark), "bucket").sortWithinPartitions("bucket", "doc_id", "lo")
+    between = common.cut(buckets.mapInArrow(_blocks, "doc_id long, start long, stop long"), "suffix-later")
+    span = listed.select("doc_id", F.explode(F.filter("runs", lambda r: F.shiftright(r["run"], COUNT).bitwiseAND(127) == 0)).alias("r"))
+    within = span.select("doc_id", F.shiftright("r.run", FIRST).alias("start"), F.col("r.anchor").alias("stop"))
+    return within.union(between)
 
 
 def dedup_suffixes(docs: DataFrame) -> DataFrame:
