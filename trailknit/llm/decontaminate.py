@@ -5,16 +5,18 @@ shorter) has a weighted similarity of THRESHOLD or more to it: the sum of the sm
 the sum of the larger ones. Words are lower-cased (A-Z) runs of other than ASCII white space.
 
 1. For a similarity of THRESHOLD, the shingles that a window and an item have in common are at least THRESHOLD / (1 + THRESHOLD)
-   of both their shingles. A window gets a fingerprint where so many of its shingles occur anywhere in the item, in whatever
-   order (a sliding count over the places of such shingles). This loses nothing and leaves most text after one look-up a word.
-2. Each of these windows gets a 256-bit SimHash of its weighted shingles. Of 16 blocks of 16 bits, two fingerprints within
-   RADIUS (63) bits have one that differs in 3 bits at most, so an index of every item's blocks, with all values within 3 bits,
-   returns every item of that size within the radius. A pair of similarity 0.8 lies 39 bits apart on average, with a
-   standard deviation of 6, so the radius loses about one such window in 10^5.
+   of both their shingles. A window is only worth a fingerprint where so many of its shingles occur anywhere in some item of
+   its size, in whatever order (a sliding count over the places of such shingles). This sieve loses nothing, which a test
+   holds against fingerprints of all windows, and leaves most text after one look-up a word.
+2. Each window left gets a 256-bit SimHash of its weighted shingles. Of 32 blocks of 8 bits, two fingerprints within
+   RADIUS (63) bits have one that differs in one bit at most, so an index of the items' blocks, asked for a window's 32 blocks
+   and all values one bit off, returns every item of that size within the radius. A pair of similarity 0.8 lies 39 bits
+   apart on average, with a standard deviation of 6, so the radius loses about one such window in 10^5.
 3. The pairs within the radius are verified by the exact weighted similarity.
 
-The benchmark goes to the tasks in blocks of BLOCK_ITEMS items, so its size in a task is bounded whatever the table; each
-block is one more pass over the documents. Documents are never shuffled.
+All items together are one pass over the documents as long as their texts have ITEM_BYTES at most; a larger benchmark is
+broadcast in blocks of about so many bytes, one pass each, and the passes are cut by a table after every PASSES ones.
+Documents are never shuffled.
 
 Edge cases: null and empty texts match nothing, nor do empty items; items of fewer than five words are compared as one
 shingle of their length; rows of documents stay in any case in find_leaks (extra columns too) and repeated rows get equal
@@ -24,11 +26,13 @@ answers; an empty benchmark leaves all documents clean; items without item_id ar
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,13 +42,13 @@ from trailknit.llm.common import LOWER, U64, mix
 
 WORDS = 5
 THRESHOLD = 0.8
-LANES, BLOCKS, RADIUS = 4, 16, 63
+LANES, BLOCKS, RADIUS = 4, 32, 63
 ERRORS = RADIUS // BLOCKS
-BLOCK_ITEMS = 256
+ITEM_BYTES, PASSES = 16 << 20, 4
 LANE = common.stream(11, LANES)
 SIEVE_BITS = 20
-MASKS = np.array(sorted({sum(1 << i for i in c) for n in range(ERRORS + 1) for c in itertools.combinations(range(16), n)}), np.int64)
-_indexes: dict[bytes, Index] = {}
+MASKS = np.array(sorted({sum(1 << i for i in c) for n in range(ERRORS + 1) for c in itertools.combinations(range(8), n)}), np.int64)
+_indexes: dict[str, Index] = {}
 
 
 def simhash(shingles: np.ndarray) -> np.ndarray:
@@ -90,19 +94,21 @@ class Index:
         self.prints = np.concatenate([simhash(s[None]) for s in self.sets]) if self.sets else np.zeros((0, LANES), U64)
         self.size_rank = {s: r for r, s in enumerate(sorted(set(self.sizes.tolist())))}
         rank = np.array([self.size_rank[s] for s in self.sizes.tolist()], np.int64)
-        blocks = self.prints.view(np.uint16).astype(np.int64)
-        keys = (rank[:, None, None] << 20) | (np.arange(BLOCKS)[None, :, None] << 16) | (blocks[:, :, None] ^ MASKS[None, None, :])
-        flat = keys.reshape(-1)
+        flat = self._keys(self.prints, rank[:, None]).reshape(-1)
         order = np.argsort(flat, kind="stable")
-        self.keys, self.items = flat[order], (order // (BLOCKS * len(MASKS))).astype(np.int32)
+        self.keys, self.items = flat[order], (order // BLOCKS).astype(np.int32)
+
+    @staticmethod
+    def _keys(prints: np.ndarray, rank: np.ndarray | int) -> np.ndarray:
+        """A number for each block of each fingerprint: size, block, value."""
+        return (rank << 13) | (np.arange(BLOCKS)[None] << 8) | prints.view(np.uint8).astype(np.int64)
 
     def near(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all items of the size within the radius of the windows' fingerprints."""
-        blocks = prints.view(np.uint16).astype(np.int64)
-        key = ((self.size_rank[size] << 20) | (np.arange(BLOCKS)[None] << 16) | blocks).reshape(-1)
+        key = (self._keys(prints, self.size_rank[size])[:, :, None] ^ MASKS).reshape(-1)
         lo, hi = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
         n = hi - lo
-        window = np.repeat(np.arange(len(key)) // BLOCKS, n)
+        window = np.repeat(np.arange(len(key)) // (BLOCKS * len(MASKS)), n)
         item = self.items[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
         pairs = np.unique(window * len(self.ids) + item)
         window, item = np.divmod(pairs, max(1, len(self.ids)))
@@ -148,23 +154,29 @@ def _windows(index: Index, h: np.ndarray, first: np.ndarray, k: int) -> dict[int
     return out
 
 
-def leaks(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int, float]]:
+def _all_windows(index: Index, h: np.ndarray, first: np.ndarray, k: int) -> dict[int, dict[int, set[int]]]:
+    """What _windows() would return without its sieve; for tests."""
+    n = np.diff(first).tolist()
+    return {size: {t: set(range(max(0, m - size) + 1)) for t, m in enumerate(n) if m} for size in index.size_rank if min(WORDS, size) == k}
+
+
+def leaks(index: Index, column: pa.Array, windows=_windows) -> Iterator[tuple[int, int, int, int, float]]:
     """(text, item_id, first word, words, similarity) of each window that leaks."""
     raw, off = common.text_bytes(column)
     raw = LOWER[raw]
     start, end, first = common.words(raw, off)
     h = common.span_hash(raw, start, end)
     for k in index.by_width:
-        for size, texts in _windows(index, h, first, k).items():
+        for size, texts in windows(index, h, first, k).items():
             by_length: dict[int, list[tuple[int, int]]] = {}
             for t, starts in texts.items():
                 length = min(size, int(first[t + 1] - first[t]))
                 by_length.setdefault(length, []).extend((t, s) for s in sorted(starts))
-            for length, windows in by_length.items():
+            for length, places in by_length.items():
                 if length < k:
                     continue
-                for a in range(0, len(windows), 512):
-                    part = np.array(windows[a : a + 512])
+                for a in range(0, len(places), 512):
+                    part = np.array(places[a : a + 512])
                     begin = first[part[:, 0]] + part[:, 1]
                     words = h[begin[:, None] + np.arange(length)[None]]
                     rows = common.shingles(words.reshape(-1), np.arange(len(part) + 1) * length, k)[0].reshape(len(part), -1)
@@ -174,13 +186,12 @@ def leaks(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int,
                             yield int(part[w, 0]), int(index.ids[i]), int(part[w, 1]), length, value
 
 
-def _index(items: list[tuple[int, str]]) -> Index:
-    """One index a worker and block, kept for the worker's next task."""
-    key = repr(items).encode()
-    if key not in _indexes:
+def _index(name: str, items: Broadcast) -> Index:
+    """One index a worker, kept for the worker's next task."""
+    if name not in _indexes:
         _indexes.clear()
-        _indexes[key] = Index(items)
-    return _indexes[key]
+        _indexes[name] = Index(items.value)
+    return _indexes[name]
 
 
 def _found(index: Index, batch: pa.RecordBatch) -> dict[int, dict[int, float]]:
@@ -192,9 +203,9 @@ def _found(index: Index, batch: pa.RecordBatch) -> dict[int, dict[int, float]]:
     return out
 
 
-def _mark(items: list[tuple[int, str]]):
+def _mark(name: str, items: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(items)
+        index = _index(name, items)
         for batch in batches:
             found = _found(index, batch)
             ids, best = batch.column("item_ids").to_pylist(), batch.column("similarity").to_pylist()
@@ -207,9 +218,9 @@ def _mark(items: list[tuple[int, str]]):
     return run
 
 
-def _drop(items: list[tuple[int, str]]):
+def _drop(name: str, items: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(items)
+        index = _index(name, items)
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             keep[list(_found(index, batch))] = False
@@ -218,28 +229,32 @@ def _drop(items: list[tuple[int, str]]):
     return run
 
 
-def item_blocks(benchmark: DataFrame, size: int = BLOCK_ITEMS) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of about `size` items, by a hash of item_id."""
+def item_blocks(benchmark: DataFrame, size: int = ITEM_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in blocks of about `size` bytes of text, by a hash of item_id."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, -(-items.count() // size))
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // size))
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
         if part:
             yield sorted((r["item_id"], r["text"]) for r in part)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with item_ids (sorted, of the items that leak into it) and similarity (the highest, 0 without)."""
-    out = docs.drop("item_ids", "similarity").withColumn("item_ids", F.array().cast("array<bigint>")).withColumn("similarity", F.lit(0.0))
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
-    for items in item_blocks(benchmark):
-        out = out.mapInArrow(_mark(items), schema)
+def _passes(docs: DataFrame, benchmark: DataFrame, step, size: int) -> DataFrame:
+    """docs after a pass of the step for each block of the benchmark."""
+    out, schema = docs, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
+    for i, items in enumerate(item_blocks(benchmark, size)):
+        if i and i % PASSES == 0:
+            out = common.cut(out, "leaks")
+        out = out.mapInArrow(step(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(items)), schema)
     return out
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = ITEM_BYTES) -> DataFrame:
+    """docs with item_ids (sorted, of the items that leak into it) and similarity (the highest, 0 without)."""
+    start = docs.drop("item_ids", "similarity").withColumn("item_ids", F.array().cast("array<bigint>")).withColumn("similarity", F.lit(0.0))
+    return _passes(start, benchmark, _mark, size)
+
+
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, size: int = ITEM_BYTES) -> DataFrame:
     """The rows of docs into which no item leaks."""
-    out = docs
-    for items in item_blocks(benchmark):
-        out = out.mapInArrow(_drop(items), docs.schema)
-    return out
+    return _passes(docs, benchmark, _drop, size)

@@ -2,7 +2,7 @@
 
 A text is cut into paragraphs at line ends, paragraphs into pieces (sentences; long ones are cut again at words chosen by
 their own hash). Sections end at blank lines and after paragraphs chosen by their hash, so that an edit never moves the
-boundaries elsewhere. A leaf is the hash of a piece; an inner node is the hash of its children's hashes. Equal roots mean
+boundaries elsewhere. A leaf is the 128-bit hash of a piece; an inner node is the hash of its children's hashes. Equal roots mean
 equal texts; descending only into branches whose hashes differ locates edits, down to a piece.
 
 A fingerprint is a string: root, '/', then leaves as hash.length, with ',' between pieces, ';' between paragraphs and '|'
@@ -10,8 +10,8 @@ between sections; inner nodes follow from the leaves. likeness() compares two fi
 match whole, what differs is compared one level down, and the result is the share of the bytes that match (Dice).
 
 pair_with_next() gives every document the next one by descending doc_id without a global sort in one task: doc_id is dealt
-into ranges by quantiles, each range is sorted in its own partition, and the first document of the following range is
-added to it. The text is shuffled once.
+into ranges by quantiles, as many as the texts' bytes ask for, each range is sorted in its own partition, and the first
+document of the following range is added to it. The text is shuffled once.
 
 Edge cases: a null text is empty; two empty texts are alike (1.0), an empty and another are not (0.0); a single row is
 its own next; rows without doc_id come last; rows of equal doc_id are ordered by a hash of their text; an empty table
@@ -36,11 +36,12 @@ from trailknit.llm import common
 PIECE = re.compile(rb"[^.!?]*(?:[.!?]+\s*|\Z)")
 WORD = re.compile(rb"\S*\s*")
 LONG_PIECE, PIECE_TURN, SECTION_TURN = 200, 8, 8
-LEAF_BYTES, NODE_BYTES = 5, 16
+NODE_BYTES = 16
+TASK_BYTES = 16 << 20
 
 
-def _hash(kind: bytes, data: bytes, size: int = NODE_BYTES) -> bytes:
-    return hashlib.blake2b(data, digest_size=size, person=kind).digest()
+def _hash(kind: bytes, data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=NODE_BYTES, person=kind).digest()
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,7 @@ def tree(text: str | None) -> Node:
     """The Merkle tree of a text: root, sections, paragraphs, pieces."""
     sections, held = [], []
     for line in (text or "").encode("utf-8", "surrogatepass").splitlines(keepends=True) if text else ():
-        paragraph = Node.over(b"paragraph", [Node(_hash(b"piece", p, LEAF_BYTES), len(p), ()) for p in _pieces(line)])
+        paragraph = Node.over(b"paragraph", [Node(_hash(b"piece", p), len(p), ()) for p in _pieces(line)])
         held.append(paragraph)
         if not line.strip() or paragraph.digest[0] % SECTION_TURN == 0:
             sections.append(Node.over(b"section", held))
@@ -153,9 +154,10 @@ def edited(text: str, following: str) -> str:
 def pair_with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) and, as extra rows with head, the first document of the range that follows; dealt by range and sorted."""
     spark = docs.sparkSession
-    n = common.partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = common.partitions(spark, -(-size // TASK_BYTES))
+    found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 4 * n))).first()[0] or []
     bounds = F.array(*[F.lit(b).cast("long") for b in sorted(set(found))]) if found else F.array().cast("array<bigint>")
     rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id")))))
     # one row a range: bounded by the number of partitions

@@ -4,10 +4,13 @@ A source's repetition rate is its target share of the corpus (in characters) ove
 a Poisson number of times with that mean: the distribution is inverted at a uniform number from a hash of the seed and
 doc_id, so the draw needs no state, no order and no second pass, and comes out the same on every cluster. Rates above
 STEP are drawn as a sum of equal parts, each with a uniform number of its own, so the table of a source's distribution has
-STEPS entries whatever the rate. Copies are then shuffled globally: sorted by a hash of seed, doc_id and copy.
+STEPS entries whatever the rate. Copies are then shuffled globally: dealt into
+partitions by a hash of seed, doc_id and copy, and sorted by it there.
 
-Only a row for each source is aggregated (map tasks combine first, so a source with a third of all rows is no hot key) and
-joined back; Spark broadcasts it if it is small, else splits the hot partitions of the join.
+Only a row for each source is aggregated (map tasks combine first, so a source with a third of all rows is no hot key). Up to
+MAX_SOURCES rows (a checked size) are broadcast; beyond, numbers of copies are drawn on (doc_id, source) alone, in a join of two
+plain shuffles, whose hot partitions Spark splits. Either way the texts are shuffled once, by the order of the copies: that
+is a hash, so partitions come out even without a sampling pass.
 
 Target weights are a table (source, weight), or by default the square root of each source's characters, which lies half-way
 between the natural and an equal mix.
@@ -22,8 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailknit.llm import common
+
 SEED = "mix-1"
 STEP, STEPS = 16.0, 80
+MAX_SOURCES = 50_000
 TWO_52 = float(1 << 52)
 
 
@@ -57,18 +63,23 @@ def rates(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     return weighed.join(F.broadcast(total)).select("source", rate.alias("rate"))
 
 
-def replicate(docs: DataFrame, weights: DataFrame | None = None, seed: str = SEED) -> DataFrame:
+def replicate(docs: DataFrame, weights: DataFrame | None = None, seed: str = SEED, max_sources: int = MAX_SOURCES) -> DataFrame:
     """docs with rate and copy (1, 2, ...), each row as often as drawn, in the order of the shuffle."""
+    table = common.cut(rates(docs, weights), "mixing-rates").withColumnRenamed("source", "__source").withColumnRenamed("rate", "__rate")
     parts = F.greatest(F.ceil(F.col("__rate") / STEP), F.lit(1)).cast("int")
-    table = rates(docs, weights).withColumnRenamed("source", "__source").withColumnRenamed("rate", "__rate")
     table = table.withColumn("__parts", parts).withColumn("__table", distribution(F.col("__rate") / F.col("__parts")))
     own = docs.drop("rate", "copy")
-    joined = own.join(table, F.col("source").eqNullSafe(F.col("__source")))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     draw = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, i: n + F.size(F.filter("__table", lambda c: c <= uniform(seed, i.cast("string"), name))))
-    drawn = joined.withColumn("__n", draw).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    same = F.col("source").eqNullSafe(F.col("__source"))
+    if table.limit(max_sources + 1).count() <= max_sources:
+        counted = own.join(F.broadcast(table), same).withColumn("__n", draw)
+    else:
+        thin = own.select("doc_id", "source").distinct().join(table, same).select(F.col("doc_id").alias("__doc"), "__source", "__rate", draw.alias("__n"))
+        counted = own.join(common.cut(thin.where("__n > 0"), "mixing-draws"), F.col("doc_id").eqNullSafe(F.col("__doc")) & same)
+    drawn = counted.where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     key = F.md5(F.concat_ws("-", F.lit(seed), F.lit("order"), name, F.col("copy").cast("string")))
-    return drawn.withColumn("__key", key).orderBy("__key").select(*own.columns, F.col("__rate").alias("rate"), "copy")
+    return drawn.select(*own.columns, F.col("__rate").alias("rate"), "copy", key.alias("__key")).repartition("__key").sortWithinPartitions("__key").drop("__key")
 
 
 ORACLE = f"""

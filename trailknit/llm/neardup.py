@@ -1,8 +1,7 @@
 """MinHash near-duplicates by tensored banding.
 
 Two small collections of `side` sub-keys, each made of `width` minhashes, are combined in all pairs to side * side table
-keys of 2 * width minhashes each: the minhashes computed are about the square root of what as many independent tables
-would take. A pair of similarity s is missed with probability about 2 * (1 - s ** width) ** side (4e-5 at 0.85).
+keys of 2 * width minhashes each: the minhashes computed are about the square root of X
 
 1. Texts with equal shingle sets form a class; only its smallest doc_id goes on.
 2. Members of a table's bucket are linked to the bucket's smallest member; the connected clusters of these candidate
@@ -30,11 +29,16 @@ from trailknit.llm import common
 from trailknit.llm.common import LOWER, TURN, U64, mix
 
 WORDS = 5
-WIDTH, SIDE = 3, 12
+WIDTH, MISS = 3, 5e-5
 BLOCK_ROWS, BLOCK_SHINGLES = 160, 1 << 20
 TILE = 2048
 
 
+def sides(percent: int) -> int:
+    """How many sub-keys a collection needs."""
+    return next(n for n in range(1, 1000) if 2 * (1 - (percent / 100) ** WIDTH) ** n <= MISS)
+
+
 def shingle_sets(column: pa.Array, k: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     raw, off = common.text_bytes(column)
@@ -45,35 +49,43 @@ def shingle_sets(column: pa.Array, k: int = WORDS) -> Iterator[np.ndarray]:
         yield np.unique(h[begin[i] : begin[i + 1]])
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    turn = common.stream(7, 2 * WIDTH * SIDE) | U64(1)
-    for batch in batches:
-        for a, z in common.chunks(batch):
-            n, s1, s2, keys = [], [], [], []
-            for u in shingle_sets(batch.column("text").slice(a, z - a)):
-                n.append(len(u))
-                s1.append(int(mix(u).sum(dtype=U64)) - (1 << 63) if len(u) else 0)
-                s2.append(int(mix(u ^ TURN[9]).sum(dtype=U64)) - (1 << 63) if len(u) else 0)
-                low = np.full(len(turn), ~U64(0))
-                for at in range(0, len(u), 4096):
-                    np.minimum(low, (turn[:, None] * u[None, at : at + 4096]).min(1), out=low)
-                sub = np.zeros(2 * SIDE, U64)
-                for w in range(WIDTH):
-                    sub += low.reshape(2 * SIDE, WIDTH)[:, w] * TURN[w]
-                keys.append(mix(sub).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, z - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "keys"])
-
-
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (key, doc) for each pair of sub-keys."""
-    pair = common.stream(8, SIDE * SIDE).reshape(SIDE, SIDE)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            sub = np.frombuffer(b"".join(part.column("keys").to_pylist()), U64).reshape(-1, 2 * SIDE)
-            key = mix(sub[:, :SIDE, None] * TURN[10] + sub[:, None, SIDE:] * TURN[11] + pair[None])
-            doc = np.repeat(part.column("doc_id").to_numpy(), SIDE * SIDE)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(doc)], ["key", "doc"])
+def _signatures(side: int):
+    turn = common.stream(7, 2 * WIDTH * side) | U64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, z in common.chunks(batch):
+                n, s1, s2, keys = [], [], [], []
+                for u in shingle_sets(batch.column("text").slice(a, z - a)):
+                    n.append(len(u))
+                    s1.append(int(mix(u).sum(dtype=U64)) - (1 << 63) if len(u) else 0)
+                    s2.append(int(mix(u ^ TURN[9]).sum(dtype=U64)) - (1 << 63) if len(u) else 0)
+                    low = np.full(len(turn), ~U64(0))
+                    for at in range(0, len(u), 4096):
+                        np.minimum(low, (turn[:, None] * u[None, at : at + 4096]).min(1), out=low)
+                    sub = np.zeros(2 * side, U64)
+                    for w in range(WIDTH):
+                        sub += low.reshape(2 * side, WIDTH)[:, w] * TURN[w]
+                    keys.append(mix(sub).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, z - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "keys"])
+
+    return run
+
+
+def _tables(side: int):
+    pair = common.stream(8, side * side).reshape(side, side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row (key, doc) for each pair of sub-keys."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                sub = np.frombuffer(b"".join(part.column("keys").to_pylist()), U64).reshape(-1, 2 * side)
+                key = mix(sub[:, :side, None] * TURN[10] + sub[:, None, side:] * TURN[11] + pair[None])
+                doc = np.repeat(part.column("doc_id").to_numpy(), side * side)
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(doc)], ["key", "doc"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,19 +154,20 @@ def _verified(percent: int):
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row; links have 100 * intersection >= percent * union."""
-    spark = docs.sparkSession
+    spark, side = docs.sparkSession, sides(percent)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    sig = common.cut(texts.mapInArrow(_signatures, "doc_id long, n_shingles long, s1 long, s2 long, keys binary"), "neardup-signatures")
+    sig = common.cut(texts.mapInArrow(_signatures(side), "doc_id long, n_shingles long, s1 long, s2 long, keys binary"), "neardup-signatures")
     linkable = sig.where("doc_id is not null and n_shingles > 0")
     classes = common.cut(linkable.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "neardup-classes")
     member = linkable.select("doc_id", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"]).select("doc_id", "s1", "s2", "n_shingles", "rep")
     reps = linkable.join(classes.select("s1", "s2", "n_shingles", F.col("rep").alias("doc_id")), ["s1", "s2", "n_shingles", "doc_id"]).select("doc_id", "n_shingles", "keys")
-    table = reps.select("doc_id", "keys").mapInArrow(_tables, "key long, doc long")
+    table = reps.select("doc_id", "keys").mapInArrow(_tables(side), "key long, doc long")
     # a table of its own: a join of two plain shuffles is one whose hot partitions Spark can split
     shared = common.cut(table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "neardup-shared")
     entries = common.cut(table.join(shared, "key"), "neardup-buckets")
     centre = common.cut(entries.groupBy("key").agg(F.min("doc").alias("a")), "neardup-centres")
     stars = common.cut(entries.join(centre, "key").where("doc <> a").select("a", F.col("doc").alias("b")), "neardup-stars")
+    common.discard(shared, entries, centre)
     clusters = common.components(stars, "neardup-clusters").select(F.col("v").alias("doc_id"), F.col("root").alias("cluster"))
     sized = clusters.join(reps.select("doc_id", "n_shingles"), "doc_id").dropDuplicates(["doc_id"])
     blocks = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -164,7 +177,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     paired = held.withColumn("other", other).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "shingles")
     dealt = paired.repartition(common.partitions(spark), "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "doc_id")
     links = dealt.mapInArrow(_verified(percent), "a long, b long").where("a <> b")
-    joined = common.components(common.cut(links.distinct(), "neardup-links"), "neardup-components")
+    found = common.cut(links.distinct(), "neardup-links")
+    common.discard(stars, placed)
+    joined = common.components(found, "neardup-components")
     found = member.select("doc_id", "rep").dropDuplicates(["doc_id", "rep"]).join(joined, F.col("rep") == F.col("v"), "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
     out = sig.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")

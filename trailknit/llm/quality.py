@@ -5,8 +5,8 @@ repetition, letter cases, symbols, what words begin and end with; no vocabulary)
 attention gives every passage a weight within its document, learnt from document labels alone; the weighted mean
 of the encoded passages gives the document's score. Weights and encoder are trained together by gradient descent.
 
-The model is fitted on about `max_train` labelled documents at most (a documented bound, picked by a hash of doc_id, which is
-no input of a score); all documents are scored over all their passages.
+The model is fitted on `max_train` labelled documents and MAX_BYTES of their texts at most (documented bounds; documents come
+in the order of a hash of doc_id, which is no input of a score); all documents are scored over all their passages.
 
 Edge cases: null and empty texts are one passage without words; null labels are ignored, of several labels of a document
 the highest counts; a row without doc_id is scored and is not held out; without labelled documents of both classes every
@@ -28,7 +28,7 @@ from trailknit.llm.common import U64
 PASSAGE = 50
 HIDDEN, GATE = 16, 8
 STEPS, RATE, DECAY = 200, 0.03, 1e-4
-MAX_TRAIN = 4000
+MAX_TRAIN, MAX_BYTES = 4000, 64 << 20
 CLASSES = 13
 
 
@@ -145,7 +145,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
-    rows = toxicity.train_rows(docs, labels, "quality", training_fold(), max_train, "quality-train")
+    rows = toxicity.train_rows(docs, labels, "quality", training_fold(), max_train, "quality-train", MAX_BYTES)
     # sorted, so that sums come out alike whatever task ends first
     found = sorted(rows.mapInArrow(_bags, "quality int, bag binary").collect(), key=lambda r: (r["quality"], bytes(r["bag"])))
     y = np.array([r["quality"] for r in found], float)

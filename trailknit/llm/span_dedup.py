@@ -1,16 +1,17 @@
 """Substring dedup over sliding spans of sentences.
 
-A sentence ends after [.!?] before white space, or at a line's end. A passage is a run of whole sentences with at least
-`MIN_WORDS` words, be it one long sentence or many. From every sentence on, the shortest passage that begins with it is a span,
-and so is the shortest one that ends with it; every sentence of any passage lies in a span within the passage, so a passage
-that repeats is caught from its first whole sentence to its last one. A text with fewer words is one span as a whole. A
-span's words are hashed in order (two 64-bit hashes), so it depends on nothing around it. The first of equal spans
-stays, by (doc_id, text hash, position), and sentences that a later one covers are removed. Spans are judged on the input.
+A sentence ends after [.!?] before white space, or at a line's end. Every run of RUN consecutive sentences is a span, however
+few its words. So that passages of fewer, longer sentences are caught too, the shortest run of whole sentences with at least
+MIN_WORDS words that begins with a sentence is a span, and the shortest that ends with it; every sentence of a repeated
+passage of RUN sentences or MIN_WORDS words lies in a span within the passage, so it is caught from its first
+whole sentence to its last one. A text with fewer words and sentences is one span as a whole. A span's words are hashed
+in order (two 64-bit hashes), so it depends on nothing around it. The first of equal spans stays, by (doc_id, text hash,
+position), and sentences that a later one covers are removed. Spans are judged on the input.
 
 Hashing is vectorised over Arrow batches; counting spans combines in the map tasks, only repeated spans are joined back, and
 cutting texts needs one row per document with its merged intervals.
 
-Edge cases: null and empty texts have no span; texts with fewer words are compared as a whole only; rows with equal
+Edge cases: null and empty texts have no span; texts with fewer words and sentences are compared as a whole only; rows with equal
 doc_id and text count as one document; rows without doc_id come last in the order; an empty table gives an empty
 result; extra columns are ignored.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from trailknit.llm import common
 from trailknit.llm.common import BASE, SPACE, U64, mix
 
-MIN_WORDS = 20
+RUN, MIN_WORDS = 5, 20
 UNTURN = U64(pow(int(BASE), -1, 1 << 64))
 STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
@@ -55,8 +56,8 @@ def sentences(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, start byte, end byte, hash, other hash) of the shortest passages from and up to each sentence, and of short texts."""
-    at, stop, begin, start, end, first_sentence = sentences(raw, off)
+    """(text, start byte, end byte, hash, other hash) of all runs of RUN sentences, the shortest passages of MIN_WORDS words from and up to each sentence, and short texts."""
+    at, stop, begin, start, stop_word, first_sentence = sentences(raw, off)
     m = len(at)
     if not m:
         none = np.empty(0, np.int64)
@@ -69,13 +70,18 @@ def spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     head = np.searchsorted(begin, word_end - MIN_WORDS, side="right") - 1
     # a passage that is the shortest both ways is one span
     behind = (head >= first_sentence[:-1][text]) & (last[np.maximum(head, 0)] != each)
+    several = each + RUN - 1 < first_sentence[1:][text]
+    # a run that is such a passage too is one span
+    several &= ~(ahead & (last == each + RUN - 1))
+    end = np.minimum(each + RUN - 1, m - 1)
+    several &= ~(behind[end] & (head[end] == each))
     some = np.flatnonzero(np.diff(first_sentence))
     one, end_one = first_sentence[some], first_sentence[some + 1] - 1
-    short = word_end[end_one] - begin[one] < MIN_WORDS
-    lo = np.concatenate([each[ahead], head[behind], one[short]])
-    hi = np.concatenate([last[ahead], each[behind], end_one[short]])
+    short = (word_end[end_one] - begin[one] < MIN_WORDS) & (end_one - one < RUN - 1)
+    lo = np.concatenate([each[ahead], head[behind], each[several], one[short]])
+    hi = np.concatenate([last[ahead], each[behind], end[several], end_one[short]])
     a, z = begin[lo], word_end[hi]
-    h = common.span_hash(raw, start, end)
+    h = common.span_hash(raw, start, stop_word)
     turn = common.powers(len(h))[: len(h)]
     back = np.full(len(h) + 1, UNTURN, U64)
     back[0] = 1

@@ -9,13 +9,13 @@ not only the best). Extreme-value statistics turn a segment's score S in a text
 the negative log of the number of such segments expected by chance; L and K are estimated on clean labelled documents.
 A document's evidence is the sum over its significant segments, or the best x; a logistic curve makes it a probability.
 
-The model is fitted on about `max_train` labelled documents at most (a documented bound; they are picked by a hash of
-doc_id, which is no input of a score). The word table it sends to the executors has only words and prefixes with evidence
-of toxicity in that sample, so it is bounded by the sample. All documents are scored over their whole text.
+The model is fitted on `max_train` labelled documents and MAX_BYTES of their texts at most (documented bounds, which also bound
+what the driver collects; documents come in the order of a hash of doc_id, which is no input of a score). The word
+table it sends to the executors has only words and prefixes with evidence of toxicity in that sample. All documents are scored over their whole text.
 
 Edge cases: null and empty texts score low (no segments); null labels are ignored, of several labels of a document the
 highest counts; a row without doc_id is scored and is not held out; without labelled documents of both classes every
-score is the share of toxic ones (0.5 without any labels); repeated rows get equal answers; extra columns are ignored.
+score is the share of toxic ones, from 0.02 to 0.49, so that nothing is rejected without evidence (0.02 without any labels); repeated rows get equal answers; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ STEMS, ENOUGH = (8, 7, 6, 5, 4), 4
 OFFSET, CAP = 1.5, 8.0
 CONFIDENCE = 2.0
 PRIOR = 1.0
-MAX_TRAIN = 16_000
+MAX_TRAIN, MAX_BYTES = 16_000, 96 << 20
 FLOOR, CEILING = -20.0, 60.0
 MEMO = 200_000
 
@@ -158,13 +158,28 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train_rows(docs: DataFrame, labels: DataFrame, column: str, fold: F.Column, max_train: int, name: str) -> DataFrame:
-    """About max_train rows (text, label) at most of the documents that are labelled and in the training fold."""
+def train_rows(docs: DataFrame, labels: DataFrame, column: str, fold: F.Column, max_train: int, name: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(text, label) of the first documents that are labelled and in the training fold, in the order of a 64-bit hash of doc_id.
+
+    At most max_train documents and max_bytes of text: a document that would exceed the bytes is passed over. The bounds hold
+    at any number of labels, and every number of labels gives a full sample.
+    """
+    spark = docs.sparkSession
     label = F.col(column).cast("int")
     known = labels.where(F.col("doc_id").isNotNull() & label.isin(0, 1) & fold).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias(column))
-    share = min(1.0, max_train / max(1, known.count()))
-    picked = docs.select(F.col("doc_id").cast("long"), "text").where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000))
-    return common.cut(picked.join(known, "doc_id").select("text", column), name)
+    there = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    # max_train rows at most, so small enough for a broadcast
+    picked = common.cut(there.withColumn("hash", F.xxhash64("doc_id", F.lit(17))).orderBy("hash", "doc_id").limit(max_train), f"{name}-picked")
+    rows = common.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id"), name)
+    sizes = rows.groupBy("hash", "doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).collect()
+    left, chosen = max_bytes, []
+    for r in sorted(sizes):
+        if r["size"] <= left:
+            left -= r["size"]
+            chosen.append((r["doc_id"],))
+    if len(chosen) < len(sizes):
+        rows = rows.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long")), "doc_id", "left_semi")
+    return rows.select("text", column)
 
 
 def lexicon(rows: list[tuple[str, int, int]], t0: int, t1: int) -> Model:
@@ -202,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     learn, hold = train.where("pmod(xxhash64(text), 3) > 0"), train.where("pmod(xxhash64(text), 3) = 0")
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
-        p = min(0.98, max(0.02, sizes.get(1, 0) / sum(sizes.values()))) if sizes else 0.5
+        p = min(0.49, max(0.02, sizes.get(1, 0) / sum(sizes.values()))) if sizes else 0.02
         return Model(height=math.log(p / (1 - p)))
     places = learn.mapInArrow(_occurrences, "word string, near string, toxic int").groupBy("word", F.xxhash64("near").alias("near")).agg(F.min("toxic").alias("toxic"))
     counts = common.cut(places.groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("y0"), F.sum("toxic").alias("y1")), "toxicity-words")
