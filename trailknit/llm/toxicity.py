@@ -14,8 +14,8 @@ what the driver collects; documents come in the order of a hash of doc_id, which
 table it sends to the executors has only words and prefixes with evidence of toxicity in that sample. All documents are scored over their whole text.
 
 Edge cases: null and empty texts score low (no segments); null labels are ignored, of several labels of a document the
-highest counts; a row without doc_id is scored and is not held out; without labelled documents of both classes every
-score is the share of toxic ones, from 0.02 to 0.49, so that nothing is rejected without evidence (0.02 without any labels); repeated rows get equal answers; extra columns are ignored.
+highest counts; a row without doc_id is scored and is not held out; without labelled documents of both classes in both
+parts of the sample every score is the share of toxic ones, from 0.02 to 0.49, so that nothing is rejected without evidence (0.02 without any labels); repeated rows get equal answers; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -216,9 +216,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     train = train_rows(docs, labels, "toxic", training_fold(), max_train, "toxicity-train")
     learn, hold = train.where("pmod(xxhash64(text), 3) > 0"), train.where("pmod(xxhash64(text), 3) = 0")
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
+    p = min(0.49, max(0.02, sizes.get(1, 0) / sum(sizes.values()))) if sizes else 0.02
+    blank = Model(height=math.log(p / (1 - p)))
     if len(sizes) < 2:
-        p = min(0.49, max(0.02, sizes.get(1, 0) / sum(sizes.values()))) if sizes else 0.02
-        return Model(height=math.log(p / (1 - p)))
+        return blank
     places = learn.mapInArrow(_occurrences, "word string, near string, toxic int").groupBy("word", F.xxhash64("near").alias("near")).agg(F.min("toxic").alias("toxic"))
     counts = common.cut(places.groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("y0"), F.sum("toxic").alias("y1")), "toxicity-words")
     t0, t1 = counts.agg(F.sum("y0"), F.sum("y1")).first()
@@ -231,6 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     family = counts.join(suspect.select("stem"), "stem", "left_semi")
     model = lexicon([(r["word"], r["y0"], r["y1"]) for r in family.union(alone.select(*family.columns)).select("word", "y0", "y1").collect()], t0, t1)
     seen = hold.mapInArrow(_observed(model), "toxic int, n long, raised array<double>, segments array<double>").collect()
+    if len({r["toxic"] for r in seen}) < 2:
+        return blank
     clean = [r for r in seen if not r["toxic"]]
     steps = Counter(round(s, 2) for r in clean for s in r["raised"])
     words = sum(r["n"] for r in clean)
