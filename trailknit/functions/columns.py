@@ -89,8 +89,8 @@ def poi_of_node(name: str) -> Column:
 
 
 def order_key(*parts: Column | str | int) -> Column:
-    """A reproducible random order: the hash of the parts."""
-    return F.xxhash64(*[F.lit(p) if isinstance(p, int) else F.col(p) if isinstance(p, str) else p for p in parts])
+    """A reproducible random order: the MD5 of the parts, written with '-' between them."""
+    return F.md5(F.concat_ws("-", *[F.lit(str(p)) if isinstance(p, int) else (F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
 
 
 def pairs_within(members: str) -> Column:

@@ -8,19 +8,23 @@ from pyspark.sql.window import Window as W
 
 from trailknit.functions import columns as C
 from trailknit.functions import hyperbolic as H
+from trailknit.operators import ordering as O
 
 
 def ranked(df: DataFrame, value: str, out: str, by: list[str] | None = None, method: str = "average", tie: str | None = None) -> DataFrame:
     """out: the rank of the value, tied ranks averaged, or ('ordinal') in the order of `tie`.
 
-    Averaged ranks come from counts of distinct values, so the window runs over those and not over rows.
+    Averaged ranks come from counts of distinct values; without groups these are added up range by range.
     """
     by = by or []
     if method == "ordinal":
         return df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(value, tie)).cast("double"))
     n = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.join(n.withColumn(out, before + (F.col("__n") + 1) / 2).drop("__n"), [*by, value])
+    if by:
+        n = n.withColumn("__before", F.coalesce(F.sum("__n").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    else:
+        n = O.sum_before(n.where(F.col(value).isNotNull()), [F.col(value)], "__n", "__before")
+    return df.join(n.withColumn(out, F.col("__before") + (F.col("__n") + 1) / 2).drop("__n", "__before"), [*by, value])
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None, method: str = "average", tie: str | None = None) -> DataFrame:
@@ -46,9 +50,7 @@ def consensus_pairs(points: DataFrame, key: str, path: Column, x: str, partners:
     p = points.select(F.col(key).alias("a"), path.alias("pa"), H.radius(F.col(x)).alias("ra"), H.to_klein(F.col(x)).alias("ka"))
     p = p.withColumn("ga", 1 / F.sqrt(F.greatest(1 - H.dot(F.col("ka"), F.col("ka")), F.lit(H.TINY))))
     n = p.count()
-    order = p.select("a").orderBy(F.xxhash64(F.lit(seed), "a"), "a").rdd.zipWithIndex().map(lambda v: (v[0][0], v[1]))
-    place = points.sparkSession.createDataFrame(order, "a long, at long")
-    placed = p.join(place, "a")
+    placed = p.join(O.numbered(p.select("a"), [C.order_key(seed, "a"), F.col("a")], "at"), "a")
     other = placed.select(F.col("a").alias("b"), F.col("pa").alias("pb"), F.col("ra").alias("rb"), F.col("ka").alias("kb"), F.col("ga").alias("gb"), F.col("at").alias("to"))
     pairs = placed.select("*", F.explode(F.sequence(F.lit(1), F.lit(min(partners, max(1, n - 1))))).alias("s")).withColumn("to", F.pmod(F.col("at") + F.col("s"), F.lit(n))).join(other, "to").where("a <> b")
     da, db = F.size("pa"), F.size("pb")
@@ -58,12 +60,19 @@ def consensus_pairs(points: DataFrame, key: str, path: Column, x: str, partners:
     return pairs.select("a", "b", da.alias("da"), db.alias("db"), (1 - C.shared_depth(F.col("pa"), F.col("pb")) / F.greatest(F.least(da, db), F.lit(1))).alias("divergence"), ((F.col("ra") + F.col("rb")) / 2 - F.col("rm")).alias("drop"))
 
 
-def consensus_summary(pairs: DataFrame, least: int = 300) -> DataFrame:
-    """One row: mean drop, and the mean Spearman correlation of divergence and drop within pairs of equal depths, by their number."""
+def consensus_summary(pairs: DataFrame, least: int = 300, depths: tuple[int, int] = (1, 7)) -> DataFrame:
+    """One row: the mean drop, and mean Spearman correlations of divergence and drop within strata of depths from the least to the most of `depths`, weighted by pairs.
+
+    equal_depth_rho is over strata of two equal depths, stratified_rho over all strata of a lower and a higher one;
+    a stratum needs `least` pairs and two different divergences.
+    """
     p = pairs.withColumns({"lo": F.least("da", "db"), "hi": F.greatest("da", "db"), "drop": F.round("drop", 9)})
-    fit = p.groupBy("lo", "hi").agg(F.count("*").alias("c"), F.countDistinct("divergence").alias("k")).where((F.col("c") >= least) & (F.col("k") >= 2))
+    fit = p.where((F.col("lo") >= depths[0]) & (F.col("hi") <= depths[1])).groupBy("lo", "hi").agg(F.count("*").alias("c"), F.countDistinct("divergence").alias("k")).where((F.col("c") >= least) & (F.col("k") >= 2))
     rho = spearman(p.join(fit, ["lo", "hi"]), "divergence", "drop", ["lo", "hi"])
-    return rho.agg((F.sum(F.col("rho") * F.col("n")) / F.sum("n")).alias("equal_depth_rho"), F.count("*").alias("strata")).join(p.agg(F.avg("drop").alias("mean_drop"), F.count("*").alias("n_pairs")))
+    equal = F.col("lo") == F.col("hi")
+    mean = lambda some: F.sum(F.when(some, F.col("rho") * F.col("n"))) / F.sum(F.when(some, F.col("n")))
+    stats = rho.agg(mean(equal).alias("equal_depth_rho"), F.count_if(equal).alias("equal_strata"), mean(F.lit(True)).alias("stratified_rho"), F.count("*").alias("strata"))
+    return stats.join(F.broadcast(p.agg(F.avg("drop").alias("mean_drop"), F.count("*").alias("n_pairs"))))
 
 
 def nearest(points: DataFrame, queries: DataFrame, key: str, x: str, k: int = 10, metric: str = "hyperbolic") -> DataFrame:
@@ -149,9 +158,15 @@ def fused(scores: DataFrame, group: str, member: str, item: str, score: str) ->
     return base.join(duel.groupBy(group, F.col("i").alias(item)).agg(F.sum("w").alias("copeland")), [group, item], "left").fillna(0, ["copeland"])
 
 
-def nearest_node(consensus: DataFrame, nodes: DataFrame, key: str, x: str, name: str, y: str) -> DataFrame:
-    """(key, name, distance): the node nearest to each group's midpoint; nodes are categories, a small table."""
-    d = consensus.crossJoin(F.broadcast(nodes.select(name, F.col(y).alias("__y")))).withColumn("distance", F.round(H.distance(F.col(x), F.col("__y")), 9))
+def nearest_node(consensus: DataFrame, nodes: DataFrame, key: str, x: str, name: str, y: str, own: bool = True, most: int = 20_000) -> DataFrame:
+    """(key, name, distance): the node nearest to each group's midpoint (own: be it of the same key).
+
+    Nodes are a taxonomy's categories, a stated query set held against all groups: `most` is checked, more are an error.
+    """
+    if nodes.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} nodes")
+    pairs = consensus.crossJoin(F.broadcast(nodes.select(name, F.col(y).alias("__y"))))
+    d = (pairs if own else pairs.where(F.col(key) != F.col(name))).withColumn("distance", F.round(H.distance(F.col(x), F.col("__y")), 9))
     return d.groupBy(key).agg(F.min_by(name, F.struct("distance", name)).alias(name), F.min("distance").alias("distance"))
 
 

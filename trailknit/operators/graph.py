@@ -6,14 +6,23 @@ repeats; numbers for nodes are given at the end, by layer and name, so that they
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from trailknit.functions import columns as C
+from trailknit.operators import ordering as O
+from trailknit.operators import prepare as P
+from trailknit.operators import scratch
 
 LAYERS = ("taxonomy", "spatial", "near", "follow", "visit", "prefer", "friend", "group")
-BEHAVIOURAL = ("FOLLOWED_BY", "VISITED", "PREFERS_CATEGORY", "CO_ATTENDED", "MEMBER_OF", "OCCURRED_AT")
+# Relations of behaviour between venues.
+BEHAVIOURAL = ("CO_VISITED_WITH", "FOLLOWED_BY", "VISITED", "VISITED_AT_HOUR", "VISITED_ON")
+#: The Earth's mean radius.
+EARTH_KM = 6371.0088
 
 
 def _node(kind: str, key: Column | str) -> Column:
@@ -54,43 +63,50 @@ def spatial(venues: DataFrame) -> DataFrame:
     return clean(a.unionByName(b))
 
 
-def nearest(venues: DataFrame, k: int = 10, metric: str = "sinusoidal", cell: float = 0.1, most: int = 24) -> DataFrame:
+def nearest(venues: DataFrame, k: int = 10, metric: str = "sinusoidal", cell: float = 0.1, most: int = 16) -> DataFrame:
     """(poi_idx, neighbour, distance): each venue's k nearest, ties by number.
 
-    Venues meet in grid cells of the plane (cos(lat) * lon, lat) only: rings of cells are doubled for those venues whose k-th
-    neighbour is not yet nearer than the ring's edge, so the join never pairs all with all unless k needs it.
+    Venues meet in grid cells only: of the plane (cos(lat) * lon, lat), or of the unit sphere for 'haversine', where a chord
+    tells the great circle and nothing wraps. Venues whose k-th neighbour is not yet nearer than the neighbouring cells reach
+    go on with cells of twice the size, so every round joins each venue with 9 (27) cells and no round joins all with all
+    unless one cell holds all. A round's result is a table, so no round runs twice.
     """
-    v = venues.where(C.finite("latitude", "longitude")).select("poi_idx", F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("lon"))
+    v = venues.where(C.finite("latitude", "longitude")).select("poi_idx", F.radians(F.col("latitude").cast("double")).alias("phi"), F.radians(F.col("longitude").cast("double")).alias("lam"))
     if metric == "haversine":
-        v = v.withColumns({"x": F.radians("lon"), "y": F.radians("lat")})
+        at, unit = [F.cos("phi") * F.cos("lam"), F.cos("phi") * F.sin("lam"), F.sin("phi")], cell * 3.141592653589793 / 180
     else:
-        v = v.withColumns({"x": F.cos(F.radians("lat")) * F.col("lon"), "y": F.col("lat")})
-    scale = cell if metric == "sinusoidal" else cell * 3.14159 / 180
-    v = v.withColumns({"cx": F.floor(F.col("x") / scale), "cy": F.floor(F.col("y") / scale)})
+        at, unit = [F.cos("phi") * F.degrees("lam"), F.degrees("phi")], cell
+    v = v.select("poi_idx", "phi", "lam", F.array(*at).alias("p"))
+    v = scratch.cut(v, "venues")
     n = v.count()
     k = min(k, max(0, n - 1))
-    other = v.select(F.col("poi_idx").alias("neighbour"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("cx").alias("gx"), F.col("cy").alias("gy"))
     if metric == "haversine":
-        dist = 2 * 6371.0088 * F.asin(F.sqrt(F.least(F.lit(1.0), F.pow(F.sin((F.col("y2") - F.col("y")) / 2), 2) + F.cos("y") * F.cos("y2") * F.pow(F.sin((F.col("x2") - F.col("x")) / 2), 2))))
+        half = lambda x: F.pow(F.sin(x / 2), 2)
+        dist = 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), half(F.col("phi2") - F.col("phi")) + F.cos("phi") * F.cos("phi2") * half(F.col("lam2") - F.col("lam")))))
+        reach = lambda d: 2 * EARTH_KM * math.asin(min(1.0, d / 2))
     else:
-        dist = F.sqrt(F.pow(F.col("x2") - F.col("x"), 2) + F.pow(F.col("y2") - F.col("y"), 2))
-    done, left, ring = None, v, 1
-    while ring < (1 << most):
-        side = F.sequence(F.lit(-ring), F.lit(ring))
-        asked = left.select("*", F.explode(side).alias("dx")).select("*", F.explode(side).alias("dy")).select("poi_idx", "x", "y", (F.col("cx") + F.col("dx")).alias("gx"), (F.col("cy") + F.col("dy")).alias("gy")) if ring <= 8 else None
-        met = asked.join(other, ["gx", "gy"]) if asked is not None else left.select("poi_idx", "x", "y").join(F.broadcast(other) if n <= 200_000 else other)
-        met = met.where("poi_idx <> neighbour").withColumn("distance", dist)
+        dist = F.sqrt(F.pow(F.col("p2")[0] - F.col("p")[0], 2) + F.pow(F.col("p2")[1] - F.col("p")[1], 2))
+        reach = float
+    done, left = None, v
+    for step in range(most):
+        size = unit * 2**step
+        key = lambda p: F.transform(p, lambda x: F.floor(x / size))  # noqa: E731, B023
+        moves = [list(m) for m in itertools.product((-1, 0, 1), repeat=len(at))]
+        near = F.explode(F.array(*[F.zip_with(key(F.col("p")), F.array(*[F.lit(x).cast("long") for x in m]), lambda a, b: a + b) for m in moves]))
+        asked = left.select("*", near.alias("cell"))
+        other = v.select(F.col("poi_idx").alias("neighbour"), F.col("phi").alias("phi2"), F.col("lam").alias("lam2"), F.col("p").alias("p2"), key(F.col("p")).alias("cell"))
+        met = asked.join(other, "cell").where("poi_idx <> neighbour").withColumn("distance", dist)
         ranked = met.withColumn("rn", F.row_number().over(W.partitionBy("poi_idx").orderBy("distance", "neighbour"))).where(F.col("rn") <= k).select("poi_idx", "neighbour", "distance", "rn")
-        if asked is None:
-            return ranked.drop("rn") if done is None else done.union(ranked.drop("rn"))
-        edge = ring * cell if metric == "sinusoidal" else float("nan")
-        sure = ranked.where((F.col("rn") == k) & (F.col("distance") < edge)).select("poi_idx")
+        ranked = scratch.cut(ranked, f"near-{step}")
+        last = step == most - 1
+        sure = ranked.where((F.col("rn") == k) & ((F.col("distance") < reach(size)) | F.lit(last))).select("poi_idx")
         part = ranked.join(sure, "poi_idx", "left_semi").drop("rn")
         done = part if done is None else done.union(part)
-        left = left.join(sure, "poi_idx", "left_anti")
+        if last or k == 0:
+            break
+        left = scratch.cut(left.join(sure, "poi_idx", "left_anti"), f"left-{step}")
         if left.isEmpty():
-            return done
-        ring *= 4
+            break
     return done
 
 
@@ -195,9 +211,7 @@ def hierarchy(edges: DataFrame) -> DataFrame:
 def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities (id, name, type), relations (id, name, count), triples (h, r, t)); ids by first layer and name."""
     nodes = edges.select(F.col("h").alias("name"), F.col("h_type").alias("type"), "layer").union(edges.select("t", "t_type", "layer")).groupBy("name").agg(F.min("type").alias("type"), F.min("layer").alias("layer"))
-    ordered = nodes.repartitionByRange("layer", "name").sortWithinPartitions("layer", "name").select("name", "type")
-    spark = edges.sparkSession
-    entities = spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1])), "id long, name string, type string")
+    entities = O.numbered(nodes, [F.col("layer"), F.col("name")], "id").select("id", "name", "type")
     rels = edges.groupBy(F.col("rel").alias("name")).agg(F.count("*").alias("count"), F.min("layer").alias("layer"))
     relations = rels.withColumn("id", F.row_number().over(W.orderBy("layer", "name")) - 1).select("id", "name", "count")
     triples = edges.join(entities.select(F.col("id").alias("hi"), F.col("name").alias("h")), "h").join(entities.select(F.col("id").alias("ti"), F.col("name").alias("t")), "t").join(F.broadcast(relations.select(F.col("id").alias("r"), F.col("name").alias("rel"))), "rel")
@@ -223,7 +237,7 @@ def taxonomy_siblings(venues: DataFrame, levels: tuple[int, ...] = (2,), partner
     v = venues.select("poi_idx", C.category_path("category").alias("path"))
     for k in levels:
         p = v.where(F.size("path") >= k).withColumn("prefix", C.prefix(F.col("path"), k))
-        w = W.partitionBy("prefix").orderBy(F.xxhash64(F.lit(seed), "poi_idx"), "poi_idx")
+        w = W.partitionBy("prefix").orderBy(C.order_key(seed, "poi_idx"), "poi_idx")
         p = p.withColumns({"rn": F.row_number().over(w), "n": F.count("*").over(W.partitionBy("prefix"))})
         steps = p.select("prefix", "poi_idx", F.explode(F.sequence(F.lit(1), F.least(F.lit(partners), F.col("n") - 1))).alias("s"), "rn", "n").where("n > 1").withColumn("to", F.pmod(F.col("rn") - 1 + F.col("s"), F.col("n")) + 1)
         q = p.select("prefix", F.col("rn").alias("to"), F.col("poi_idx").alias("b"))
@@ -234,7 +248,7 @@ def taxonomy_siblings(venues: DataFrame, levels: tuple[int, ...] = (2,), partner
 
 def capped(edges: DataFrame, most: int, seed: int = 42) -> DataFrame:
     """Each relation's `most` edges of the least hash."""
-    w = W.partitionBy("rel").orderBy(F.xxhash64(F.lit(seed), "a", "rel", "b"), "a", "b")
+    w = W.partitionBy("rel").orderBy(C.order_key(seed, "a", "rel", "b"), "a", "b")
     return edges.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
 
 
@@ -245,6 +259,21 @@ def venue_triples(edges: DataFrame, venues: DataFrame, derive: tuple[int, ...] =
     return e.join(F.broadcast(ids), "rel").select("a", "rel", "rel_id", "b")
 
 
+def behavioural(edges: DataFrame) -> DataFrame:
+    """(rel, n): the relations of behaviour among the edges (a, rel, b), which must be built from training data alone."""
+    return edges.where(F.col("rel").isin(*BEHAVIOURAL)).groupBy("rel").agg(F.count("*").alias("n"))
+
+
+def broken_rules(groups: DataFrame, ties: DataFrame, old: DataFrame, new: DataFrame, sizes: tuple[int, int] = (2, 8), span: int = 60) -> dict[str, DataFrame]:
+    """By audit, the rows that break its rule."""
+    return {
+        "group_size": groups.where(~F.size("members").between(*sizes)),
+        "group_span": groups.where((F.col("end_minute") - F.col("start_minute") > span) | (F.col("end_minute") < F.col("start_minute"))),
+        "leaked_friends": P.leaked_pairs(new, old),
+        "tie_order": ties.where("u1 >= u2"),
+    }
+
+
 # ---------------------------------------------------------------- the older graph with attributes
 
 

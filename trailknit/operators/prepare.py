@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from trailknit.functions import columns as C
+from trailknit.operators import ordering as O
 
 TRAIN, VAL = 0.7, 0.1
 
@@ -26,16 +27,9 @@ def activity_filter(checkins: DataFrame, min_venue: int = 10, min_user: int = 30
 
 
 def compact_ids(df: DataFrame, raw: str, new: str, numeric: bool = True) -> DataFrame:
-    """(raw, new): numbers from 0 in the order of the distinct raw ids, numeric ones by length and then text.
-
-    Ranks are taken within ranges of the order and shifted by the ranges' sizes, so no task sorts all ids.
-    """
-    order = [F.length(raw), F.col(raw)] if numeric else [F.col(raw)]
-    ids = df.select(F.col(raw).cast("string").alias(raw)).distinct()
-    ranged = ids.repartitionByRange(*order).sortWithinPartitions(*order)
-    # zipWithIndex counts each sorted partition once and numbers rows by the sums of those before
-    numbered = ranged.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    return df.sparkSession.createDataFrame(numbered, f"{raw} string, {new} long")
+    """(raw, new): numbers from 0 in the order of the distinct raw ids, numeric ones by length and then text; null has no number."""
+    ids = df.select(F.col(raw).cast("string").alias(raw)).where(F.col(raw).isNotNull()).distinct()
+    return O.numbered(ids, [F.length(raw), F.col(raw)] if numeric else [F.col(raw)], new)
 
 
 def chronological_split(checkins: DataFrame, train: float = TRAIN, val: float = VAL, tie: str = "event_id") -> DataFrame:
@@ -50,11 +44,10 @@ def chronological_split(checkins: DataFrame, train: float = TRAIN, val: float =
 
 
 def fraction_split(df: DataFrame, fraction: float, *order: str) -> DataFrame:
-    """'train' for the first int(fraction * N) rows of an order, else 'test'; by a quantile of the order, not by one sorted task."""
-    n = df.count()
-    head = df.select(*order).orderBy(*order).limit(int(fraction * n))
-    edge = head.agg(F.max(F.struct(*order)).alias("edge"))
-    return df.join(F.broadcast(edge)).withColumn("split", F.when(F.struct(*order) <= F.col("edge"), "train").otherwise("test")).drop("edge")
+    """'train' for the first int(fraction * N) rows of an order, else 'test'; rows are numbered range by range, not in one sorted task."""
+    n = df.agg(F.count("*").alias("__n"))
+    placed = O.numbered(df, [F.col(c) for c in order], "__at").join(F.broadcast(n))
+    return placed.withColumn("split", F.when(F.col("__at") < F.floor(F.lit(fraction) * F.col("__n")), "train").otherwise("test")).drop("__at", "__n")
 
 
 def with_metadata(checkins: DataFrame, metadata: DataFrame, key: str = "poi_idx") -> DataFrame:

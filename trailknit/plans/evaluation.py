@@ -68,10 +68,19 @@ def map_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("vec_id", gap("u", "x").alias("origin_error"), gap("v", "y").alias("base_error"), gap("k", "x").alias("klein_error"))
 
 
-@query(T.sql(POINTS, "d AS (SELECT vec_id, list_dot_product(x, x) AS n FROM points)", select="SELECT vec_id, round(n, 6) AS turned, round(n, 6) AS norm2 FROM d"))
+@query(T.sql(POINTS, "t AS (SELECT vec_id, i, x[2 * i - 1] AS a, x[2 * i] AS b, CAST(i AS DOUBLE) / 7 AS w FROM points, (SELECT unnest(generate_series(1, 32)) AS i))", select="SELECT vec_id, CAST(i AS INTEGER) AS i, round(cos(w) * a - sin(w) * b, 6) + 0 AS u, round(sin(w) * a + cos(w) * b, 6) + 0 AS v FROM t"))
 def givens_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = H.givens(F.col("x"), F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: i.cast("double") / 7))
-    return points(spark, sf_dir).select("vec_id", F.round(H.dot(turned, turned), 6).alias("turned"), F.round(H.dot(F.col("x"), F.col("x")), 6).alias("norm2"))
+    t = points(spark, sf_dir).select("vec_id", turned.alias("t")).select("vec_id", "t", F.explode(F.sequence(F.lit(1), F.lit(32))).alias("i"))
+    return t.select("vec_id", "i", *[(F.round(F.get("t", 2 * F.col("i") - k), 6) + 0).alias(n) for n, k in (("u", 2), ("v", 1))])
+
+
+@query(T.sql(POINTS, "n AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS n, list_dot_product(x, x) AS q FROM points)", select="SELECT vec_id, round(atanh(n), 6) AS log_norm, round(atanh(n) / n * x[1], 6) + 0 AS log_first, round(tanh(n) / n * x[2], 6) + 0 AS exp_second, round(2 / (1 + q) * x[3], 6) + 0 AS klein_third FROM n"))
+def tangent_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maps to and from the tangent space at the origin, and to the Klein model, by coordinates."""
+    p = points(spark, sf_dir).select("vec_id", H.logmap0(F.col("x")).alias("l"), H.expmap0(F.col("x")).alias("e"), H.to_klein(F.col("x")).alias("k"))
+    coordinate = lambda c, i: F.round(F.get(c, i), 6) + 0
+    return p.select("vec_id", F.round(H.norm(F.col("l")), 6).alias("log_norm"), coordinate("l", 0).alias("log_first"), coordinate("e", 1).alias("exp_second"), coordinate("k", 2).alias("klein_third"))
 
 
 MIDPOINT = """klein AS (SELECT vec_id, label, x, list_transform(x, lambda v: 2 * v / (1 + list_dot_product(x, x))) AS k FROM points),
@@ -103,10 +112,23 @@ def radius_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.radial_hierarchy(points(spark, sf_dir), "depth", "x")[1].select("depth", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "n", "rising")
 
 
-@query()
+CONSENSUS = f"""o AS (SELECT *, list_transform(generate_series(1, depth), lambda i: i || '-' || CAST(floor(label / pow(2, 5 - i)) AS BIGINT)) AS path, row_number() OVER (ORDER BY md5('7-' || vec_id), vec_id) - 1 AS at, count(*) OVER () AS n FROM radii),
+pair AS (SELECT a.depth AS da, b.depth AS db, a.path AS pa, b.path AS pb, a.r AS ra, b.r AS rb, a.x AS xa, b.x AS xb, list_dot_product(a.x, a.x) AS qa, list_dot_product(b.x, b.x) AS qb, list_dot_product(a.x, b.x) AS ab
+  FROM o a, (SELECT unnest(generate_series(1, 40)) AS s) JOIN o b ON b.at = (a.at + s) % a.n),
+g AS (SELECT *, (1 + qa) / (1 - qa) AS ga, (1 + qb) / (1 - qb) AS gb FROM pair),
+k AS (SELECT *, (ga * ga * 4 * qa / pow(1 + qa, 2) + gb * gb * 4 * qb / pow(1 + qb, 2) + 2 * ga * gb * 4 * ab / ((1 + qa) * (1 + qb))) / pow(ga + gb, 2) AS kk FROM g),
+d AS (SELECT least(da, db) AS lo, greatest(da, db) AS hi, 1 - len(list_filter(generate_series(1, least(da, db)), lambda i: pa[1:i] = pb[1:i])) / least(da, db) AS divergence,
+  round((ra + rb) / 2 - 2 * atanh(least(sqrt(kk) / (1 + sqrt(1 - kk)), CAST(0.99999 AS DOUBLE))), 9) AS drop_ FROM k),
+fit AS (SELECT lo, hi FROM d GROUP BY 1, 2 HAVING count(*) >= 300 AND count(DISTINCT divergence) >= 2),
+ranked AS (SELECT lo, hi, {_rank('divergence', 'lo, hi')} AS a, {_rank('drop_', 'lo, hi')} AS b FROM d JOIN fit USING (lo, hi)),
+rho AS (SELECT lo, hi, count(*) AS n, corr(a, b) AS rho FROM ranked GROUP BY 1, 2)"""
+
+
+@query(T.sql(POINTS, RADII, CONSENSUS, select="SELECT round(sum(CASE WHEN lo = hi THEN rho * n END) / sum(CASE WHEN lo = hi THEN n END), 4) AS equal_depth_rho, count(*) FILTER (WHERE lo = hi) AS equal_strata, round(sum(rho * n) / sum(n), 4) AS stratified_rho, count(*) AS strata, (SELECT round(avg(drop_), 6) FROM d) AS mean_drop, (SELECT count(*) FROM d) AS n_pairs FROM rho"))
 def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.transform(F.sequence(F.lit(1), F.col("depth")), lambda i: F.concat_ws("-", i.cast("string"), F.floor(F.col("label") / F.pow(F.lit(2), 5 - i)).cast("string")))
-    return E.consensus_summary(E.consensus_pairs(points(spark, sf_dir), "vec_id", path, "x", 40))
+    s = E.consensus_summary(E.consensus_pairs(points(spark, sf_dir), "vec_id", path, "x", 40))
+    return s.withColumns({"equal_depth_rho": F.round("equal_depth_rho", 4), "stratified_rho": F.round("stratified_rho", 4), "mean_drop": F.round("mean_drop", 6)})
 
 
 NEAR = """q AS (SELECT * FROM points WHERE vec_id % 20 = 0),
@@ -152,7 +174,7 @@ def rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("n", *[F.round(c, 6).alias(c) for c in ("acc1", "acc5", "acc10", "mrr")])
 
 
-LINKS = """known AS (SELECT DISTINCT l_suppkey AS h, l_returnflag AS r, l_linenumber AS t FROM lineitem WHERE l_linenumber <= 3),
+LINKS = """known AS (SELECT DISTINCT l_suppkey AS h, l_returnflag AS r, l_linenumber AS t FROM lineitem),
 cand AS (SELECT h, r, t, c AS candidate, CAST((h * 7 + c * 13 + t) % 11 AS DOUBLE) AS score FROM known, (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS c)),
 own AS (SELECT h, r, t, score AS own FROM cand WHERE candidate = t),
 rival AS (SELECT c.* FROM cand c WHERE candidate <> t AND NOT EXISTS (SELECT 1 FROM known k WHERE k.h = c.h AND k.r = c.r AND k.t = c.candidate)),
@@ -161,7 +183,7 @@ lr AS (SELECT o.h, o.r, o.t, count(x.candidate) + 1 AS rank FROM own o LEFT JOIN
 
 @query(T.sql(LINKS, select="SELECT r AS relation, count(*) AS n, round(avg(1 / rank), 6) AS mrr, round(avg(CASE WHEN rank <= 1 THEN 1 ELSE 0 END), 6) AS hits1, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6) AS hits10 FROM lr GROUP BY ROLLUP (r)"))
 def link_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = T.read(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(F.col("l_suppkey").alias("h"), F.col("l_returnflag").alias("r"), F.col("l_linenumber").alias("t")).distinct()
+    known = T.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("h"), F.col("l_returnflag").alias("r"), F.col("l_linenumber").alias("t")).distinct()
     cand = known.withColumn("candidate", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("score", ((F.col("h") * 7 + F.col("candidate") * 13 + F.col("t")) % 11).cast("double"))
     m = E.link_prediction(E.filtered_ranks(cand, known))
     return m.select("relation", "n", *[F.round(c, 6).alias(c) for c in ("mrr", "hits1", "hits10")])
@@ -197,8 +219,8 @@ def fused_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.fused(s, "g", "m", "i", "s").select("g", "i", *[F.round(c, 4).alias(c) for c in ("average", "least", "most")], "borda", F.col("copeland").cast("double").alias("copeland"))
 
 
-@query(T.sql(POINTS, MIDPOINT, "d AS (SELECT a.label, b.label AS node, round(acosh(greatest(1 + 2 * (list_dot_product(a.m, a.m) + list_dot_product(b.m, b.m) - 2 * list_dot_product(a.m, b.m)) / ((1 - list_dot_product(a.m, a.m)) * (1 - list_dot_product(b.m, b.m))), CAST(1.0000001 AS DOUBLE))), 9) AS d FROM mids a JOIN mids b ON a.label <> b.label OR a.label % 2 = 0)", select="SELECT label, CAST(node AS INTEGER) AS node, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, node) AS rn FROM d WHERE node % 2 = 0) WHERE rn = 1"))
+@query(T.sql(POINTS, MIDPOINT, "d AS (SELECT a.label, b.label AS node, round(acosh(greatest(1 + 2 * (list_dot_product(a.m, a.m) + list_dot_product(b.m, b.m) - 2 * list_dot_product(a.m, b.m)) / ((1 - list_dot_product(a.m, a.m)) * (1 - list_dot_product(b.m, b.m))), CAST(1.0000001 AS DOUBLE))), 9) AS d FROM mids a JOIN mids b ON a.label <> b.label)", select="SELECT label, CAST(node AS INTEGER) AS node, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, node) AS rn FROM d) WHERE rn = 1"))
 def consensus_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = H.midpoints(points(spark, sf_dir), "label", "x")
-    nodes = m.where("label % 2 = 0").select(F.col("label").alias("node"), F.col("midpoint").alias("y"))
-    return E.nearest_node(m, nodes, "label", "midpoint", "node", "y").withColumn("distance", F.round("distance", 6))
+    nodes = m.select(F.col("label").alias("node"), F.col("midpoint").alias("y"))
+    return E.nearest_node(m, nodes, "label", "midpoint", "node", "y", own=False).withColumn("distance", F.round("distance", 6))

@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 COS = """{n}_c AS (SELECT user_id, {key} AS key, count(*) AS n FROM train JOIN venues USING (poi_idx) GROUP BY 1, 2),
 {n}_w AS (SELECT user_id, key, n / sqrt(sum(n * n) OVER (PARTITION BY user_id)) AS w FROM {n}_c),
 {n} AS (SELECT a.user_id AS u1, b.user_id AS u2, sum(a.w * b.w) AS value FROM {n}_w a JOIN {n}_w b ON a.key = b.key AND a.user_id < b.user_id GROUP BY 1, 2)"""
-TASTE = COS.format(n="taste", key="split_part(category, '>', 1)")
+TASTE = COS.format(n="taste", key="category")
 BRAND = COS.format(n="brand", key="category")
 RHYTHM = COS.format(n="rhythm", key="(isodow(utc_time) - 1) * 24 + hour(utc_time)")
 TERRITORY = COS.format(n="territory", key="locality")
@@ -110,7 +110,19 @@ def similar_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.similar_preference(A.profile(t, F.col("category")), 10, 0.3)
 
 
-@query()
+CLIQUES = """cut AS (SELECT quantile_cont(combined, 0.95) AS c FROM scored), e AS (SELECT u1, u2 FROM scored, cut WHERE combined >= c),
+near AS (SELECT u, list(v) AS near FROM (SELECT u1 AS u, u2 AS v FROM e UNION ALL SELECT u2, u1 FROM e) GROUP BY 1),
+s1 AS (SELECT u AS anchor, [u] AS members, near AS open FROM near)"""
+
+
+def _grown(i: int) -> str:
+    pick = "list_aggregate(list_transform(open, lambda v: md5('42-' || anchor || '-' || v) || v), 'min')"
+    return f"""p{i} AS (SELECT anchor, members, open, CAST(substr({pick}, 33) AS BIGINT) AS pick FROM s{i}),
+s{i + 1} AS (SELECT anchor, CASE WHEN pick IS NULL THEN members ELSE list_append(members, pick) END AS members,
+  CASE WHEN pick IS NULL THEN open ELSE list_filter(open, lambda v: list_contains(near, v)) END AS open FROM p{i} LEFT JOIN near ON pick = u)"""
+
+
+@query(T.sql(*AFFINITY, CLIQUES, *[_grown(i) for i in (1, 2, 3)], select="SELECT anchor, array_to_string(members, '|') AS members FROM s4"))
 def affinity_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
     """anchor, members: cliques of the affinity graph at its 95th percentile, grown by least hash."""
     scores, none, n = _affinity(spark, sf_dir)
@@ -205,9 +217,26 @@ def venue_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.venue_edges(_graph(spark, sf_dir), exclude=("FOLLOWED_BY",))
 
 
-@query()
+def _siblings(level: int, prefix: str) -> str:
+    return f"""l{level} AS (SELECT {prefix} AS prefix, poi_idx, row_number() OVER (PARTITION BY {prefix} ORDER BY md5('42-' || poi_idx), poi_idx) - 1 AS i, count(*) OVER (PARTITION BY {prefix}) AS n FROM venues),
+t{level} AS (SELECT x.poi_idx AS a, 'SAME_TAXONOMY_L{level}' AS rel, y.poi_idx AS b FROM l{level} x, (SELECT unnest(generate_series(1, 8)) AS s) JOIN l{level} y ON x.prefix = y.prefix AND y.i = (x.i + s) % x.n WHERE s <= x.n - 1)"""
+
+
+VENUE_TRIPLES = """v AS (SELECT DISTINCT CAST(split_part(h, ':', 2) AS BIGINT) AS a, rel, CAST(split_part(t, ':', 2) AS BIGINT) AS b FROM kg WHERE h LIKE 'poi:%' AND t LIKE 'poi:%'
+  UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2),
+few AS (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY md5('42-' || a || '-' || rel || '-' || b), a, b) AS rn FROM v)"""
+
+
+@query(T.sql(*GRAPH, _siblings(1, "split_part(category, '>', 1)"), _siblings(2, "category"), VENUE_TRIPLES, select="SELECT a, rel, CAST(dense_rank() OVER (ORDER BY rel) - 1 AS INTEGER) AS rel_id, b FROM few WHERE rn <= 500", recursive=True))
 def venue_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.venue_triples(_graph(spark, sf_dir), T.venues(spark, sf_dir), derive=(1, 2))
+    """Venue-to-venue triples with taxonomy siblings, 500 of each relation by least hash."""
+    return K.venue_triples(_graph(spark, sf_dir), T.venues(spark, sf_dir), derive=(1, 2), most=500)
+
+
+@query(T.sql(*GRAPH, select="SELECT rel, count(*) AS n FROM kg WHERE rel IN ('CO_VISITED_WITH', 'FOLLOWED_BY', 'VISITED', 'VISITED_AT_HOUR', 'VISITED_ON') AND h LIKE 'poi:%' AND t LIKE 'poi:%' GROUP BY 1", recursive=True))
+def behavioural_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Behavioural relations among the venue-to-venue edges: these must come from training data alone."""
+    return K.behavioural(K.venue_edges(_graph(spark, sf_dir)))
 
 
 @query(T.sql(T.CHECKINS, T.groups_sql(), "members AS (SELECT group_id, unnest(m) AS u FROM groups)", """rows AS (
@@ -229,20 +258,36 @@ def depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.venues(spark, sf_dir).groupBy(F.size(F.split("category", ">")).alias("depth")).agg(F.count("*").alias("n"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{a}' AS audit, CAST(0 AS BIGINT) AS violations" for a in ("group_size", "group_span", "self_loops", "leaked_friends", "tie_order")))
-def audits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of rows that break a rule; all are 0."""
-    g, t = T.groups(spark, sf_dir), T.ties(spark, sf_dir)
-    old, new = T.friends(spark, sf_dir)
-    broken = {
-        "group_size": g.where(~F.size("members").between(2, 8)),
-        "group_span": g.where("end_minute - start_minute > 60 or end_minute < start_minute"),
-        "self_loops": K.clean(K.group_layer(g, t, T.venues(spark, sf_dir))).where("h = t"),
-        "leaked_friends": new.join(old, ["u1", "u2"], "left_semi"),
-        "tie_order": t.where("u1 >= u2"),
-    }
+AUDITS = {
+    "group_size": "SELECT count(*) FROM planted_groups WHERE len(m) NOT BETWEEN 2 AND 8",
+    "group_span": "SELECT count(*) FROM planted_groups WHERE t1 - t0 > 60 OR t1 < t0",
+    "leaked_friends": "SELECT count(*) FROM planted_new n WHERE EXISTS (SELECT 1 FROM old o WHERE (o.u1 = n.u1 AND o.u2 = n.u2) OR (o.u1 = n.u2 AND o.u2 = n.u1))",
+    "tie_order": "SELECT count(*) FROM planted_ties WHERE u1 >= u2",
+}
+PLANTED = """planted_groups AS (SELECT group_id, t0, CASE WHEN group_id % 7 = 0 THEN t1 + 61 ELSE t1 END AS t1, CASE WHEN group_id % 5 = 0 THEN [m[1]] ELSE m END AS m FROM groups),
+planted_new AS (SELECT u2 AS u1, u1 AS u2 FROM ties WHERE (u1 * 31 + u2) % 4 = 0), planted_ties AS (SELECT CASE WHEN u1 % 3 = 0 THEN u2 ELSE u1 END AS u1, CASE WHEN u1 % 3 = 0 THEN u1 ELSE u2 END AS u2 FROM ties)"""
+
+
+def _violations(broken: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in broken.items():
         one = df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("audit"), "violations")
         out = one if out is None else out.union(one)
     return out
+
+
+@query(T.sql(T.CHECKINS, T.groups_sql(), T.RARITY, T.TIES, OLD, PLANTED, select=" UNION ALL ".join(f"SELECT '{k}' AS audit, ({v}) AS violations" for k, v in AUDITS.items()), recursive=True))
+def planted_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audits on tables with planted violations."""
+    g, t = T.groups(spark, sf_dir), T.ties(spark, sf_dir)
+    g = g.withColumn("end_minute", F.when(F.col("group_id") % 7 == 0, F.col("end_minute") + 61).otherwise(F.col("end_minute")))
+    g = g.withColumn("members", F.when(F.col("group_id") % 5 == 0, F.slice("members", 1, 1)).otherwise(F.col("members")))
+    new = t.where((F.col("u1") * 31 + F.col("u2")) % 4 == 0).select(F.col("u2").alias("u1"), F.col("u1").alias("u2"))
+    swapped = t.select(F.when(F.col("u1") % 3 == 0, F.col("u2")).otherwise(F.col("u1")).alias("u1"), F.when(F.col("u1") % 3 == 0, F.col("u1")).otherwise(F.col("u2")).alias("u2"))
+    return _violations(K.broken_rules(g, swapped, T.friends(spark, sf_dir)[0], new))
+
+
+@query(T.sql(T.CHECKINS, T.groups_sql(), T.RARITY, T.TIES, OLD, PLANTED.replace("planted_groups AS (SELECT group_id, t0, CASE WHEN group_id % 7 = 0 THEN t1 + 61 ELSE t1 END AS t1, CASE WHEN group_id % 5 = 0 THEN [m[1]] ELSE m END AS m FROM groups)", "planted_groups AS (SELECT * FROM groups)").replace("SELECT u2 AS u1, u1 AS u2 FROM ties WHERE (u1 * 31 + u2) % 4 = 0", "SELECT u1, u2 FROM ties WHERE (u1 * 31 + u2) % 3 = 1").replace("SELECT CASE WHEN u1 % 3 = 0 THEN u2 ELSE u1 END AS u1, CASE WHEN u1 % 3 = 0 THEN u1 ELSE u2 END AS u2 FROM ties", "SELECT u1, u2 FROM ties"), select=" UNION ALL ".join(f"SELECT '{k}' AS audit, ({v}) AS violations" for k, v in AUDITS.items()), recursive=True))
+def audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of rows that break a rule; all are 0."""
+    return _violations(K.broken_rules(T.groups(spark, sf_dir), T.ties(spark, sf_dir), *T.friends(spark, sf_dir)))

@@ -164,10 +164,12 @@ def friendships_new_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.new_only(P.canonical_edges(doubled, "a", "b"), old)
 
 
-@query("SELECT 'friendship' AS audit, CAST(0 AS BIGINT) AS violations")
+@query(T.sql(T.CHECKINS, T.groups_sql(), T.RARITY, T.TIES, "old AS (SELECT u1, u2 FROM ties WHERE (u1 * 31 + u2) % 3 = 0), later AS (SELECT u2 AS u1, u1 AS u2 FROM ties WHERE u1 % 2 = 0)", select="SELECT 'friendship' AS audit, count(*) AS violations FROM later l WHERE EXISTS (SELECT 1 FROM old o WHERE o.u1 = l.u2 AND o.u2 = l.u1)", recursive=True))
 def friendship_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = T.friends(spark, sf_dir)
-    return P.leaked_pairs(new, old).agg(F.count("*").alias("violations")).select(F.lit("friendship").alias("audit"), "violations")
+    """Pairs of a table with planted leaks (either way round) that stand among the old friendships."""
+    old = T.friends(spark, sf_dir)[0]
+    later = T.ties(spark, sf_dir).where("u1 % 2 = 0").select(F.col("u2").alias("u1"), F.col("u1").alias("u2"))
+    return P.leaked_pairs(later, old).agg(F.count("*").alias("violations")).select(F.lit("friendship").alias("audit"), "violations")
 
 
 @query("""WITH n AS (SELECT l_partkey AS poi_idx, l_shipmode AS category, count(*) AS n FROM (SELECT l_partkey, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) GROUP BY 1, 2),

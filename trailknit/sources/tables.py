@@ -24,7 +24,11 @@ def read_splits(spark: SparkSession, folder: str, dataset: str) -> DataFrame:
     for name in ("train", "val", "test"):
         one = spark.read.schema(CHECKIN_SCHEMA).csv(f"{folder}/{name}_{dataset}.csv", header=True).withColumn("orig_split", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    timed = out.withColumn("utc_time", F.try_to_timestamp("utc_time").cast("timestamp_ntz")).where("utc_time is not null")
+    # texts without an offset are UTC; those with one are moved to it, whatever the session's zone is
+    bare = F.expr("try_cast(utc_time as timestamp_ntz)")
+    offset = F.to_utc_timestamp(F.try_to_timestamp("utc_time"), F.current_timezone()).cast("timestamp_ntz")
+    has = F.regexp_like(F.trim("utc_time"), F.lit(r"(?i)\d(\s*[+-]\d{1,2}(:?\d{2})?|\s*z|\s*utc|\s*gmt)$")) & F.col("utc_time").contains(":")
+    timed = out.withColumn("utc_time", F.when(has, offset).otherwise(bare)).where("utc_time is not null")
     return timed.withColumn("venue_id", F.coalesce("venue_id", F.col("poi_idx").cast("string"))).withColumn("minute", C.epoch_minute("utc_time"))
 
 
