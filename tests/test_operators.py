@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trailknit.operators import affinity as A
 from trailknit.operators import evaluation as E
 from trailknit.operators import graph as K
+from trailknit.operators import groups as G
 from trailknit.operators import ordering as O
 from trailknit.operators import prepare as P
 from trailknit.sources import tables as S
@@ -79,3 +80,16 @@ def test_equal_depths_are_apart_from_other_strata(spark):
 def test_behavioural_relations_are_reported(spark):
     edges = spark.createDataFrame([(1, "FOLLOWED_BY", 2), (1, "IS_NEAR_TO", 2), (2, "VISITED_ON", 3), (2, "VISITED_ON", 4)], "a long, rel string, b long")
     assert {(r.rel, r.n) for r in K.behavioural(edges).collect()} == {("FOLLOWED_BY", 1), ("VISITED_ON", 2)}
+
+
+def test_moved_together_on_planted_moves(spark):
+    """Two companions go from one quiet place to another twice, a third joins once; strangers stay."""
+    groups = spark.createDataFrame(
+        [(0, 10, 0, 20, [1, 2]), (1, 20, 90, 110, [1, 2]), (2, 10, 2000, 2030, [1, 2, 3]), (3, 30, 2100, 2120, [1, 2, 3]), (4, 99, 0, 10, [7, 8]), (5, 10, 5000, 5010, [1, 2]), (6, 20, 5400, 5410, [1, 2]), (7, 20, 9000, 9010, [1, 9])],
+        "group_id long, poi_idx long, start_minute long, end_minute long, members array<long>",
+    )
+    rarity = spark.createDataFrame([(10, 1.0), (20, 0.5), (30, 0.25), (99, 0.1)], "poi_idx long, rarity double")
+    moves = G.real_transitions(groups)
+    assert {(r.from_group, r.to_group, r.gap_min, r.n_shared) for r in moves.collect()} == {(0, 1, 70, 2), (2, 3, 70, 3)}
+    got = {(r.u1, r.u2): (r.n_transitions, r.weight_idf) for r in G.moved_together(moves, rarity).collect()}
+    assert got == {(1, 2): (2, 1.375), (1, 3): (1, 0.625), (2, 3): (1, 0.625)}
