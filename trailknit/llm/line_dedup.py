@@ -3,7 +3,8 @@
 Every window of three lines is hashed (two 64-bit hashes); the first window of each hash stays, by (doc_id, text hash,
 position); the lines that later windows cover are removed. Windows are judged on the input. Counting windows by hash
 combines in the map tasks first, so a window that stands in a third of all documents is one row per task; only windows
-that repeat are joined back, in a sort-merge join whose hot partitions Spark splits.
+that repeat are joined back, to an aggregate; Spark can't split a hot partition of that join, which has one row a place of the
+window.
 
 Edge cases: a null text is an empty text of one empty line; texts of fewer than three lines have no window and stay as
 they are; rows with equal doc_id and text count as one document and get equal answers; rows without doc_id come last in
