@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from trailknit.operators import ordering as O
+from trailknit.operators.scratch import cut
+
 REASONS = ("no_companions", "constraint", "inactive", "short_history", "anchor_only")
 
 
@@ -37,8 +40,8 @@ def prefix_top(split: DataFrame, value: str, k: int) -> DataFrame:
     return spread.withColumn("rank", rn).where(F.col("rank") <= k).select("user_id", "pos", "rank", "value", "n")
 
 
-def before_top(checkins: DataFrame, moments: DataFrame, value: str, k: int) -> DataFrame:
-    """(user_id, minute, rank, value, n): the k commonest values in earlier minutes than each moment (user_id, minute); ties by first appearance.
+def before_counts(checkins: DataFrame, moments: DataFrame, value: str) -> DataFrame:
+    """(user_id, minute, value, n, first): how often, and when first, each value was seen in earlier minutes than each moment (user_id, minute).
 
     Visits are summed a minute first; a moment meets one row for each value, the value's running count before it.
     """
@@ -47,8 +50,13 @@ def before_top(checkins: DataFrame, moments: DataFrame, value: str, k: int) -> D
     run = per.withColumns({"n": F.sum("c").over(w), "next": F.lead("minute").over(w), "first": F.min("minute").over(W.partitionBy("user_id", "value"))})
     m = moments.select("user_id", F.col("minute").alias("t")).distinct()
     met = run.join(m, "user_id").where("t > minute and (next is null or t <= next)")
-    rn = F.row_number().over(W.partitionBy("user_id", "t").orderBy(F.desc("n"), "first", "value"))
-    return met.withColumn("rank", rn).where(F.col("rank") <= k).select("user_id", F.col("t").alias("minute"), "rank", "value", "n")
+    return met.select("user_id", F.col("t").alias("minute"), "value", "n", "first")
+
+
+def before_top(checkins: DataFrame, moments: DataFrame, value: str, k: int) -> DataFrame:
+    """(user_id, minute, rank, value, n): the k commonest values in earlier minutes than each moment (user_id, minute); ties by first appearance."""
+    rn = F.row_number().over(W.partitionBy("user_id", "minute").orderBy(F.desc("n"), "first", "value"))
+    return before_counts(checkins, moments, value).withColumn("rank", rn).where(F.col("rank") <= k).select("user_id", "minute", "rank", "value", "n")
 
 
 def n_before(checkins: DataFrame, moments: DataFrame) -> DataFrame:
@@ -69,17 +77,19 @@ def all_know(examples: DataFrame, seen: DataFrame, category: str = "category") -
 
 
 def joint_history(examples: DataFrame, checkins: DataFrame, length: int = 15) -> DataFrame:
-    """(example_id, hist, hist_owner): the last `length` check-ins of all members in earlier minutes, oldest first.
+    """(example_id, hist, hist_hours, hist_owner): the last `length` check-ins of all members in earlier minutes, oldest first.
 
-    Each member's own last ones are numbered within a user's history once; members meet only their own rows.
+    Check-ins are numbered in each user's history once; a member meets the last `length` numbers before the moment alone.
     """
-    m = examples.select("example_id", F.col("minute").alias("t"), F.explode("members").alias("user_id"))
-    c = checkins.select("user_id", "minute", "poi_idx", F.hour("utc_time").alias("hour"), "event_id")
-    own = m.join(c, "user_id").where("minute < t")
-    near = own.withColumn("rn", F.row_number().over(W.partitionBy("example_id", "user_id").orderBy(F.desc("minute"), F.desc("event_id")))).where(F.col("rn") <= length)
-    last = near.withColumn("rn", F.row_number().over(W.partitionBy("example_id").orderBy(F.desc("minute"), F.desc("poi_idx"), F.desc("hour"), F.desc("user_id")))).where(F.col("rn") <= length)
-    rows = last.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("rn")).alias("o"), "poi_idx", "user_id"))).alias("h"))
-    return rows.select("example_id", F.transform("h", lambda x: x["poi_idx"]).alias("hist"), F.transform("h", lambda x: x["user_id"]).alias("hist_owner"))
+    m = examples.select("example_id", "minute", F.explode("members").alias("user_id"))
+    seq = F.row_number().over(W.partitionBy("user_id").orderBy("minute", "event_id")).cast("long")
+    c = checkins.select("user_id", "minute", "poi_idx", F.hour("utc_time").alias("hour"), seq.alias("seq"))
+    upto = m.join(n_before(checkins, m), ["user_id", "minute"]).where("n > 0").drop("minute")
+    near = upto.select("example_id", "user_id", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("n") - length + 1), F.col("n"))).alias("seq")).join(c, ["user_id", "seq"])
+    order = F.array_sort(F.collect_list(F.struct("minute", "poi_idx", "hour", "user_id")))
+    last = near.groupBy("example_id").agg(order.alias("h")).withColumn("h", F.slice("h", -F.least(F.size("h"), F.lit(length)), length))
+    part = lambda k: F.transform("h", lambda x: x[k])
+    return last.select("example_id", part("poi_idx").alias("hist"), part("hour").alias("hist_hours"), part("user_id").alias("hist_owner"))
 
 
 def occasional(anchors: DataFrame, groups: DataFrame, rarity: DataFrame, max_visitors: int, least: int = 2, strict: bool = False) -> DataFrame:
@@ -90,16 +100,44 @@ def occasional(anchors: DataFrame, groups: DataFrame, rarity: DataFrame, max_vis
 
 
 def heterogeneity(examples: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(example_id, heterogeneity): mean cosine distance of the members' profiles (user_id, key, w); 0 with fewer than two profiles."""
-    m = examples.select("example_id", F.explode("members").alias("user_id"))
-    has = m.join(profiles.select("user_id").distinct(), "user_id")
+    """(example_id, heterogeneity): mean cosine distance of the members' profiles (user_id, [minute,] key, w); 0 with fewer than two profiles.
+
+    With a minute, a member's profile is the one at the example's minute.
+    """
+    at = [c for c in ("user_id", "minute") if c in profiles.columns]
+    m = examples.select("example_id", *at[1:], F.explode("members").alias("user_id"))
+    has = m.join(profiles.select(*at).distinct(), at)
     k = has.groupBy("example_id").agg(F.count("*").alias("k"))
-    sums = has.join(profiles, "user_id").groupBy("example_id", "key").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"))
+    sums = has.join(profiles, at).groupBy("example_id", "key").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"))
     # the sum of all pairs' products is half of the squared sum less the sum of squares
     dots = sums.groupBy("example_id").agg((F.sum(F.col("s") * F.col("s") - F.col("q")) / 2).alias("dots"))
     out = examples.select("example_id").join(k, "example_id", "left").join(dots, "example_id", "left")
     n = F.col("k") * (F.col("k") - 1) / 2
-    return out.select("example_id", F.when(F.coalesce("k", F.lit(0)) < 2, 0.0).otherwise(F.round(1 - F.col("dots") / n, 4)).alias("heterogeneity"))
+    return out.select("example_id", F.when(F.coalesce("k", F.lit(0)) < 2, 0.0).otherwise(F.round(F.round(1 - F.col("dots") / n, 9), 4)).alias("heterogeneity"))
+
+
+def profiles_before(checkins: DataFrame, moments: DataFrame, key: str) -> DataFrame:
+    """(user_id, minute, key, w): counts in earlier minutes over their L2 norm, at each moment."""
+    c = before_counts(checkins, moments, key)
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy("user_id", "minute")))
+    return c.select("user_id", "minute", F.col("value").alias("key"), (F.col("n") / norm).alias("w"))
+
+
+def member_profiles(checkins: DataFrame, moments: DataFrame, n_places: int = 5, n_categories: int = 3, n_hours: int = 3) -> DataFrame:
+    """(user_id, minute, n_seen, top_pois [(poi_idx, n)], top_cats, top_hrs): what a user did in earlier minutes, commonest first.
+
+    checkins have category and hour. A user without earlier check-ins has 0 and empty lists.
+    """
+    m = moments.select("user_id", "minute").distinct()
+    listed = lambda value, k, *what: before_top(checkins, m, value, k).groupBy("user_id", "minute").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("l"))
+    pois = listed("poi_idx", n_places).select("user_id", "minute", F.transform("l", lambda x: F.struct(x["value"].alias("poi_idx"), x["n"].alias("n"))).alias("top_pois"))
+    cats = listed("category", n_categories).select("user_id", "minute", F.transform("l", lambda x: x["value"]).alias("top_cats"))
+    hours = listed("hour", n_hours).select("user_id", "minute", F.transform("l", lambda x: x["value"]).alias("top_hrs"))
+    out = n_before(checkins, m).withColumnRenamed("n", "n_seen")
+    for lists in (pois, cats, hours):
+        name = lists.columns[-1]
+        out = out.join(lists, ["user_id", "minute"], "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+    return out
 
 
 def individual_examples(split: DataFrame, which: str, length: int = 15) -> DataFrame:
@@ -108,35 +146,51 @@ def individual_examples(split: DataFrame, which: str, length: int = 15) -> DataF
     return rows.where((F.col("split") == which) & (F.size("hist") > 0)).select("user_id", "pos", "hist", F.col("poi_idx").alias("target"), "t_hour", "t_dow")
 
 
-def group_examples(anchors: DataFrame, cliques: DataFrame, checkins: DataFrame, seen: DataFrame, profiles: DataFrame, regime: str = "established", min_active: int = 3, min_history: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(examples, funnel): an example for each anchor check-in (user_id, pos, minute, poi_idx, category, split) that passes all tests.
+def group_examples(offers: DataFrame, checkins: DataFrame, constraint: bool = True, min_active: int = 5, min_history: int = 1, length: int = 15) -> tuple[DataFrame, DataFrame]:
+    """(examples, tested): an example for each offer that passes all tests, and all offers with the reason that ends them.
 
-    cliques (anchor, members) are the companions offered. The tests stand in the order of REASONS, and a row that
-    fails counts for its first failing test: no companions; a member who doesn't know the category yet; one with too few
-    earlier check-ins; a short joint history; a history of the anchor alone.
+    offers: regime, user_id, pos, minute, poi_idx, prefix (of the target's category), utc_time, split, members (anchor
+    first; null without companions). checkins: event_id, user_id, poi_idx, minute, utc_time, hour, category, prefix. The
+    tests stand in the order of REASONS and an offer counts for its first failing one: no companions; a member who
+    hasn't been in the category (only with constraint); one with too few earlier check-ins; a short joint history; a
+    history of the anchor alone. min_history is 1 or more. Tables are written between the steps.
     """
-    a = anchors.join(cliques.select(F.col("anchor").alias("user_id"), "members"), "user_id", "left")
-    a = a.withColumn("example_id", F.concat_ws("_", "split", "user_id", "pos")).withColumn("members", F.coalesce("members", F.array("user_id")))
-    some = a.where(F.size("members") > 1)
-    know = all_know(some, seen)
+    a = cut(offers.withColumn("example_id", F.concat_ws("-", "regime", "user_id", "pos")), "offers")
+    some = a.where("members is not null")
     m = some.select("example_id", "minute", F.explode("members").alias("user_id"))
     active = m.join(n_before(checkins, m), ["user_id", "minute"]).groupBy("example_id").agg(F.min("n").alias("fewest"))
-    hist = joint_history(some.join(know.where("all_know"), "example_id", "left_semi"), checkins)
-    j = a.join(know, "example_id", "left").join(active, "example_id", "left").join(hist, "example_id", "left")
-    others = F.size(F.array_distinct(F.coalesce("hist_owner", F.array().cast("array<bigint>"))))
-    reason = F.when(F.size("members") < 2, REASONS[0]).when(~F.col("all_know"), REASONS[1]).when(F.col("fewest") < min_active, REASONS[2]).when(F.coalesce(F.size("hist"), F.lit(0)) < min_history, REASONS[3]).when(others < 2, REASONS[4]).otherwise("emitted")
-    j = j.withColumn("reason", reason)
-    funnel = j.groupBy(F.lit(regime).alias("regime"), "reason").agg(F.count("*").alias("n"))
-    good = j.where("reason = 'emitted'")
-    good = good.join(heterogeneity(good, profiles), "example_id")
-    return good.select("example_id", F.col("user_id").alias("anchor"), "members", F.size("members").alias("size"), F.lit(regime).alias("regime"), "hist", "hist_owner", F.col("poi_idx").alias("target"), F.hour("utc_time").alias("t_hour"), F.date_format("utc_time", "EEEE").alias("t_dow"), "heterogeneity", "split"), funnel
+    know = all_know(some, first_seen(checkins, "prefix"), "prefix") if constraint else some.select("example_id", F.lit(True).alias("all_know"))
+    tried = cut(some.join(know, "example_id").join(active, "example_id"), "tried")
+    hist = joint_history(tried.where(F.col("all_know") & (F.col("fewest") >= min_active)), checkins, length)
+    j = a.join(tried.select("example_id", "all_know", "fewest"), "example_id", "left").join(hist, "example_id", "left")
+    alone = F.forall("hist_owner", lambda o: o == F.col("user_id")) & (F.size("members") > 1)
+    reason = F.when(F.col("members").isNull(), REASONS[0]).when(~F.col("all_know"), REASONS[1]).when(F.col("fewest") < min_active, REASONS[2]).when(F.coalesce(F.size("hist"), F.lit(0)) < min_history, REASONS[3]).when(alone, REASONS[4]).otherwise("emitted")
+    tested = cut(j.withColumn("reason", reason), "tested")
+    good = tested.where("reason = 'emitted'")
+    met = good.select("example_id", "minute", F.posexplode("members").alias("place", "user_id"))
+    moments = met.select("user_id", "minute").distinct()
+    far = heterogeneity(good, profiles_before(checkins, moments, "prefix"))
+    of = met.join(member_profiles(checkins, moments), ["user_id", "minute"]).groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("place", "n_seen", "top_pois", "top_cats", "top_hrs"))).alias("member_profiles"))
+    # numbers run within each split, in the order of users, positions and regimes
+    order = [F.col("split"), F.col("user_id"), F.col("pos"), F.col("regime")]
+    n = O.numbered(good.select("example_id", "split", "user_id", "pos", "regime"), order, "number")
+    begin = n.groupBy("split").agg(F.min("number").alias("begin"))  # a row for each of three splits
+    named = n.join(F.broadcast(begin), "split").select("example_id", F.format_string("%s_%07d", "split", F.col("number") - F.col("begin")).alias("name"))
+    out = good.join(far, "example_id").join(of, "example_id").join(named, "example_id")
+    return out.select(F.col("name").alias("example_id"), F.col("user_id").alias("anchor"), "pos", "members", F.size("members").alias("size"), "regime", "hist", "hist_hours", "hist_owner", F.transform("member_profiles", lambda p: p.dropFields("place")).alias("member_profiles"), F.col("poi_idx").alias("target"), F.hour("utc_time").alias("t_hour"), F.date_format("utc_time", "EEEE").alias("t_dow"), "heterogeneity", "split"), tested
+
+
+def funnel(tested: DataFrame) -> DataFrame:
+    """(regime, n_offers, candidates, a column for each of REASONS, emitted)."""
+    n = lambda r: F.count_if(F.col("reason") == r).alias(r)
+    return tested.groupBy("regime").agg(F.count("*").alias("n_offers"), F.count_if(F.col("reason") != REASONS[0]).alias("candidates"), *[n(r) for r in (*REASONS, "emitted")])
 
 
 def roster(examples: DataFrame) -> DataFrame:
-    """(regime, members, size, n_examples, n_train, n_val, n_test, n_anchors, heterogeneity) of the groups that examples are built of."""
+    """(regime, members, size, anchors, n_examples, n_train, n_val, n_test, heterogeneity) of the groups that examples are built of."""
     e = examples.withColumn("members", F.array_sort("members"))
     part = lambda s: F.count_if(F.col("split") == s).alias(f"n_{s}")
-    return e.groupBy("regime", "members").agg(F.max("size").alias("size"), F.count("*").alias("n_examples"), part("train"), part("val"), part("test"), F.countDistinct("anchor").alias("n_anchors"), F.round(F.avg("heterogeneity"), 4).alias("heterogeneity"))
+    return e.groupBy("regime", "members").agg(F.max("size").alias("size"), F.array_sort(F.collect_set("anchor")).alias("anchors"), F.count("*").alias("n_examples"), part("train"), part("val"), part("test"), F.round(F.round(F.avg("heterogeneity"), 9), 4).alias("heterogeneity"))
 
 
 def example_stats(examples: DataFrame) -> DataFrame:

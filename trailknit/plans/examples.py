@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailknit.operators import affinity as A
+from trailknit.operators import companions as M
 from trailknit.operators import examples as X
 from trailknit.operators import groups as G
+from trailknit.operators.scratch import cut
+from trailknit.plans import graph as PG
 from trailknit.plans import tables as T
 
 QUERIES: dict = {}
@@ -80,10 +83,10 @@ def all_know(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.all_know(_examples(spark, sf_dir), X.first_seen(_typed(spark, sf_dir, "train")))
 
 
-@query(T.sql(T.CHECKINS, T.groups_sql(), EXAMPLES, "own AS (SELECT example_id, c.* , row_number() OVER (PARTITION BY example_id, c.user_id ORDER BY c.minute DESC, c.event_id DESC) AS rn FROM mem JOIN train c ON c.user_id = mem.user_id AND c.minute < mem.minute), last AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY minute DESC, poi_idx DESC, hour(utc_time) DESC, user_id DESC) AS k FROM own WHERE rn <= 15)", select="SELECT example_id, string_agg(CAST(poi_idx AS VARCHAR), '|' ORDER BY k DESC) AS hist, string_agg(CAST(user_id AS VARCHAR), '|' ORDER BY k DESC) AS hist_owner FROM last WHERE k <= 15 GROUP BY 1", recursive=True))
+@query(T.sql(T.CHECKINS, T.groups_sql(), EXAMPLES, "own AS (SELECT example_id, c.* , row_number() OVER (PARTITION BY example_id, c.user_id ORDER BY c.minute DESC, c.event_id DESC) AS rn FROM mem JOIN train c ON c.user_id = mem.user_id AND c.minute < mem.minute), last AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY minute DESC, poi_idx DESC, hour(utc_time) DESC, user_id DESC) AS k FROM own WHERE rn <= 15)", select="SELECT example_id, string_agg(CAST(poi_idx AS VARCHAR), '|' ORDER BY k DESC) AS hist, string_agg(CAST(hour(utc_time) AS VARCHAR), '|' ORDER BY k DESC) AS hist_hours, string_agg(CAST(user_id AS VARCHAR), '|' ORDER BY k DESC) AS hist_owner FROM last WHERE k <= 15 GROUP BY 1", recursive=True))
 def joint_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = X.joint_history(_examples(spark, sf_dir), T.train(spark, sf_dir))
-    return h.withColumns({"hist": _joined("hist"), "hist_owner": _joined("hist_owner")})
+    return h.withColumns({c: _joined(c) for c in ("hist", "hist_hours", "hist_owner")})
 
 
 @query(T.sql(T.CHECKINS, T.RARITY, T.groups_sql(), "anchors AS (SELECT DISTINCT user_id, minute FROM split WHERE split = 'val')", f"g AS (SELECT group_id, t0, unnest(m) AS user_id FROM groups JOIN rarity USING (poi_idx) WHERE n_users <= {T.MAX_VISITORS})", select="SELECT a.user_id, a.minute, g.group_id FROM anchors a JOIN g ON a.user_id = g.user_id AND g.t0 < a.minute", recursive=True))
@@ -92,7 +95,7 @@ def occasional_companions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.occasional(anchors, T.groups(spark, sf_dir), G.venue_rarity(T.train(spark, sf_dir)), T.MAX_VISITORS).drop("members")
 
 
-@query(T.sql(T.CHECKINS, T.VENUES, T.groups_sql(), EXAMPLES, "c AS (SELECT user_id, category AS key, count(*) AS n FROM train JOIN venues USING (poi_idx) GROUP BY 1, 2), w AS (SELECT user_id, key, n / sqrt(sum(n * n) OVER (PARTITION BY user_id)) AS w FROM c), d AS (SELECT a.example_id, a.user_id, b.user_id AS other, coalesce((SELECT sum(x.w * y.w) FROM w x JOIN w y ON x.key = y.key WHERE x.user_id = a.user_id AND y.user_id = b.user_id), 0) AS v FROM mem a JOIN mem b ON a.example_id = b.example_id AND a.user_id < b.user_id)", select="SELECT example_id, round(1 - avg(v), 4) AS heterogeneity FROM d GROUP BY 1", recursive=True))
+@query(T.sql(T.CHECKINS, T.VENUES, T.groups_sql(), EXAMPLES, "c AS (SELECT user_id, category AS key, count(*) AS n FROM train JOIN venues USING (poi_idx) GROUP BY 1, 2), w AS (SELECT user_id, key, n / sqrt(sum(n * n) OVER (PARTITION BY user_id)) AS w FROM c), d AS (SELECT a.example_id, a.user_id, b.user_id AS other, coalesce((SELECT sum(x.w * y.w) FROM w x JOIN w y ON x.key = y.key WHERE x.user_id = a.user_id AND y.user_id = b.user_id), 0) AS v FROM mem a JOIN mem b ON a.example_id = b.example_id AND a.user_id < b.user_id)", select="SELECT example_id, round(round(1 - avg(v), 9), 4) AS heterogeneity FROM d GROUP BY 1", recursive=True))
 def member_heterogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = A.profile(_typed(spark, sf_dir, "train"), F.col("category"))
     return X.heterogeneity(_examples(spark, sf_dir), profiles)
@@ -101,3 +104,140 @@ def member_heterogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(T.sql(T.CHECKINS, T.groups_sql(), T.RARITY, T.TIES, "b AS (SELECT u1 AS user_id, u2 AS f FROM ties UNION ALL SELECT u2, u1 FROM ties), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY f) AS rn FROM b) WHERE rn <= 5), n AS (SELECT f.user_id, t.poi_idx, count(*) AS n FROM f JOIN train t ON t.user_id = f.f GROUP BY 1, 2)", select="SELECT user_id, CAST(rank AS BIGINT) AS rank, poi_idx, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, poi_idx) AS rank FROM n) WHERE rank <= 5", recursive=True))
 def friend_favourites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.friend_favourites(T.ties(spark, sf_dir), T.train(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
+# ---------------------------------------------------------------- group examples
+
+
+def _hash(*parts: str) -> str:
+    return f"md5({" || '-' || ".join(("42", *parts))})"
+
+
+def _drawn(n: str, *parts: str) -> str:
+    return f"CAST('0x' || substr({_hash(*parts)}, 1, 8) AS BIGINT) % ({n})"
+
+
+SIZED = f"""every_visit AS (SELECT s.*, hour(utc_time) AS hour, category, split_part(category, '>', 1) AS prefix FROM split s JOIN venues USING (poi_idx)),
+asked AS (SELECT e.*, regime, [2, 3, 4, 5][1 + {_drawn("4", "regime", "user_id", "pos")}] AS size FROM every_visit e, (SELECT unnest(['established', 'occasional', 'random']) AS regime) WHERE pos > 1)"""
+ESTABLISHED = f"""established AS (SELECT user_id, pos, list_prepend(user_id, list_sort(s5.members[2:size])) AS members FROM asked JOIN s5 ON anchor = user_id AND variant = 42 + {_drawn("4", "'clique'", "user_id", "pos")}
+  WHERE regime = 'established' AND len(s5.members) >= size)"""
+OCCASIONAL = f"""quiet AS (SELECT group_id, m, t0, unnest(m) AS user_id FROM groups JOIN rarity USING (poi_idx) WHERE n_users <= {T.MAX_VISITORS}),
+one AS (SELECT user_id, pos, size, m FROM (SELECT a.user_id, pos, size, m, row_number() OVER (PARTITION BY a.user_id, pos ORDER BY {_hash("a.user_id", "pos", "group_id")}) AS rn
+  FROM asked a JOIN quiet q ON a.user_id = q.user_id AND t0 < minute AND len(m) >= size WHERE regime = 'occasional') WHERE rn = 1),
+often AS (SELECT u1 AS a, u2 AS b FROM ties WHERE n_groups >= 2 UNION ALL SELECT u2, u1 FROM ties WHERE n_groups >= 2),
+other AS (SELECT user_id, pos, size, v, EXISTS (SELECT 1 FROM often WHERE a = user_id AND b = v) AS again FROM (SELECT user_id, pos, size, unnest(m) AS v FROM one) WHERE v <> user_id),
+keep AS (SELECT user_id, pos, v FROM (SELECT *, row_number() OVER (PARTITION BY user_id, pos ORDER BY {_hash("'keep'", "user_id", "pos", "v")}) AS rn FROM other WHERE again) WHERE rn = 1),
+rest AS (SELECT o.*, k.v AS kept, row_number() OVER (PARTITION BY o.user_id, o.pos ORDER BY o.v <> k.v, {_hash("'rest'", "o.user_id", "o.pos", "o.v")}) AS rn FROM other o JOIN keep k USING (user_id, pos)),
+-- the one kept stands apart from the rest, so it is number 0
+occasional AS (SELECT user_id, pos, list_prepend(user_id, list(v ORDER BY v)) AS members FROM (SELECT *, CASE WHEN v = kept THEN 0 ELSE rn - 1 END AS k FROM rest) WHERE k < size - 1 GROUP BY user_id, pos)"""
+
+
+def _floyd(i: int) -> str:
+    j = f"(n - 1 - (size - 1) + {i - 1})"
+    t = _drawn(f"{j} + 1", "'random'", "user_id", "pos", j)
+    return f"f{i + 1} AS (SELECT user_id, pos, size, n, own, CASE WHEN {i} > size - 1 THEN got WHEN list_contains(got, {t}) THEN list_append(got, {j}) ELSE list_append(got, {t}) END AS got FROM f{i})"
+
+
+RANDOM = ",\n".join(
+    (
+        "ids AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM split))",
+        "f1 AS (SELECT a.user_id, pos, size, ids.n, i AS own, CAST([] AS BIGINT[]) AS got FROM asked a JOIN ids USING (user_id) WHERE regime = 'random' AND size <= ids.n)",
+        *[_floyd(i) for i in (1, 2, 3, 4)],
+        "random_ones AS (SELECT f.user_id, pos, list_prepend(f.user_id, list(ids.user_id ORDER BY ids.user_id)) AS members FROM (SELECT user_id, pos, own, unnest(got) AS g FROM f5) f JOIN ids ON ids.i = CASE WHEN g >= own THEN g + 1 ELSE g END GROUP BY f.user_id, pos)",
+    )
+)
+OFFERS = """offers AS (SELECT asked.*, members, regime || '-' || user_id || '-' || pos AS eid FROM asked
+  LEFT JOIN (SELECT 'established' AS regime, * FROM established UNION ALL SELECT 'occasional', * FROM occasional UNION ALL SELECT 'random', * FROM random_ones) USING (regime, user_id, pos))"""
+TESTED = """member AS (SELECT eid, user_id AS anchor, pos AS at, minute AS t, prefix AS wanted, unnest(members) AS u FROM offers),
+met_before AS (SELECT eid, u, count(event_id) AS n, count(*) FILTER (WHERE prefix = wanted) AS n_wanted FROM member LEFT JOIN every_visit c ON c.user_id = u AND c.minute < t GROUP BY 1, 2),
+fit AS (SELECT eid, min(n) AS fewest, min(n_wanted) > 0 AS knows FROM met_before GROUP BY 1),
+mine AS (SELECT eid, anchor, c.*, row_number() OVER (PARTITION BY eid, u ORDER BY minute DESC, event_id DESC) AS rn FROM member JOIN every_visit c ON c.user_id = u AND c.minute < t),
+joint AS (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY minute DESC, poi_idx DESC, hour DESC, user_id DESC) AS k FROM mine WHERE rn <= 15),
+past AS (SELECT eid, string_agg(CAST(poi_idx AS VARCHAR), '|' ORDER BY k DESC) AS hist, string_agg(CAST(hour AS VARCHAR), '|' ORDER BY k DESC) AS hist_hours, string_agg(CAST(user_id AS VARCHAR), '|' ORDER BY k DESC) AS hist_owner,
+  count(*) AS n_hist, count(*) FILTER (WHERE user_id <> anchor) AS n_others FROM joint WHERE k <= 15 GROUP BY 1),
+tested AS (SELECT o.*, hist, hist_hours, hist_owner, CASE WHEN members IS NULL THEN 'no_companions' WHEN NOT knows THEN 'constraint' WHEN fewest < 5 THEN 'inactive' WHEN coalesce(n_hist, 0) < 1 THEN 'short_history' WHEN n_others = 0 THEN 'anchor_only' ELSE 'emitted' END AS reason
+  FROM offers o LEFT JOIN fit USING (eid) LEFT JOIN past USING (eid))"""
+
+
+def _top(what: str, value: str, k: int, shown: str) -> str:
+    return f"""{what} AS (SELECT eid, u, string_agg({shown}, ',' ORDER BY r) AS l FROM (SELECT *, row_number() OVER (PARTITION BY eid, u ORDER BY n DESC, first, value) AS r
+  FROM (SELECT eid, user_id AS u, {value} AS value, count(*) AS n, min(minute) AS first FROM mine JOIN good USING (eid) GROUP BY 1, 2, 3)) WHERE r <= {k} GROUP BY 1, 2)"""
+
+
+EMITTED = ",\n".join(
+    (
+        "good AS (SELECT eid FROM tested WHERE reason = 'emitted')",
+        _top("top_p", "poi_idx", 5, "value || ':' || n"),
+        _top("top_c", "category", 3, "value"),
+        _top("top_h", "hour", 3, "CAST(value AS VARCHAR)"),
+        "seen_by AS (SELECT eid, u, n || ';' || p.l || ';' || c.l || ';' || h.l AS l FROM met_before JOIN top_p p USING (eid, u) JOIN top_c c USING (eid, u) JOIN top_h h USING (eid, u))",
+        "profiles AS (SELECT eid, string_agg(l, '|' ORDER BY u <> anchor, u) AS member_profiles FROM seen_by JOIN member USING (eid, u) GROUP BY 1)",
+        "counted AS (SELECT eid, user_id AS u, prefix AS key, count(*) AS n FROM mine JOIN good USING (eid) GROUP BY 1, 2, 3)",
+        "normed AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY eid, u)) AS w FROM counted)",
+        "dots AS (SELECT a.eid, a.u, b.u AS other, sum(a.w * b.w) AS d FROM normed a JOIN normed b ON a.eid = b.eid AND a.key = b.key AND a.u < b.u GROUP BY 1, 2, 3)",
+        "far AS (SELECT eid, CAST(round(CAST(1 - coalesce(sum(d), 0) / (max(size) * (max(size) - 1) / 2) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS heterogeneity FROM tested JOIN good USING (eid) LEFT JOIN dots USING (eid) GROUP BY 1)",
+        """examples AS (SELECT printf('%s_%07d', split, row_number() OVER (PARTITION BY split ORDER BY user_id, pos, regime) - 1) AS example_id, user_id AS anchor, CAST(pos AS BIGINT) AS pos, array_to_string(members, '|') AS members, list_sort(members) AS sorted,
+  CAST(size AS INTEGER) AS size, regime, hist, hist_hours, hist_owner, member_profiles, poi_idx AS target, CAST(hour AS INTEGER) AS t_hour, dayname(utc_time) AS t_dow, heterogeneity, split FROM tested JOIN far USING (eid) JOIN profiles USING (eid))""",
+    )
+)
+COMPANIONS = (*PG.AFFINITY, PG.CLIQUES, *[PG.grown_sql(i) for i in (1, 2, 3, 4)], T.groups_sql(), T.TIES, SIZED, ESTABLISHED, OCCASIONAL, RANDOM, OFFERS)
+
+
+def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = T.venues(spark, sf_dir).select("poi_idx", "category", F.split_part("category", F.lit(">"), F.lit(1)).alias("prefix"))
+    return T.split(spark, sf_dir).withColumn("hour", F.hour("utc_time")).join(v, "poi_idx")
+
+
+def _offers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(all check-ins, all but each user's first with the companions that each regime offers)."""
+    visits = cut(_visits(spark, sf_dir), "visits")
+    train = T.train(spark, sf_dir)
+    met = cut(T.groups(spark, sf_dir), "groups")
+    rarity = cut(G.venue_rarity(train), "rarity")
+    asked = {r: M.sized(visits.where("pos > 1"), r) for r in ("established", "occasional", "random")}
+    served = {
+        "established": M.established(asked["established"], PG.scored_edges(spark, sf_dir).select("u1", "u2")),
+        "occasional": M.occasional(asked["occasional"], met, rarity, G.co_attended(met, rarity), T.MAX_VISITORS),
+        "random": M.uniform(asked["random"], visits.select("user_id").distinct()),
+    }
+    out = None
+    for r, a in asked.items():
+        one = a.join(served[r], ["user_id", "pos"], "left").withColumn("regime", F.lit(r))
+        out = one if out is None else out.unionByName(one)
+    return visits, out
+
+
+def _examples_of_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    visits, offers = _offers(spark, sf_dir)
+    return X.group_examples(offers, visits)
+
+
+@query(T.sql(*COMPANIONS, select="SELECT regime, user_id, CAST(pos AS BIGINT) AS pos, CAST(size AS INTEGER) AS size, array_to_string(members, '|') AS members FROM offers WHERE members IS NOT NULL", recursive=True))
+def companions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who is offered to each check-in, by regime."""
+    _, offers = _offers(spark, sf_dir)
+    return offers.where("members is not null").select("regime", "user_id", F.col("pos").cast("long").alias("pos"), "size", _joined("members").alias("members"))
+
+
+@query(T.sql(*COMPANIONS, TESTED, EMITTED, select="SELECT * EXCLUDE (sorted) FROM examples", recursive=True))
+def group_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    examples, _ = _examples_of_groups(spark, sf_dir)
+    pois = lambda p: F.array_join(F.transform(p["top_pois"], lambda x: F.concat_ws(":", x["poi_idx"].cast("string"), x["n"].cast("string"))), ",")
+    told = F.array_join(F.transform("member_profiles", lambda p: F.concat_ws(";", p["n_seen"].cast("string"), pois(p), F.array_join(p["top_cats"], ","), F.array_join(F.transform(p["top_hrs"], lambda h: h.cast("string")), ","))), "|")
+    return examples.withColumns({c: _joined(c) for c in ("members", "hist", "hist_hours", "hist_owner")} | {"member_profiles": told, "pos": F.col("pos").cast("long")})
+
+
+@query(T.sql(*COMPANIONS, TESTED, select=f"SELECT regime, count(*) AS n_offers, count(*) FILTER (WHERE reason <> 'no_companions') AS candidates, {', '.join(f"count(*) FILTER (WHERE reason = '{r}') AS {r}" for r in (*X.REASONS, 'emitted'))} FROM tested GROUP BY 1", recursive=True))
+def example_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.funnel(_examples_of_groups(spark, sf_dir)[1])
+
+
+@query(T.sql(*COMPANIONS, TESTED, EMITTED, select="SELECT regime, array_to_string(sorted, '|') AS members, max(size) AS size, array_to_string(list_sort(list(DISTINCT anchor)), '|') AS anchors, count(*) AS n_examples, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val, count(*) FILTER (WHERE split = 'test') AS n_test, CAST(round(CAST(avg(heterogeneity) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS heterogeneity FROM examples GROUP BY regime, sorted", recursive=True))
+def example_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.roster(_examples_of_groups(spark, sf_dir)[0]).withColumns({c: _joined(c) for c in ("members", "anchors")})
+
+
+@query(T.sql(*COMPANIONS, TESTED, EMITTED, select="SELECT split, count(*) AS n, round(quantile_cont(heterogeneity, 0.25), 6) AS p25, round(quantile_cont(heterogeneity, 0.5), 6) AS p50, round(quantile_cont(heterogeneity, 0.75), 6) AS p75 FROM examples GROUP BY 1", recursive=True))
+def heterogeneity_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = X.example_stats(_examples_of_groups(spark, sf_dir)[0])
+    return s.withColumns({c: F.round(c, 6) for c in ("p25", "p50", "p75")})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailknit.operators import affinity as A
 from trailknit.operators import graph as K
 from trailknit.operators import groups as G
+from trailknit.operators.scratch import cut
 from trailknit.plans import tables as T
 
 QUERIES: dict = {}
@@ -49,6 +50,14 @@ def _affinity(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float, int]:
     return *A.affinity(t, T.venues(spark, sf_dir), G.venue_rarity(t), n, max_visitors=T.MAX_VISITORS), n
 
 
+def scored_edges(spark: SparkSession, sf_dir: str, percentile: float = 95.0) -> DataFrame:
+    """(u1, u2, score) of the pairs at the percentile of affinity or above, written."""
+    scores, none, n = _affinity(spark, sf_dir)
+    scores = cut(scores.select("u1", "u2", F.col("combined").alias("score")), "scores")
+    at = A.cut_score(scores, "score", percentile, n * (n - 1) // 2, none)
+    return scores.where(F.col("score") >= at)
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float, int, int]:
     """(scores with y, the score of other pairs, pairs, pairs that met)."""
     scores, none, n = _affinity(spark, sf_dir)
@@ -112,24 +121,38 @@ def similar_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLIQUES = """cut AS (SELECT quantile_cont(combined, 0.95) AS c FROM scored), e AS (SELECT u1, u2 FROM scored, cut WHERE combined >= c),
 near AS (SELECT u, list(v) AS near FROM (SELECT u1 AS u, u2 AS v FROM e UNION ALL SELECT u2, u1 FROM e) GROUP BY 1),
-s1 AS (SELECT u AS anchor, [u] AS members, near AS open FROM near)"""
+s1 AS (SELECT u AS anchor, variant, [u] AS members, near AS open FROM near, (SELECT unnest([42, 43, 44, 45]) AS variant))"""
 
 
-def _grown(i: int) -> str:
-    pick = "list_aggregate(list_transform(open, lambda v: md5('42-' || anchor || '-' || v) || v), 'min')"
-    return f"""p{i} AS (SELECT anchor, members, open, CAST(substr({pick}, 33) AS BIGINT) AS pick FROM s{i}),
-s{i + 1} AS (SELECT anchor, CASE WHEN pick IS NULL THEN members ELSE list_append(members, pick) END AS members,
+def grown_sql(i: int) -> str:
+    pick = "list_aggregate(list_transform(open, lambda v: md5(variant || '-' || anchor || '-' || v) || v), 'min')"
+    return f"""p{i} AS (SELECT anchor, variant, members, open, CAST(substr({pick}, 33) AS BIGINT) AS pick FROM s{i}),
+s{i + 1} AS (SELECT anchor, variant, CASE WHEN pick IS NULL THEN members ELSE list_append(members, pick) END AS members,
   CASE WHEN pick IS NULL THEN open ELSE list_filter(open, lambda v: list_contains(near, v)) END AS open FROM p{i} LEFT JOIN near ON pick = u)"""
 
 
-@query(T.sql(*AFFINITY, CLIQUES, *[_grown(i) for i in (1, 2, 3)], select="SELECT anchor, array_to_string(members, '|') AS members FROM s4"))
+@query(T.sql(*AFFINITY, CLIQUES, *[grown_sql(i) for i in (1, 2, 3)], select="SELECT anchor, array_to_string(members, '|') AS members FROM s4 WHERE variant = 42"))
 def affinity_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
     """anchor, members: cliques of the affinity graph at its 95th percentile, grown by least hash."""
-    scores, none, n = _affinity(spark, sf_dir)
-    scores = scores.cache()
-    edges = A.threshold_graph(scores, "combined", A.cut_score(scores, "combined", 95.0, n * (n - 1) // 2, none)).cache()
     anchors = T.checkins(spark, sf_dir).select(F.col("user_id").alias("anchor")).distinct()
-    return A.grow_groups(edges, anchors, 4).withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), "|"))
+    return A.grow_groups(scored_edges(spark, sf_dir), anchors, 4).withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), "|"))
+
+
+BEST = """sc AS (SELECT u1 AS u, u2 AS v, combined FROM scored, cut WHERE combined >= c UNION ALL SELECT u2, u1, combined FROM scored, cut WHERE combined >= c),
+b1 AS (SELECT u AS anchor, [u] AS members, CAST(NULL AS DOUBLE) AS least FROM near)"""
+
+
+def _best(i: int) -> str:
+    return f"""c{i} AS (SELECT b.anchor, b.members, b.least, sc.v, min(sc.combined) AS s FROM b{i} b, sc WHERE list_contains(b.members, sc.u) AND NOT list_contains(b.members, sc.v) GROUP BY ALL HAVING count(*) = {i}),
+b{i + 1} AS (SELECT anchor, list_append(members, v) AS members, least(coalesce(least, s), s) AS least FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY s DESC, md5('42-' || anchor || '-' || v)) AS rn FROM c{i}) WHERE rn = 1)"""
+
+
+@query(T.sql(*AFFINITY, CLIQUES, BEST, *[_best(i) for i in (1, 2, 3)], select="SELECT anchor, array_to_string(members, '|') AS members, round(least, 5) AS least FROM b4"))
+def best_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchor, members, least: cliques of four in the same graph, each step taking the highest least affinity."""
+    anchors = T.checkins(spark, sf_dir).select(F.col("user_id").alias("anchor")).distinct()
+    best = A.grow_best(scored_edges(spark, sf_dir), anchors, 4)
+    return best.select("anchor", F.array_join(F.transform("members", lambda x: x.cast("string")), "|").alias("members"), F.round("least", 5).alias("least"))
 
 
 # ---------------------------------------------------------------- graph
