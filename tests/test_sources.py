@@ -31,3 +31,26 @@ def test_raw_scan_to_house_tables(spark, tmp_path):
     assert [(r.venue_id, r.category) for r in house["poi_metadata"].collect()] == [("a", "Dining>Bar")]
     assert [tuple(r) for r in house["friendship_old"].collect()] == [(0, 1)] and house["friendship_new_only"].count() == 0
     assert house["checkins"].count() == 7
+
+
+def test_graphml_edges(spark, tmp_path):
+    (tmp_path / "g.graphml").write_text(
+        '<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n<key id="d0" for="edge" attr.name="weight" attr.type="double"/>\n<key id="d1" for="edge" attr.name="relation" attr.type="string"/>\n'
+        '<graph edgedefault="directed"><node id="a"/><node id="b &amp; c"/>\n<edge source="a" target="b &amp; c"><data key="d0">2.5</data><data key="d1">VISITED</data></edge>\n<edge source="b &amp; c" target="a"><data key="d1">IS_NEAR_TO</data></edge>\n<edge source="a" target="a"/></graph></graphml>\n'
+    )
+    got = {(r.h, r.rel, r.t) for r in S.read_graphml(spark, str(tmp_path / "g.graphml"), "relation").collect()}
+    assert got == {("a", "VISITED", "b & c"), ("b & c", "IS_NEAR_TO", "a"), ("a", None, "a")}
+
+
+def test_npy_rows(spark, tmp_path):
+    import numpy as np
+
+    x = np.arange(30, dtype=np.float32).reshape(10, 3)
+    np.save(tmp_path / "x.npy", x)
+    got = {r.id: r.z for r in S.read_npy(spark, str(tmp_path / "x.npy"), rows_a_task=4).collect()}
+    assert got == {i: x[i].tolist() for i in range(10)}
+
+
+def test_ids_by_position(spark):
+    ids = spark.createDataFrame([(["x", "y"],)], "v array<string>")
+    assert [tuple(r) for r in P.by_position(ids, "v", 1).orderBy("poi_idx").collect()] == [(1, "x"), (2, "y")]

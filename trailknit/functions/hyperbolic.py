@@ -130,6 +130,26 @@ def midpoints(points: DataFrame, key: str, x: str, weight: str | None = None, c:
     return mean.select(key, (project(to_poincare(F.col("m"), c), c) if c > 0 else F.col("m")).alias("midpoint"))
 
 
+def frechet_means(points: DataFrame, key: str, x: str, weight: str | None = None, c: float = 1.0, rounds: int = 25, step: float = 0.5) -> DataFrame:
+    """(key, mean): the weighted Frechet mean by damped descent from the Einstein midpoint; for groups of people, whose sizes are bounded.
+
+    Each round averages the tangent vectors to all points and moves by `step` of that; a step of 1 would overshoot.
+    Points without a positive weight are left out, and groups without any point.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    some = points.where(w > 0).select(F.col(key).alias("__key"), F.struct(F.col(x).alias("x"), w.alias("w")).alias("p"))
+    held = some.groupBy("__key").agg(F.collect_list("p").alias("ps"), F.sum("p.w").alias("total"))
+    start = midpoints(points, key, x, weight, c).select(F.col(key).alias("__key"), "midpoint")
+
+    def move(m: Column, _: Column) -> Column:
+        none = F.transform(m, lambda v: F.lit(0.0))
+        pull = F.aggregate("ps", none, lambda s, p: add(s, scale(logmap(m, p["x"], c), p["w"] / F.col("total"))))
+        return bind(lambda v, u: expmap(v, scale(u, step), c), m, pull)
+
+    mean = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("midpoint"), move)
+    return held.join(start, "__key").select(F.col("__key").alias(key), mean.alias("mean"))
+
+
 def heterogeneity(points: DataFrame, key: str, x: str, c: float = 1.0) -> DataFrame:
     """(key, dispersion, depth_drop, consensus_radius): mean distance to the midpoint, mean radius less the midpoint's, and that."""
     m = midpoints(points, key, x, c=c)

@@ -146,5 +146,11 @@ def feasibility_table(checkins: DataFrame, windows: list[int], **more: object) -
     return out.withColumn("verdict", verdict)
 
 
+def best_window(table: DataFrame) -> DataFrame:
+    """The row of the feasibility table with most transitions, the smallest window among equals."""
+    best = F.max_by(F.struct(*table.columns), F.struct("n_transitions", -F.col("window_min")))
+    return table.agg(best.alias("b")).where("b is not null").select("b.*")
+
+
 def size_bucket(size: str = "size") -> Column:
     return F.when(F.col(size) <= 2, "pair").when(F.col(size) <= 4, "small_group").otherwise("large_group")

@@ -114,3 +114,7 @@ def house_tables(pois: DataFrame, checkins: DataFrame, friends_old: DataFrame, f
     old = canonical_edges(strings(friends_old), "u1", "u2", named)
     return {"checkins": split, "poi_metadata": meta.drop("venue_category_name"), "users": named, "friendship_old": old, "friendship_new_only": new_only(canonical_edges(strings(friends_new), "u1", "u2", named), old)}
 
+
+def by_position(ids: DataFrame, column: str, first: int = 0) -> DataFrame:
+    """(poi_idx, venue_id): the items of the one array in `column`, each with its place in it, counted from `first`."""
+    return ids.select(F.posexplode(column).alias("__at", "venue_id")).select((F.col("__at") + first).cast("long").alias("poi_idx"), "venue_id")

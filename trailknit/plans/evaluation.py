@@ -102,6 +102,14 @@ def group_heterogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.heterogeneity(points(spark, sf_dir), "label", "x").select("label", *[F.round(c, 6).alias(c) for c in ("dispersion", "depth_drop", "consensus_radius")])
 
 
+@query()
+def frechet_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """g, distance: how far the Frechet mean of each five consecutive points is from their Einstein midpoint; no SQL, tested by its gradient."""
+    p = points(spark, sf_dir).select(F.floor(F.col("vec_id") / 5).alias("g"), "x")
+    both = H.frechet_means(p, "g", "x").join(H.midpoints(p, "g", "x"), "g")
+    return both.select("g", F.round(H.distance(F.col("mean"), F.col("midpoint")), 6).alias("distance"))
+
+
 @query(T.sql(POINTS, RADII, f"k AS (SELECT {_rank('depth')} AS a, {_rank('round(r, 9)')} AS b FROM radii)", "rho AS (SELECT count(*) AS n, corr(a, b) AS rho FROM k)", select="SELECT n, round(rho, 6) AS rho, CASE WHEN rho > 0.30 THEN 'STRONG' WHEN rho > 0.10 THEN 'WEAK' ELSE 'ABSENT' END AS verdict FROM rho"))
 def radial_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.radial_hierarchy(points(spark, sf_dir), "depth", "x")[0].withColumn("rho", F.round("rho", 6))

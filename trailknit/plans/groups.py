@@ -154,6 +154,11 @@ def feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.feasibility_table(T.checkins(spark, sf_dir), [30, 60])
 
 
+@query(T.sql(T.CHECKINS, "numbered AS (SELECT *, row_number() OVER (PARTITION BY poi_idx ORDER BY minute, user_id, event_id) AS rn FROM checkins)", _feasible(30), _feasible(60), "r AS (SELECT * FROM r30 UNION ALL SELECT * FROM r60)", select="SELECT *, CASE WHEN n_transitions >= 5000 THEN 'STRONG' WHEN n_transitions >= 300 THEN 'USABLE' ELSE 'SPARSE' END AS verdict FROM r ORDER BY n_transitions DESC, window_min LIMIT 1"))
+def best_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.best_window(G.feasibility_table(T.checkins(spark, sf_dir), [30, 60]))
+
+
 FRIENDS = "old AS (SELECT u1, u2 FROM ties WHERE (u1 * 31 + u2) % 3 = 0), fresh AS (SELECT u1, u2 FROM ties WHERE (u1 * 31 + u2) % 3 <= 1)"
 
 

@@ -98,6 +98,39 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     return tuple(spark.read.parquet(f"{path}/{n}") for n in ("entities", "relations", "triples"))
 
 
+def read_graphml(spark: SparkSession, path: str, relation: str) -> DataFrame:
+    """(h, rel, t) of a GraphML file's edges; `relation` is the name of the edge attribute that holds rel, which may be absent.
+
+    Edges are read in parallel. Only the declarations of attributes, which are as many as attributes, come to the driver.
+    """
+    declared = "_id string, _for string, `_attr.name` string"
+    keys = spark.read.schema(declared).option("rowTag", "key").format("xml").load(path)
+    named = [r[0] for r in keys.where((F.col("_for").isin("edge", "all")) & (F.col("`_attr.name`") == relation)).select("_id").collect()]
+    edges = spark.read.schema("_source string, _target string, data array<struct<_VALUE: string, _key: string>>").option("rowTag", "edge").format("xml").load(path)
+    held = F.filter(F.coalesce("data", F.array().cast("array<struct<_VALUE: string, _key: string>>")), lambda d: d["_key"].isin(named))
+    return edges.select(F.col("_source").alias("h"), F.get(held, 0)["_VALUE"].alias("rel"), F.col("_target").alias("t"))
+
+
+def read_npy(spark: SparkSession, path: str, rows_a_task: int = 1 << 16) -> DataFrame:
+    """(id, z) of a two-dimensional .npy file that the driver and all executors can open; each task maps its own rows only."""
+    import numpy as np
+    import pyarrow as pa
+
+    shape = np.load(path, mmap_mode="r", allow_pickle=False).shape
+    if len(shape) != 2:
+        raise ValueError(f"{path} has {len(shape)} dimensions, not 2")
+
+    def rows(batches):
+        table = np.load(path, mmap_mode="r", allow_pickle=False)
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            z = np.asarray(table[ids], np.float64)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * shape[1]), pa.array(z.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), flat], ["id", "z"])
+
+    return spark.range(0, shape[0], 1, max(1, -(-shape[0] // rows_a_task))).mapInArrow(rows, "id long, z array<double>")
+
+
 def read_embeddings(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
     """(id, z) from Parquet; with `rows`, any other number of rows is an error."""
     df = spark.read.parquet(path).select("id", F.col("z").cast("array<double>").alias("z"))
