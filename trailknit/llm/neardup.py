@@ -1,7 +1,8 @@
 """MinHash near-duplicates by tensored banding.
 
 Two small collections of `side` sub-keys, each made of `width` minhashes, are combined in all pairs to side * side table
-keys of 2 * width minhashes each: the minhashes computed are about the square root of X
+keys of 2 * width minhashes each: the minhashes computed are about the square root of those that as many
+separate keys would take.
 
 1. Texts with equal shingle sets form a class; only its smallest doc_id goes on.
 2. Members of a table's bucket are linked to the bucket's smallest member; the connected clusters of these candidate
