@@ -10,6 +10,7 @@ from trailknit.operators import affinity as A
 from trailknit.operators import companions as M
 from trailknit.operators import examples as X
 from trailknit.operators import groups as G
+from trailknit.operators import texts as N
 
 
 def anchors(spark, rows):
@@ -89,3 +90,19 @@ def test_frechet_mean_has_no_gradient(spark):
 def test_best_window(spark):
     t = spark.createDataFrame([(30, 5, "SPARSE"), (60, 7, "SPARSE"), (90, 7, "SPARSE")], "window_min int, n_transitions long, verdict string")
     assert G.best_window(t).first().window_min == 60 and G.best_window(t.where("false")).count() == 0
+
+
+def test_text_of_an_example(spark):
+    rows = [(1, 1, 7, "Bar", 9, "train"), (1, 2, 8, None, 21, "train"), (1, 3, 7, "Bar", 9, "test"), (2, 1, 8, None, 5, "train")]
+    visits = spark.createDataFrame(rows, "user_id long, pos int, poi_idx long, category string, hour int, split string").withColumn("utc_time", F.expr("timestamp_ntz'2024-01-01 09:30:00'"))
+    friends = N.friends_texts(spark.createDataFrame([(1, 2), (2, 3)], "u1 long, u2 long"), visits.where("split = 'train'"))
+    assert {r.user_id for r in friends.collect()} == {1, 2, 3}
+    got = N.example_texts(visits, "test", friends).collect()
+    assert [(r.user_id, r.pos, r.target) for r in got] == [(1, 3, 7)]
+    assert got[0].text == N.HEAD + (
+        "[user profile]\ncheck-ins so far: 2\nmost visited: <poi_7> (Bar, x1), <poi_8> (Venue, x1)\nfavourite categories: Bar, Venue\nusual hours: 9:00, 21:00\n"
+        "[friends]\n1 friends in the network\nfriends' favourite places: <poi_8> (Venue, x1)\n"
+        "[recent check-ins]\n<poi_7> (Bar, 9:00)\n<poi_8> (Venue, 21:00)\n[current time] Monday 9:00\n[next POI] "
+    )
+    plain = N.example_texts(visits, "train", profiles=False).collect()
+    assert [(r.user_id, r.text) for r in plain] == [(1, N.HEAD + "[recent check-ins]\n<poi_7> (Bar, 9:00)\n[current time] Monday 21:00\n[next POI] ")]

@@ -9,6 +9,7 @@ from trailknit.operators import affinity as A
 from trailknit.operators import companions as M
 from trailknit.operators import examples as X
 from trailknit.operators import groups as G
+from trailknit.operators import texts as N
 from trailknit.operators.scratch import cut
 from trailknit.plans import graph as PG
 from trailknit.plans import tables as T
@@ -241,3 +242,37 @@ def example_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heterogeneity_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = X.example_stats(_examples_of_groups(spark, sf_dir)[0])
     return s.withColumns({c: F.round(c, 6) for c in ("p25", "p50", "p75")})
+
+
+# ---------------------------------------------------------------- texts
+
+
+def _chr(text: str) -> str:
+    """A text as an SQL expression."""
+    return " || chr(10) || ".join("'" + t.replace("'", "''") + "'" for t in text.split("\n"))
+
+
+def _before(name: str, value: str, shown: str, k: int, order: str = "r") -> str:
+    return f"""{name} AS (SELECT user_id, pos, string_agg({shown}, ', ' ORDER BY {order}) AS l FROM (SELECT *, row_number() OVER (PARTITION BY user_id, pos ORDER BY n DESC, first) AS r
+  FROM (SELECT a.user_id, a.pos, b.{value} AS value, count(*) AS n, min(b.pos) AS first FROM told a JOIN told b ON a.user_id = b.user_id AND b.pos < a.pos WHERE a.split = 'test' GROUP BY 1, 2, 3)) WHERE r <= {k} GROUP BY 1, 2)"""
+
+
+TEXTS = (
+    "told AS (SELECT s.*, hour(utc_time) AS hour, category, '<poi_' || poi_idx || '> (' || category || ', ' AS place FROM split s JOIN venues USING (poi_idx))",
+    _before("p", "place", "value || 'x' || n || ')'", 5),
+    _before("c", "category", "value", 3),
+    _before("h", "hour", "value || ':00'", 3, "value"),
+    "fb AS (SELECT u1 AS user_id, u2 AS f FROM ties UNION SELECT u2, u1 FROM ties), f5 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY f) AS rn FROM fb)",
+    "fp AS (SELECT f5.user_id, place, t.poi_idx, count(*) AS n FROM f5 JOIN told t ON t.user_id = f AND t.split = 'train' WHERE rn <= 5 GROUP BY 1, 2, 3)",
+    "ff AS (SELECT user_id, (SELECT count(*) FROM fb WHERE fb.user_id = q.user_id) || ' friends in the network' || chr(10) || 'friends'' favourite places: ' || string_agg(place || 'x' || n || ')', ', ' ORDER BY r) || chr(10) AS l FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, poi_idx) AS r FROM fp) q WHERE r <= 5 GROUP BY user_id)",
+    "w AS (SELECT user_id, pos, split, hour, utc_time, poi_idx, list(place || hour || ':00)') OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) AS hist FROM told)",
+)
+
+
+@query(T.sql(T.CHECKINS, T.VENUES, T.groups_sql(), T.RARITY, T.TIES, *TEXTS, select=f"""SELECT w.user_id, CAST(w.pos AS BIGINT) AS pos, w.poi_idx AS target, {_chr(N.HEAD)} || {_chr("[user profile]")} || chr(10) || 'check-ins so far: ' || (w.pos - 1) || chr(10) || 'most visited: ' || p.l || chr(10)
+  || 'favourite categories: ' || c.l || chr(10) || 'usual hours: ' || h.l || chr(10) || coalesce('[friends]' || chr(10) || ff.l, '') || '[recent check-ins]' || chr(10) || array_to_string(hist, chr(10)) || chr(10) || '[current time] ' || dayname(utc_time) || ' ' || hour || ':00' || chr(10) || '[next POI] ' AS text
+  FROM w JOIN p USING (user_id, pos) JOIN c USING (user_id, pos) JOIN h USING (user_id, pos) LEFT JOIN ff ON ff.user_id = w.user_id WHERE w.split = 'test'""", recursive=True))
+def example_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    visits = _visits(spark, sf_dir)
+    friends = N.friends_texts(T.ties(spark, sf_dir), visits.where("split = 'train'"))
+    return N.example_texts(visits, "test", friends).withColumn("pos", F.col("pos").cast("long"))
