@@ -127,6 +127,42 @@ def test_cluster_blocks_lose_nothing():
     assert (neardup.intersections(sets) == np.array(want)).all()
 
 
+@pytest.mark.parametrize("most_pairs", [2, 10**6])
+def test_large_clusters_lose_no_links(spark, monkeypatch, most_pairs):
+    """Texts of one template and their near copies, all in one cluster of many blocks, against brute force."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 6)
+    monkeypatch.setattr(neardup, "MOST_PAIRS", most_pairs)
+    rng = random.Random(3)
+    common_part, texts = sentences(rng, 4), []
+    for family in range(14):
+        words = (common_part + " " + sentences(rng, 4)).split(" ")
+        for _ in range(9 if family else 25):
+            w = list(words)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    sets = [{tuple(t.lower().split(" ")[k : k + 5]) for k in range(len(t.split(" ")) - 4)} for t in texts]
+    n = len(texts)
+
+    def components(edges):
+        root = list(range(n))
+        for a, b in edges:
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+
+    linked = {(i, j) for i in range(n) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    members = spark.createDataFrame([(i, len(x), 0) for i, x in enumerate(sets)], "doc_id long, n_shingles long, cluster long")
+    got = {(max(r), min(r)) for r in neardup.cluster_links(docs, members, 80).collect()}
+    assert got <= linked and components(got) == components(linked)
+    assert len(set(components(linked))) > 10
+    rare = neardup._rare(docs, members, 80).collect()
+    part = {r.doc_id: r.cluster for r in rare}
+    assert all(part[i] == part[j] for i, j in linked) and len(set(part.values())) > 1
+
+
 def test_suffixes(docs, plain, texts):
     seen: set[bytes] = set()
     got = by_id(suffix_dedup.dedup_suffixes(plain))

@@ -7,10 +7,15 @@ separate keys would take.
 1. Texts with equal shingle sets form a class; only its smallest doc_id goes on.
 2. Members of a table's bucket are linked to the bucket's smallest member; the connected clusters of these candidate
    links hold every pair that collides anywhere, and no pairs within a bucket are written.
-3. Each cluster is verified on full sets, in blocks of bounded size against blocks: one block pair counts all
-   intersections as a matrix product over the shingles that two members share, and returns a spanning forest of the
-   links that hold, which has the same components as all of them. A hot cluster is many block pairs on many tasks.
-4. Components of the verified links give each document the smallest doc_id that it reaches.
+3. Each cluster is verified on full sets, in blocks of bounded size: one block counts all intersections as a matrix
+   product over the shingles that two members share, and returns a spanning forest of the links that hold, which has
+   the same components as all of them. First every block is taken alone, with the cluster's smallest member
+   added. What links to that member within its block is settled: settled members are in one component, so that
+   only pairs of blocks with the members left over, if any, remain. A cluster of near copies thus costs in proportion to its size.
+4. A cluster of many remaining block pairs (mostly texts of one template, chained by chance collisions) is first split
+   without loss: two sets of the asked similarity share a shingle among the rarest few of each, so that
+   the clusters of shared rare shingles hold all links.
+5. Components of the verified links give each document the smallest doc_id that it reaches.
 
 Edge cases: null or empty texts have an empty set and are linked with nothing; texts of fewer than five words have one
 shingle; rows without a doc_id are kept and linked with nothing; repeated rows get equal answers; extra columns are
@@ -25,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from trailknit.llm import common
 from trailknit.llm.common import LOWER, TURN, U64, mix
@@ -33,6 +39,7 @@ WORDS = 5
 WIDTH, MISS = 3, 5e-5
 BLOCK_ROWS, BLOCK_SHINGLES = 160, 1 << 20
 TILE = 2048
+MOST_PAIRS = 64
 
 
 def sides(percent: int) -> int:
@@ -90,11 +97,24 @@ def _tables(side: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text column replaced by the shingle set, as bytes."""
     for batch in batches:
+        kept = [c for c in batch.schema.names if c != "text"]
         for a, z in common.chunks(batch):
             part = batch.slice(a, z - a)
             sets = [u.tobytes() for u in shingle_sets(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("cluster"), part.column("block"), part.column("blocks"), pa.array(sets, pa.binary())], ["doc_id", "cluster", "block", "blocks", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(sets, pa.binary())], [*kept, "shingles"])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (doc_id, cluster, n_shingles, token) for each shingle of a text."""
+    for batch in batches:
+        for a, z in common.chunks(batch):
+            part = batch.slice(a, z - a)
+            sets = list(shingle_sets(part.column("text")))
+            at = pa.array(np.repeat(np.arange(len(sets)), [len(u) for u in sets]))
+            token = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("doc_id", "cluster", "n_shingles")), pa.array(token)], ["doc_id", "cluster", "n_shingles", "token"])
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -118,8 +138,8 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of a boolean adjacency matrix, from each component's first vertex on."""
+def forest(linked: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(root, v, w) for the edges of a spanning forest of a boolean adjacency matrix, from each component's first vertex, its root, on."""
     left = np.ones(len(linked), bool)
     for root in range(len(linked)):
         if not left[root]:
@@ -131,28 +151,95 @@ def forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
             new = np.flatnonzero(linked[v] & left)
             left[new] = False
             queue += new.tolist()
-            yield from ((v, w) for w in new.tolist())
+            yield from ((root, v, w) for w in new.tolist())
 
 
 def _verified(percent: int):
+    """(a, b, first): links of each group that have the components of all its links; first: reached from the group's first member."""
+
+    def table(found: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+        a, b, first = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(first, pa.bool_())], ["a", "b", "first"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
+        found: list[tuple[int, int, bool]] = []
         for group in common.sorted_groups(batches, ["cluster", "lo", "hi"]):
             ids = group.column("doc_id").to_numpy()
             sets = [np.frombuffer(x.as_py(), U64) for x in group.column("shingles")]
             size = np.array([len(s) for s in sets], np.float64)
             both = intersections(sets).astype(np.float64)
-            for i, j in forest(100 * both >= percent * (size[:, None] + size[None, :] - both)):
-                found.append((int(ids[i]), int(ids[j])))
+            for root, i, j in forest(100 * both >= percent * (size[:, None] + size[None, :] - both)):
+                found.append((int(ids[i]), int(ids[j]), root == 0))
             if len(found) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+                yield table(found)
                 found = []
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+            yield table(found)
 
     return run
 
 
+def _verify(texts: DataFrame, placed: DataFrame, other: F.Column, percent: int, name: str) -> DataFrame:
+    """The links within each group (cluster, lo, hi) of blocks; `other` lists the blocks that a member's block meets."""
+    held = texts.join(placed.select("doc_id", "cluster", "block", other.alias("others")), "doc_id").mapInArrow(_sets, "doc_id long, cluster long, block int, others array<int>, shingles binary")
+    paired = held.withColumn("other", F.explode("others")).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "shingles")
+    dealt = paired.repartition(common.partitions(texts.sparkSession), "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "doc_id")
+    return common.cut(dealt.mapInArrow(_verified(percent), "a long, b long, first boolean").where("a <> b").distinct(), name)
+
+
+def _blocks(where: F.Column) -> F.Column:
+    """How many blocks the members of a cluster need for which the condition holds."""
+    rows, size = F.count_if(where), F.coalesce(F.sum(F.when(where, F.col("n_shingles"))), F.lit(0))
+    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+
+
+def _rare(texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """members (doc_id, n_shingles, cluster) in smaller clusters, those of shared rare shingles; members that share none are gone.
+
+    Of a set's n shingles, in the order of their number of sets within the cluster, the last ceil(percent * n / 100) - 1
+    are too few for a link: the sets of a link share one of the others. Shingles of one set alone are not looked at.
+    """
+    tokens = texts.join(members.select("doc_id", "cluster", "n_shingles"), "doc_id").mapInArrow(_tokens, "doc_id long, cluster long, n_shingles long, token long")
+    counts = common.cut(tokens.groupBy("cluster", "token").agg(F.count("*").alias("n")).where("n > 1"), "neardup-counts")
+    own = W.partitionBy("cluster", "doc_id")
+    spare = F.count("*").over(own) + 1 - F.ceil(F.col("n_shingles") * percent / 100)
+    ranked = tokens.join(counts, ["cluster", "token"]).select("cluster", "token", "doc_id", spare.alias("spare"), F.row_number().over(own.orderBy("n", "token")).alias("rank"))
+    rare = common.cut(ranked.where("rank <= spare").select("cluster", "token", "doc_id"), "neardup-rare")
+    centre = common.cut(rare.groupBy("cluster", "token").agg(F.min("doc_id").alias("a")), "neardup-rare-centres")
+    stars = common.cut(rare.join(centre, ["cluster", "token"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")), "neardup-rare-stars")
+    parts = common.components(stars, "neardup-parts").select(F.col("v").alias("doc_id"), F.col("root").alias("cluster"))
+    common.discard(counts, rare, centre, stars)
+    return members.select("doc_id", "n_shingles").join(parts, "doc_id")
+
+
+def cluster_links(texts: DataFrame, members: DataFrame, percent: int, split: bool = True) -> DataFrame:
+    """(a, b): links between the members (doc_id, n_shingles, cluster) of a cluster that have the components of all its links.
+
+    cluster is the smallest doc_id of its members. split: clusters with more than MOST_PAIRS block pairs are taken apart first.
+    """
+    blocks = members.groupBy("cluster").agg(_blocks(F.lit(True)).alias("blocks"))
+    placed = common.cut(members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "neardup-placed")
+    every = F.when(F.col("doc_id") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    alone = placed.withColumn("other", F.explode(every)).select("doc_id", "cluster", F.col("other").alias("block"))
+    near = _verify(texts, alone, F.array("block"), percent, "neardup-near")
+    links = near.select("a", "b")
+    many = placed.where("blocks > 1")
+    if many.isEmpty():
+        return links
+    settled = near.where("first").select(F.col("b").alias("doc_id")).distinct().withColumn("settled", F.lit(True))
+    known = many.join(settled, "doc_id", "left").select("doc_id", "n_shingles", "cluster", (F.col("settled").isNotNull() | (F.col("doc_id") == F.col("cluster"))).alias("settled"))
+    sizes = known.groupBy("cluster").agg(_blocks(F.col("settled")).alias("ins"), _blocks(~F.col("settled")).alias("outs")).where("outs > 0")
+    block = F.when(F.col("settled"), F.pmod(F.xxhash64("doc_id"), F.col("ins"))).otherwise(F.col("ins") + F.pmod(F.xxhash64("doc_id"), F.col("outs"))).cast("int")
+    left = common.cut(known.join(sizes, "cluster").withColumn("block", block), "neardup-left")
+    large = F.lit(split) & (F.col("outs").cast("long") * (F.col("ins") + F.col("outs")) > MOST_PAIRS)
+    others = F.sequence(F.when(F.col("settled"), F.col("ins")).otherwise(F.lit(0)), F.col("ins") + F.col("outs") - 1)
+    links = links.union(_verify(texts, left.where(~large), others, percent, "neardup-crossed").select("a", "b"))
+    apart = left.where(large)
+    if split and not apart.isEmpty():
+        links = links.union(cluster_links(texts, _rare(texts, apart.select("doc_id", "n_shingles", "cluster"), percent), percent, False))
+    return links
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row; links have 100 * intersection >= percent * union."""
     spark, side = docs.sparkSession, sides(percent)
@@ -170,16 +257,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     stars = common.cut(entries.join(centre, "key").where("doc <> a").select("a", F.col("doc").alias("b")), "neardup-stars")
     common.discard(shared, entries, centre)
     clusters = common.components(stars, "neardup-clusters").select(F.col("v").alias("doc_id"), F.col("root").alias("cluster"))
-    sized = clusters.join(reps.select("doc_id", "n_shingles"), "doc_id").dropDuplicates(["doc_id"])
-    blocks = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = common.cut(sized.join(blocks, "cluster").select("doc_id", "cluster", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")), "neardup-placed")
-    held = texts.join(placed, "doc_id").mapInArrow(_sets, "doc_id long, cluster long, block int, blocks int, shingles binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = held.withColumn("other", other).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "shingles")
-    dealt = paired.repartition(common.partitions(spark), "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "doc_id")
-    links = dealt.mapInArrow(_verified(percent), "a long, b long").where("a <> b")
-    found = common.cut(links.distinct(), "neardup-links")
-    common.discard(stars, placed)
+    sized = clusters.join(reps.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles")), "doc_id")
+    found = common.cut(cluster_links(texts, sized, percent).distinct(), "neardup-links")
+    common.discard(stars)
     joined = common.components(found, "neardup-components")
     found = member.select("doc_id", "rep").dropDuplicates(["doc_id", "rep"]).join(joined, F.col("rep") == F.col("v"), "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
     out = sig.select("doc_id", "n_shingles").join(found, "doc_id", "left")
