@@ -179,10 +179,15 @@ def _verified(percent: int):
     return run
 
 
-def _verify(texts: DataFrame, placed: DataFrame, other: F.Column, percent: int, name: str) -> DataFrame:
-    """The links within each group (cluster, lo, hi) of blocks; `other` lists the blocks that a member's block meets."""
-    held = texts.join(placed.select("doc_id", "cluster", "block", other.alias("others")), "doc_id").mapInArrow(_sets, "doc_id long, cluster long, block int, others array<int>, shingles binary")
-    paired = held.withColumn("other", F.explode("others")).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "shingles")
+def _verify(texts: DataFrame, placed: DataFrame, percent: int, name: str) -> DataFrame:
+    """The links within each group (cluster, lo, hi) of blocks.
+
+    placed has doc_id, cluster, block, since, upto: a member's block meets the blocks from since to upto; a member without a
+    block is in each of these. Sets are copied to the blocks after the join, never texts.
+    """
+    held = texts.join(placed.select("doc_id", "cluster", "block", "since", "upto"), "doc_id").mapInArrow(_sets, "doc_id long, cluster long, block int, since int, upto int, shingles binary")
+    # least and greatest pass over null
+    paired = held.withColumn("other", F.explode(F.sequence("since", "upto"))).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "shingles")
     dealt = paired.repartition(common.partitions(texts.sparkSession), "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "doc_id")
     return common.cut(dealt.mapInArrow(_verified(percent), "a long, b long, first boolean").where("a <> b").distinct(), name)
 
@@ -218,10 +223,10 @@ def cluster_links(texts: DataFrame, members: DataFrame, percent: int, split: boo
     cluster is the smallest doc_id of its members. split: clusters with more than MOST_PAIRS block pairs are taken apart first.
     """
     blocks = members.groupBy("cluster").agg(_blocks(F.lit(True)).alias("blocks"))
-    placed = common.cut(members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "neardup-placed")
-    every = F.when(F.col("doc_id") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    alone = placed.withColumn("other", F.explode(every)).select("doc_id", "cluster", F.col("other").alias("block"))
-    near = _verify(texts, alone, F.array("block"), percent, "neardup-near")
+    at, first = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.col("doc_id") == F.col("cluster")
+    ends = {"block": F.lit(None).cast("int"), "since": F.when(first, 0).otherwise(at), "upto": F.when(first, F.col("blocks") - 1).otherwise(at)}
+    placed = common.cut(members.join(blocks, "cluster").withColumns(ends), "neardup-placed")
+    near = _verify(texts, placed, percent, "neardup-near")
     links = near.select("a", "b")
     many = placed.where("blocks > 1")
     if many.isEmpty():
@@ -230,10 +235,10 @@ def cluster_links(texts: DataFrame, members: DataFrame, percent: int, split: boo
     known = many.join(settled, "doc_id", "left").select("doc_id", "n_shingles", "cluster", (F.col("settled").isNotNull() | (F.col("doc_id") == F.col("cluster"))).alias("settled"))
     sizes = known.groupBy("cluster").agg(_blocks(F.col("settled")).alias("ins"), _blocks(~F.col("settled")).alias("outs")).where("outs > 0")
     block = F.when(F.col("settled"), F.pmod(F.xxhash64("doc_id"), F.col("ins"))).otherwise(F.col("ins") + F.pmod(F.xxhash64("doc_id"), F.col("outs"))).cast("int")
-    left = common.cut(known.join(sizes, "cluster").withColumn("block", block), "neardup-left")
+    ends = {"block": block, "since": F.when(F.col("settled"), F.col("ins")).otherwise(F.lit(0)), "upto": F.col("ins") + F.col("outs") - 1}
+    left = common.cut(known.join(sizes, "cluster").withColumns(ends), "neardup-left")
     large = F.lit(split) & (F.col("outs").cast("long") * (F.col("ins") + F.col("outs")) > MOST_PAIRS)
-    others = F.sequence(F.when(F.col("settled"), F.col("ins")).otherwise(F.lit(0)), F.col("ins") + F.col("outs") - 1)
-    links = links.union(_verify(texts, left.where(~large), others, percent, "neardup-crossed").select("a", "b"))
+    links = links.union(_verify(texts, left.where(~large), percent, "neardup-crossed").select("a", "b"))
     apart = left.where(large)
     if split and not apart.isEmpty():
         links = links.union(cluster_links(texts, _rare(texts, apart.select("doc_id", "n_shingles", "cluster"), percent), percent, False))
