@@ -89,9 +89,10 @@ def score(kind: str, s: Column) -> Column:
 
 def _proposed(kind: str) -> Column:
     """The hits of a kind with their places and contexts."""
-    gaps, at = F.col(f"{kind}.gaps"), F.col(f"{kind}_at")
-    near = lambda i: (F.right(F.get(gaps, i), F.lit(NEAR)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(NEAR)).alias("after"))
-    return F.transform(f"{kind}.hits", lambda hit, i: F.struct(F.get(at, i).alias("start"), hit.alias("value"), *near(i)))
+    gaps, hits, n = F.col(f"{kind}.gaps"), F.col(f"{kind}.hits"), F.size(f"{kind}.hits")
+    placed = F.zip_with(hits, F.col(f"{kind}_at"), lambda hit, at: F.struct(at.alias("start"), hit.alias("value")))
+    near = F.zip_with(F.slice(gaps, F.lit(1), n), F.slice(gaps, F.lit(2), n), lambda a, b: F.struct(F.right(a, F.lit(NEAR)).alias("before"), F.left(b, F.lit(NEAR)).alias("after")))
+    return F.zip_with(placed, near, lambda s, c: F.struct(s["start"].alias("start"), s["value"].alias("value"), c["before"].alias("before"), c["after"].alias("after")))
 
 
 def _scored(kind: str) -> Column:
@@ -127,3 +128,38 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def written(spans: Column) -> Column:
     """kind:start:end of the spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+#: The same for DuckDB: patterns as in the contract, checks and scores as above.
+_PLAIN = PATTERNS | {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+"}
+_CODES = "[CASE WHEN c <= '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END FOR c IN string_split(replace(value, ' ', '')[5:] || value[1:4], '')]"
+_CHECKS = {
+    "email": "true",
+    "ip": rf"regexp_full_match(value, '(?:{PART}\.){{3}}{PART}')",
+    "card": "length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(string_split(reverse(digits), ''), lambda d, i: CASE WHEN i % 2 = 1 THEN d::INT WHEN d > '4' THEN 2 * d::INT - 9 ELSE 2 * d::INT END)) % 10 = 0",
+    "phone": "length(digits) BETWEEN 10 AND 15",
+    "iban": f"NOT regexp_matches(before, '[A-Za-z0-9]$') AND NOT regexp_matches(after, '^[A-Za-z0-9]') AND list_reduce(list_prepend(0, {_CODES}), lambda a, c: (a * CASE WHEN c < 10 THEN 10 ELSE 100 END + c) % 97) = 1",
+    "ssn": "NOT regexp_matches(before, '[0-9-]$') AND NOT regexp_matches(after, '^[0-9-]') AND NOT regexp_matches(value, '^(?:000|666|9..)|-00-|0000$')",
+}
+
+
+def _sql(kind: str) -> str:
+    pattern, has = _PLAIN[kind], lambda words: f"regexp_matches(near, '(?:^|[^a-z])(?:{words})(?:[^a-z]|$)')"
+    kept = "" if kind in BASE else f" WHERE score >= {KEEP}"
+    return f"""SELECT * FROM (SELECT row, '{kind}' AS kind, {KINDS.index(kind)} AS rank, {kind in BASE} AS base, start, start + length(value) AS "end",
+      {PRIOR[kind]} + CASE WHEN {has(WORDS[kind])} THEN {KNOWN} ELSE 0 END - CASE WHEN {has(TESTS)} THEN {DOUBT} ELSE 0 END AS score
+    FROM (SELECT *, translate(before || ' # ' || after, '{UPPER}', '{LOWER}') AS near FROM (
+      SELECT row, value, right(gap, {NEAR}) AS before, left(later, {NEAR}) AS after, regexp_replace(value, '[^0-9]', '', 'g') AS digits, sum(length(gap) + length(value)) OVER (PARTITION BY row ORDER BY i) - length(value) AS start
+      FROM (SELECT row, unnest(h) AS value, unnest(g[1:len(h)]) AS gap, unnest(g[2:]) AS later, generate_subscripts(h, 1) AS i
+        FROM (SELECT row, regexp_extract_all(text, '{pattern}') AS h, string_split_regex(text, '{pattern}') AS g FROM d))) WHERE {_CHECKS[kind]})){kept}"""
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+e AS ({" UNION ALL ".join(_sql(k) for k in KINDS)}),
+s AS (SELECT row, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)}, max(score) AS risk,
+  string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT), ',' ORDER BY start, rank) FILTER (base) AS own,
+  string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT), ',' ORDER BY start, rank) AS spans FROM e GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(risk, 0) AS INTEGER) AS risk
+FROM d LEFT JOIN s USING (row)
+"""

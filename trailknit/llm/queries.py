@@ -110,5 +110,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op5_poisson_mixing": mixing.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op12_personal_data": pii.ORACLE,
     "op13_price_bands": bands.ORACLE,
 }
