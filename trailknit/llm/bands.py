@@ -79,14 +79,14 @@ def prefix_sums(points: DataFrame, values: list[str]) -> DataFrame:
     """points (x, values) with the values summed over all points up to x; x must be distinct."""
     spark = points.sparkSession
     ends = points.agg(F.min("x"), F.max("x")).first()
-    shift, levels = BITS, []
+    levels = [] if ends[0] is None else [BITS]
     at = lambda s: F.shiftright("x", s)
-    while ends[0] is not None and (ends[1] >> shift) != (ends[0] >> shift):
-        levels.append(shift)
-        shift += BITS
+    while levels and (ends[1] >> levels[-1]) - (ends[0] >> levels[-1]) >= 1 << BITS:
+        levels.append(levels[-1] + BITS)
     sums = None
     for s in reversed(levels):  # from the widest blocks on
-        rows = points.groupBy(at(s).alias("block")).agg(*[F.sum(v).cast(WIDE).alias(v) for v in values]).withColumn("above", F.shiftright("block", BITS))
+        rows = points.groupBy(at(s).alias("block")).agg(*[F.sum(v).cast(WIDE).alias(v) for v in values])
+        rows = rows.withColumn("above", F.lit(0) if sums is None else F.shiftright("block", BITS))  # at the top, few blocks
         own = W.partitionBy("above").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
         rows = rows.select("block", "above", *[F.coalesce(F.sum(v).over(own), F.lit(0)).cast(WIDE).alias(v) for v in values])
         if sums is not None:

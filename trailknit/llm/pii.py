@@ -75,9 +75,9 @@ def confirmed(kind: str, s: Column) -> Column:
     if kind == "phone":
         return F.length(digits).between(10, 15)
     if kind == "iban":
-        return ~s["before"].rlike("[A-Za-z0-9]$") & ~s["after"].rlike("^[A-Za-z0-9]") & (mod97(F.replace(value, F.lit(" "))) == 1)
+        return ~s["before"].rlike(r"[A-Za-z0-9]\z") & ~s["after"].rlike("^[A-Za-z0-9]") & (mod97(F.replace(value, F.lit(" "))) == 1)
     if kind == "ssn":
-        return ~s["before"].rlike("[0-9-]$") & ~s["after"].rlike("^[0-9-]") & ~value.rlike("^(?:000|666|9..)|-00-|0000$")
+        return ~s["before"].rlike(r"[0-9-]\z") & ~s["after"].rlike("^[0-9-]") & ~value.rlike("^(?:000|666|9..)|-00-|0000$")
     return F.lit(True)
 
 
