@@ -158,7 +158,7 @@ def test_large_clusters_lose_no_links(spark, monkeypatch, most_pairs):
     got = {(max(r), min(r)) for r in neardup.cluster_links(docs, members, 80).collect()}
     assert got <= linked and components(got) == components(linked)
     assert len(set(components(linked))) > 10
-    rare = neardup._rare(docs, members, 80).collect()
+    rare = neardup._rare(neardup.sets_of(docs, members), members, 80).collect()
     part = {r.doc_id: r.cluster for r in rare}
     assert all(part[i] == part[j] for i, j in linked) and len(set(part.values())) > 1
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
 U64 = np.uint64
+ROUNDS = 200
 RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
@@ -234,7 +235,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """
     left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
     labels = spent = None
-    for step in range(200):
+    for step in range(ROUNDS):
         both = left.select(F.col("a").alias("v"), F.col("b").alias("w")).union(left.select(F.col("b").alias("v"), F.col("a").alias("w")))
         least = cut(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("up")), f"{name}-{step}")
         old = labels
@@ -247,5 +248,5 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         before, left = left, cut(ends.where("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), f"{name}-{step}-edges")
         discard(before)
         if left.isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"{name}: edges are left after {ROUNDS} rounds")

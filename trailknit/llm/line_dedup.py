@@ -2,9 +2,8 @@
 
 Every window of three lines is hashed (two 64-bit hashes); the first window of each hash stays, by (doc_id, text hash,
 position); the lines that later windows cover are removed. Windows are judged on the input. Counting windows by hash
-combines in the map tasks first, so a window that stands in a third of all documents is one row per task; only windows
-that repeat are joined back, to an aggregate; Spark can't split a hot partition of that join, which has one row a place of the
-window.
+combines in the map tasks first, so a window that stands in a third of all documents is one row per task; the windows that
+repeat are written to the shared folder, and joined back in a join of two plain shuffles, whose hot partitions Spark can split.
 
 Edge cases: a null text is an empty text of one empty line; texts of fewer than three lines have no window and stay as
 they are; rows with equal doc_id and text count as one document and get equal answers; rows without doc_id come last in
@@ -33,6 +32,7 @@ def covered_lines(docs: DataFrame, size: int = LINES) -> DataFrame:
     window = F.transform(F.sequence(F.lit(0), F.size("lines") - size), lambda i: F.struct(F.xxhash64(*[p(i) for p in part]).alias("h1"), F.xxhash64(F.lit("other"), *[p(i) for p in part]).alias("h2")))
     windows = lines.select("doc_id", "text_key", F.posexplode(window).alias("pos", "w")).select("doc_id", "text_key", "pos", "w.h1", "w.h2")
     first = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(*_order(), F.col("pos"))).alias("first")).where("n > 1")
+    first = common.cut(first, "line-first")
     later = windows.join(first, ["h1", "h2"]).where(F.struct(*_order(), F.col("pos")) > F.col("first"))
     hit = F.flatten(F.collect_list(F.sequence(F.col("pos"), F.col("pos") + size - 1)))
     return later.groupBy("doc_id", "text_key").agg(F.array_distinct(hit).alias("covered"))

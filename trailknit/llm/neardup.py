@@ -97,21 +97,20 @@ def _tables(side: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text column replaced by the shingle set, as bytes."""
+    """(doc_id, shingles): the shingle set of each text, as bytes."""
     for batch in batches:
-        kept = [c for c in batch.schema.names if c != "text"]
         for a, z in common.chunks(batch):
             part = batch.slice(a, z - a)
             sets = [u.tobytes() for u in shingle_sets(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(sets, pa.binary())], [*kept, "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (doc_id, cluster, n_shingles, token) for each shingle of a text."""
+    """A row (doc_id, cluster, n_shingles, token) for each shingle of a set."""
     for batch in batches:
-        for a, z in common.chunks(batch):
+        for a, z in common.chunks(batch, "shingles"):
             part = batch.slice(a, z - a)
-            sets = list(shingle_sets(part.column("text")))
+            sets = [np.frombuffer(x.as_py(), U64) for x in part.column("shingles")]
             at = pa.array(np.repeat(np.arange(len(sets)), [len(u) for u in sets]))
             token = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("doc_id", "cluster", "n_shingles")), pa.array(token)], ["doc_id", "cluster", "n_shingles", "token"])
@@ -179,16 +178,16 @@ def _verified(percent: int):
     return run
 
 
-def _verify(texts: DataFrame, placed: DataFrame, percent: int, name: str) -> DataFrame:
+def _verify(sets: DataFrame, placed: DataFrame, percent: int, name: str) -> DataFrame:
     """The links within each group (cluster, lo, hi) of blocks.
 
     placed has doc_id, cluster, block, since, upto: a member's block meets the blocks from since to upto; a member without a
-    block is in each of these. Sets are copied to the blocks after the join, never texts.
+    block is in each of these.
     """
-    held = texts.join(placed.select("doc_id", "cluster", "block", "since", "upto"), "doc_id").mapInArrow(_sets, "doc_id long, cluster long, block int, since int, upto int, shingles binary")
+    held = sets.join(placed.select("doc_id", "cluster", "block", "since", "upto"), "doc_id")
     # least and greatest pass over null
     paired = held.withColumn("other", F.explode(F.sequence("since", "upto"))).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "shingles")
-    dealt = paired.repartition(common.partitions(texts.sparkSession), "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "doc_id")
+    dealt = paired.repartition(common.partitions(sets.sparkSession), "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "doc_id")
     return common.cut(dealt.mapInArrow(_verified(percent), "a long, b long, first boolean").where("a <> b").distinct(), name)
 
 
@@ -198,13 +197,13 @@ def _blocks(where: F.Column) -> F.Column:
     return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(size / BLOCK_SHINGLES)).cast("int")
 
 
-def _rare(texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _rare(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """members (doc_id, n_shingles, cluster) in smaller clusters, those of shared rare shingles; members that share none are gone.
 
     Of a set's n shingles, in the order of their number of sets within the cluster, the last ceil(percent * n / 100) - 1
     are too few for a link: the sets of a link share one of the others. Shingles of one set alone are not looked at.
     """
-    tokens = texts.join(members.select("doc_id", "cluster", "n_shingles"), "doc_id").mapInArrow(_tokens, "doc_id long, cluster long, n_shingles long, token long")
+    tokens = sets.join(members.select("doc_id", "cluster", "n_shingles"), "doc_id").mapInArrow(_tokens, "doc_id long, cluster long, n_shingles long, token long")
     counts = common.cut(tokens.groupBy("cluster", "token").agg(F.count("*").alias("n")).where("n > 1"), "neardup-counts")
     own = W.partitionBy("cluster", "doc_id")
     spare = F.count("*").over(own) + 1 - F.ceil(F.col("n_shingles") * percent / 100)
@@ -217,31 +216,50 @@ def _rare(texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return members.select("doc_id", "n_shingles").join(parts, "doc_id")
 
 
-def cluster_links(texts: DataFrame, members: DataFrame, percent: int, split: bool = True) -> DataFrame:
-    """(a, b): links between the members (doc_id, n_shingles, cluster) of a cluster that have the components of all its links.
+def _links(sets: DataFrame, members: DataFrame, percent: int, split: bool = True) -> DataFrame:
+    """(a, b), tables in the shared folder: links between the members (doc_id, n_shingles, cluster) of a cluster that have the components of all its links.
 
-    cluster is the smallest doc_id of its members. split: clusters with more than MOST_PAIRS block pairs are taken apart first.
+    sets (doc_id, shingles) holds the members' sets, members is a table. cluster is the smallest doc_id of its members. split: clusters with more than MOST_PAIRS block pairs are taken apart first.
     """
-    blocks = members.groupBy("cluster").agg(_blocks(F.lit(True)).alias("blocks"))
+    # a table of its own, so that Spark can split a hot cluster of the join
+    blocks = common.cut(members.groupBy("cluster").agg(_blocks(F.lit(True)).alias("blocks")), "neardup-blocks")
     at, first = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.col("doc_id") == F.col("cluster")
     ends = {"block": F.lit(None).cast("int"), "since": F.when(first, 0).otherwise(at), "upto": F.when(first, F.col("blocks") - 1).otherwise(at)}
     placed = common.cut(members.join(blocks, "cluster").withColumns(ends), "neardup-placed")
-    near = _verify(texts, placed, percent, "neardup-near")
+    common.discard(blocks)
+    near = _verify(sets, placed, percent, "neardup-near")
     links = near.select("a", "b")
     many = placed.where("blocks > 1")
     if many.isEmpty():
         return links
     settled = near.where("first").select(F.col("b").alias("doc_id")).distinct().withColumn("settled", F.lit(True))
     known = many.join(settled, "doc_id", "left").select("doc_id", "n_shingles", "cluster", (F.col("settled").isNotNull() | (F.col("doc_id") == F.col("cluster"))).alias("settled"))
-    sizes = known.groupBy("cluster").agg(_blocks(F.col("settled")).alias("ins"), _blocks(~F.col("settled")).alias("outs")).where("outs > 0")
+    known = common.cut(known, "neardup-known")
+    sizes = common.cut(known.groupBy("cluster").agg(_blocks(F.col("settled")).alias("ins"), _blocks(~F.col("settled")).alias("outs")).where("outs > 0"), "neardup-sizes")
     block = F.when(F.col("settled"), F.pmod(F.xxhash64("doc_id"), F.col("ins"))).otherwise(F.col("ins") + F.pmod(F.xxhash64("doc_id"), F.col("outs"))).cast("int")
     ends = {"block": block, "since": F.when(F.col("settled"), F.col("ins")).otherwise(F.lit(0)), "upto": F.col("ins") + F.col("outs") - 1}
     left = common.cut(known.join(sizes, "cluster").withColumns(ends), "neardup-left")
+    common.discard(placed, known, sizes)
     large = F.lit(split) & (F.col("outs").cast("long") * (F.col("ins") + F.col("outs")) > MOST_PAIRS)
-    links = links.union(_verify(texts, left.where(~large), percent, "neardup-crossed").select("a", "b"))
+    links = links.union(_verify(sets, left.where(~large), percent, "neardup-crossed").select("a", "b"))
     apart = left.where(large)
     if split and not apart.isEmpty():
-        links = links.union(cluster_links(texts, _rare(texts, apart.select("doc_id", "n_shingles", "cluster"), percent), percent, False))
+        parts = common.cut(_rare(sets, apart.select("doc_id", "n_shingles", "cluster"), percent), "neardup-apart")
+        links = links.union(_links(sets, parts, percent, False))
+    return links
+
+
+def sets_of(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the members, as a table in the shared folder."""
+    return common.cut(texts.join(members.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "neardup-sets")
+
+
+def cluster_links(texts: DataFrame, members: DataFrame, percent: int, split: bool = True) -> DataFrame:
+    """_links(); texts (doc_id, text) are read once, for the members' sets, which all verification shares."""
+    members = common.cut(members, "neardup-members")
+    sets = sets_of(texts, members)
+    links = common.cut(_links(sets, members, percent, split).distinct(), "neardup-links")
+    common.discard(members, sets)
     return links
 
 
@@ -263,7 +281,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     common.discard(shared, entries, centre)
     clusters = common.components(stars, "neardup-clusters").select(F.col("v").alias("doc_id"), F.col("root").alias("cluster"))
     sized = clusters.join(reps.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles")), "doc_id")
-    found = common.cut(cluster_links(texts, sized, percent).distinct(), "neardup-links")
+    found = cluster_links(texts, sized, percent)
     common.discard(stars)
     joined = common.components(found, "neardup-components")
     found = member.select("doc_id", "rep").dropDuplicates(["doc_id", "rep"]).join(joined, F.col("rep") == F.col("v"), "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
