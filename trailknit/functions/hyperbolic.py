@@ -106,15 +106,6 @@ def givens(x: Column, angles: Column) -> Column:
     return F.flatten(F.transform(angles, lambda t, p: F.array(F.cos(t) * i((2 * p + 1).cast("int")) - F.sin(t) * i((2 * p + 2).cast("int")), F.sin(t) * i((2 * p + 1).cast("int")) + F.cos(t) * i((2 * p + 2).cast("int")))))
 
 
-def triple_score(h: Column, r: Column, t: Column, angles: Column, curvature: float, head_bias: Column, tail_bias: Column) -> Column:
-    """Minus the squared distance of the rotated and moved head to the tail, and both biases; the curvature passes through softplus."""
-    import math
-
-    c = math.log1p(math.exp(curvature)) + 1e-4
-    d = distance(mobius_add(givens(h, angles), r, c), t, c)
-    return -d * d + head_bias + tail_bias
-
-
 def midpoints(points: DataFrame, key: str, x: str, weight: str | None = None, c: float = 1.0) -> DataFrame:
     """(key, midpoint): the weighted Einstein midpoint of each group's points; c = 0 gives the weighted mean.
 
@@ -170,3 +161,21 @@ def match_distribution(points: DataFrame, x: str, reference: DataFrame, y: str)
     a, b = stats(points, x), stats(reference, y)
     both = a.join(b.select("i", F.col("m").alias("m2"), F.col("s").alias("s2")), "i").agg(F.array_sort(F.collect_list(F.struct("i", "m", "s", "m2", "s2"))).alias("t"))
     return points.join(F.broadcast(both)).withColumn(x, F.zip_with(x, "t", lambda v, t: (v - t["m"]) / (t["s"] + 1e-6) * t["s2"] + t["m2"])).drop("t")
+
+
+def inject(points: DataFrame, x: str, wide: int, row_norm: float, kind: str = "hyperbolic", c: float = 1.0, seed: int = 42) -> DataFrame:
+    """points with x turned into a row of `wide` numbers and length row_norm, to be put into a table of trained vectors.
+
+    kind: 'hyperbolic' takes the tangent vector at the origin, 'euclidean' the vector as it is. Both are multiplied by a matrix of random
+    signs over the root of the dimension, in which the sign of (i, j) is a bit of MD5('seed-i-j'); the matrix is worked out once, in one
+    row, whose size is the two dimensions' product.
+    """
+    if kind not in ("hyperbolic", "euclidean"):
+        raise ValueError(kind)
+    deep = points.select(F.size(x).alias("n")).where("n > 0").limit(1)
+    sign = lambda i, j: F.when(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), i.cast("string"), j.cast("string"))), 1, 1) < "8", 1.0).otherwise(-1.0)
+    matrix = deep.select(F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda j: F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: sign(i, j) / F.sqrt(F.col("n").cast("double")))).alias("__w"))
+    v = logmap0(F.col(x), c) if kind == "hyperbolic" else F.col(x)
+    moved = points.withColumn("__v", v).join(F.broadcast(matrix)).withColumn("__v", F.transform("__w", lambda w: dot(F.col("__v"), w)))
+    length = F.greatest(norm(F.col("__v")), F.lit(1e-9))
+    return moved.withColumn(x, scale(F.col("__v"), row_norm / length)).drop("__v", "__w")

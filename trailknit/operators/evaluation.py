@@ -170,10 +170,6 @@ def nearest_node(consensus: DataFrame, nodes: DataFrame, key: str, x: str, name:
     return d.groupBy(key).agg(F.min_by(name, F.struct("distance", name)).alias(name), F.min("distance").alias("distance"))
 
 
-def comparison_grid(results: dict[tuple[str, ...], DataFrame], names: tuple[str, ...]) -> DataFrame:
-    """The metrics of several runs as one table, with the runs' settings as columns."""
-    out = None
-    for setting, df in results.items():
-        one = df.select(*[F.lit(v).alias(n) for n, v in zip(names, setting, strict=True)], *df.columns)
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out
+def comparison_grid(ranks: DataFrame, settings: tuple[str, ...], rank: str = "rank") -> DataFrame:
+    """The metrics of several runs as one table, one row for each combination of the runs' settings (columns of ranks), in one pass."""
+    return rank_metrics(ranks, rank, list(settings))

@@ -71,15 +71,16 @@ def legacy_sessions(checkins: DataFrame, gap: int = 60, order: tuple[str, ...] =
 def real_transitions(groups: DataFrame, horizon: int = 240, min_shared: int = 2, min_jaccard: float = 0.5) -> DataFrame:
     """Group to later group at another place that shares enough members, within the horizon (minutes from end to start).
 
-    Groups are matched by member and time slice, so a pair of groups meets only if they share a member and time.
+    Groups are matched by member and time slice, so a pair of groups meets only if they share a member and time; only ids, times
+    and sizes travel, and the shared members are the rows that met. Members are distinct.
     """
-    g = groups.select("group_id", "poi_idx", "start_minute", "end_minute", "members")
-    left = g.select(F.col("group_id").alias("from_group"), F.col("poi_idx").alias("from_poi"), F.col("end_minute").alias("__end"), F.col("members").alias("__a"), F.explode("members").alias("__u"))
+    left = groups.select(F.col("group_id").alias("from_group"), F.col("poi_idx").alias("from_poi"), F.col("end_minute").alias("__end"), F.size("members").alias("__n"), F.explode("members").alias("__u"))
     left = left.withColumn("__slice", F.explode(F.array(F.floor(F.col("__end") / horizon), F.floor(F.col("__end") / horizon) + 1)))
-    right = g.select(F.col("group_id").alias("to_group"), F.col("poi_idx").alias("to_poi"), F.col("start_minute").alias("__start"), F.col("members").alias("__b"), F.explode("members").alias("__u")).withColumn("__slice", F.floor(F.col("__start") / horizon))
+    right = groups.select(F.col("group_id").alias("to_group"), F.col("poi_idx").alias("to_poi"), F.col("start_minute").alias("__start"), F.size("members").alias("__m"), F.explode("members").alias("__u")).withColumn("__slice", F.floor(F.col("__start") / horizon))
     met = left.join(right, ["__u", "__slice"]).where((F.col("from_poi") != F.col("to_poi")) & (F.col("__start") > F.col("__end")) & (F.col("__start") - F.col("__end") <= horizon))
-    met = met.dropDuplicates(["from_group", "to_group"]).withColumn("members", F.array_sort(F.array_intersect("__a", "__b"))).withColumn("n_shared", F.size("members"))
-    jaccard = F.col("n_shared") / F.size(F.array_union("__a", "__b"))
+    # a pair's rows are its shared members, each once, as an end and a start within the horizon meet in one slice
+    met = met.groupBy("from_group", "to_group", "from_poi", "to_poi", "__start", "__end", "__n", "__m").agg(F.array_sort(F.collect_list("__u")).alias("members")).withColumn("n_shared", F.size("members"))
+    jaccard = F.col("n_shared") / (F.col("__n") + F.col("__m") - F.col("n_shared"))
     out = met.withColumn("jaccard", jaccard).where((F.col("n_shared") >= min_shared) & (F.col("jaccard") >= min_jaccard))
     return out.select("from_group", "to_group", "from_poi", "to_poi", (F.col("__start") - F.col("__end")).alias("gap_min"), "n_shared", F.round("jaccard", 4).alias("jaccard"), "members")
 

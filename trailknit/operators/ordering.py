@@ -1,7 +1,6 @@
 """Numbers and running sums in a total order of rows, without a task that sees all rows.
 
-The order is cut into ranges at keys drawn by hash (a fixed number a range, so what the driver holds is bounded by the
-number of partitions); ranges are summed each on its own, and a small window over one row a range gives where each begins.
+The order is cut into ranges by Spark's range partitioning; what the driver holds is its sample, bounded by the number of partitions.
 """
 
 from __future__ import annotations
@@ -9,24 +8,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
+from trailknit.operators.scratch import cut
 
-DRAWN = 32
 
+def sum_before(df: DataFrame, order: list[Column], value: str | Column, out: str) -> DataFrame:
+    """out: the sum of the value over the rows that come before in the order, 0 for the first.
 
-def in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df with __part, which rises with the order. Keys must not be null."""
+    Rows are dealt into ranges of the order by Spark's range partitioning and written once; equal keys share a range. Ranges are summed each
+    on its own, and a small window over one row a range gives where each begins.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("k"))
-    drawn = keys.orderBy(F.xxhash64("k"), "k").limit(DRAWN * n).agg(F.array_sort(F.collect_list("k")).alias("all"))
-    edges = drawn.select(F.filter("all", lambda k, i: (i + 1) % DRAWN == 0).alias("__edges"))
-    own = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    return df.join(F.broadcast(edges)).withColumn("__part", F.size(F.filter("__edges", lambda e: e <= own))).drop("__edges")
-
-
-def sum_before(df: DataFrame, order: list[Column], value: str | Column, out: str) -> DataFrame:
-    """out: the sum of the value over the rows that come before in the order, 0 for the first."""
     value = F.col(value) if isinstance(value, str) else value
-    dealt = in_ranges(df, order).withColumn("__value", value)
+    dealt = cut(df.withColumn("__value", value).repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranges")
     per = dealt.groupBy("__part").agg(F.sum("__value").alias("__sum"))
     # one row a range
     begin = per.select("__part", F.coalesce(F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__begin"))

@@ -232,3 +232,48 @@ def consensus_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = H.midpoints(points(spark, sf_dir), "label", "x")
     nodes = m.select(F.col("label").alias("node"), F.col("midpoint").alias("y"))
     return E.nearest_node(m, nodes, "label", "midpoint", "node", "y", own=False).withColumn("distance", F.round("distance", 6))
+
+
+INJECTED = """tangent AS (SELECT vec_id, label, [v * atanh(least(n, CAST(0.99999 AS DOUBLE))) / n FOR v IN x] AS v FROM (SELECT *, sqrt(list_dot_product(x, x)) AS n FROM points)),
+w AS (SELECT j, list(CASE WHEN substr(md5('42-' || i || '-' || j), 1, 1) < '8' THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END / sqrt(64) ORDER BY i) AS w FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range(16)) AS j) GROUP BY 1),
+moved AS (SELECT vec_id, label, list(list_dot_product(v, w) ORDER BY j) AS y FROM tangent, w GROUP BY 1, 2),
+injected AS (SELECT vec_id, label, [v * 2 / sqrt(list_dot_product(y, y)) FOR v IN y] AS y FROM moved)"""
+
+
+def _injected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.inject(points(spark, sf_dir), "x", 16, 2.0)
+
+
+@query(T.sql(POINTS, INJECTED, select="SELECT vec_id, CAST(unnest(range(16)) AS INTEGER) AS i, round(unnest(y), 6) + 0.0 AS value FROM injected"))
+def injected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as rows of 16 numbers and length 2, by a hashed sign projection of their tangent vectors."""
+    return _injected(spark, sf_dir).select("vec_id", F.posexplode("x").alias("i", "v")).select("vec_id", "i", (F.round("v", 6) + 0.0).alias("value"))
+
+
+@query(T.sql(POINTS, INJECTED, "a AS (SELECT vec_id, unnest(range(16)) AS i, unnest(x[1:16]) AS v FROM points), b AS (SELECT unnest(range(16)) AS i, unnest(y) AS v FROM injected)", "s AS (SELECT i, avg(v) AS m, stddev_samp(v) AS s FROM a GROUP BY 1), q AS (SELECT i, avg(v) AS m, stddev_samp(v) AS s FROM b GROUP BY 1)", select="SELECT vec_id, CAST(i AS INTEGER) AS i, round((a.v - s.m) / (s.s + CAST(0.000001 AS DOUBLE)) * q.s + q.m, 6) + 0.0 AS value FROM a JOIN s USING (i) JOIN q USING (i)"))
+def matched_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 coordinates of the embeddings, moved to the mean and deviation of the injected rows, by coordinate."""
+    p = points(spark, sf_dir).select("vec_id", F.slice("x", 1, 16).alias("x"))
+    out = H.match_distribution(p, "x", _injected(spark, sf_dir).select(F.col("x").alias("y")), "y")
+    return out.select("vec_id", F.posexplode("x").alias("i", "v")).select("vec_id", "i", (F.round("v", 6) + 0.0).alias("value"))
+
+
+SPREAD = """g AS (SELECT label, vec_id % 40 AS cell, vec_id, x FROM points),
+d AS (SELECT a.label, a.cell, acosh(greatest(1 + 2 * (list_dot_product(a.x, a.x) + list_dot_product(b.x, b.x) - 2 * list_dot_product(a.x, b.x)) / ((1 - list_dot_product(a.x, a.x)) * (1 - list_dot_product(b.x, b.x))), CAST(1.0000001 AS DOUBLE))) AS d
+  FROM g a JOIN g b ON a.label = b.label AND a.cell = b.cell AND a.vec_id <> b.vec_id)"""
+
+
+@query(T.sql(POINTS, SPREAD, select="SELECT label || '-' || cell AS grp, round(avg(d), 6) AS spread FROM d GROUP BY 1"))
+def group_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean distance of the pairs of small groups: those of a label, dealt into 40."""
+    p = points(spark, sf_dir).withColumn("grp", F.concat_ws("-", F.col("label").cast("string"), (F.col("vec_id") % 40).cast("string")))
+    return H.spread(p, "grp", "x").withColumn("spread", F.round("spread", 6))
+
+
+@query(T.sql(SCORES, "o AS (SELECT example, rank, o_orderpriority AS priority, o_orderstatus AS status FROM ranks JOIN orders ON o_orderkey = example)", select="SELECT priority, status, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1 ELSE 0 END), 6) AS acc1, round(avg(1 / rank), 6) AS mrr FROM o GROUP BY 1, 2"))
+def comparison_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranking metrics of several runs side by side: a run is a priority and a status of orders."""
+    o = T.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("example"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+    r = E.ranks(_scores(spark, sf_dir), "example", "item", "score", "target").join(o, "example")
+    grid = E.comparison_grid(r, ("priority", "status"))
+    return grid.select("priority", "status", "n", *[F.round(c, 6).alias(c) for c in ("acc1", "mrr")])

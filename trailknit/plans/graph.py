@@ -61,8 +61,8 @@ def scored_edges(spark: SparkSession, sf_dir: str, percentile: float = 95.0) ->
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float, int, int]:
     """(scores with y, the score of other pairs, pairs, pairs that met)."""
     scores, none, n = _affinity(spark, sf_dir)
-    met = T.ties(spark, sf_dir).select("u1", "u2", F.lit(1).alias("y")).cache()
-    return scores.join(met, ["u1", "u2"], "left").fillna(0, ["y"]), none, n * (n - 1) // 2, met.count()
+    met = cut(T.ties(spark, sf_dir).select("u1", "u2", F.lit(1).alias("y")), "met")
+    return cut(scores.join(met, ["u1", "u2"], "left").fillna(0, ["y"]), "labelled"), none, n * (n - 1) // 2, met.count()
 
 
 @query(T.sql(T.CHECKINS, T.VENUES, COS.format(n="taste", key="split_part(category, '>', 1)"), select="SELECT user_id, key, n, round(w, 6) AS w FROM taste_w JOIN taste_c USING (user_id, key)"))
@@ -91,7 +91,6 @@ def affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(T.sql(*AFFINITY, T.groups_sql(), MET, *[f"auc_{s} AS (SELECT '{s}' AS signal, (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS auc FROM (SELECT y, rank() OVER (ORDER BY round({s}, 9)) + (count(*) OVER (PARTITION BY round({s}, 9)) - 1) / 2 AS r FROM labelled))" for s in (*SIGNALS, "combined")], select=" UNION ALL ".join(f"SELECT signal, round(auc, 6) AS auc FROM auc_{s}" for s in (*SIGNALS, "combined")), recursive=True))
 def affinity_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores, none, pairs, met = _labelled(spark, sf_dir)
-    scores = scores.cache()
     rows, pos = scores.count(), scores.agg(F.sum("y")).first()[0] or 0
     out = None
     for s in (*SIGNALS, "combined"):
@@ -104,7 +103,6 @@ def affinity_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(T.sql(*AFFINITY, T.groups_sql(), MET, "cut AS (SELECT p, quantile_cont(combined, p / 100) AS c FROM labelled, (SELECT unnest([CAST(99.0 AS DOUBLE), CAST(98.0 AS DOUBLE)]) AS p) GROUP BY p)".replace("quantile_cont(combined, p / 100)", "CASE WHEN p = 99 THEN quantile_cont(combined, 0.99) ELSE quantile_cont(combined, 0.98) END"), "chosen AS (SELECT p, u1, u2, y FROM labelled, cut WHERE combined >= c)", select="SELECT p AS percentile, count(*) AS n_pairs, (SELECT count(DISTINCT u) FROM (SELECT p AS q, u1 AS u FROM chosen UNION SELECT p, u2 FROM chosen) WHERE q = p) AS n_users, round(avg(y), 6) AS precision, round(avg(y) / (SELECT avg(y) FROM labelled), 6) AS lift FROM chosen GROUP BY p", recursive=True))
 def affinity_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores, none, pairs, met = _labelled(spark, sf_dir)
-    scores = scores.cache()
     out = None
     for p in (99.0, 98.0):
         cut = A.cut_score(scores, "combined", p, pairs, none)
@@ -185,7 +183,12 @@ GRAPH = (T.CHECKINS, T.VENUES, T.groups_sql(), T.RARITY, T.TIES, KNN, PREFERS.fo
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.build(T.venues(spark, sf_dir), T.train(spark, sf_dir), T.groups(spark, sf_dir), T.ties(spark, sf_dir), T.friends(spark, sf_dir)[0])
+    """The graph, written; check-ins, groups and ties are worked out once and shared by its layers."""
+    train = cut(T.train(spark, sf_dir), "train")
+    venues = cut(T.venues(spark, sf_dir), "venues")
+    groups = cut(G.with_group_ids(G.ephemeral_groups(train)), "groups")
+    ties = cut(G.co_attended(groups, G.venue_rarity(train)), "ties")
+    return cut(K.build(venues, train, groups, ties, T.friends(spark, sf_dir, ties)[0]), "graph")
 
 
 @query(T.sql(T.CHECKINS, T.VENUES, KNN, select="SELECT a AS poi_idx, b AS neighbour, round(d, 6) AS distance FROM knn"))
@@ -230,7 +233,7 @@ def hierarchy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(T.sql(*GRAPH, "nodes AS (SELECT h AS n FROM kg UNION SELECT t FROM kg)", select="SELECT (SELECT count(*) FROM nodes) AS n_entities, (SELECT count(DISTINCT rel) FROM kg) AS n_relations, (SELECT count(*) FROM kg) AS n_triples, (SELECT count(*) FROM nodes) - 1 AS max_id", recursive=True))
 def numbered_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, r, t = K.numbered(_graph(spark, sf_dir).cache())
+    e, r, t = K.numbered(_graph(spark, sf_dir))
     most = F.greatest(F.max("h"), F.max("t")).alias("max_id")
     return e.agg(F.count("*").alias("n_entities")).join(r.agg(F.count("*").alias("n_relations"))).join(t.agg(F.count("*").alias("n_triples"), most))
 

@@ -55,9 +55,9 @@ def ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.co_attended(groups(spark, sf_dir), G.venue_rarity(t))
 
 
-def friends(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(old, new only)."""
-    t = ties(spark, sf_dir).select("u1", "u2")
+def friends(spark: SparkSession, sf_dir: str, met: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(old, new only); met are the ties, if they are at hand."""
+    t = (ties(spark, sf_dir) if met is None else met).select("u1", "u2")
     rest = (F.col("u1") * 31 + F.col("u2")) % 3
     return t.where(rest == 0), t.where(rest == 1)
 
