@@ -1,59 +1,5 @@
-"""A training-data pipeline over `documents`: toxicity, line dedup, near-dedup, decontamination, mixing.
+"""The training-data pipeline; its stages are in trailknit.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
-`documents`. Edge cases follow the operators; rows that share a doc_id stay or go together in the near-dedup stage.
-"""
+from trailknit.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from trailknit.llm import common, decontaminate, line_dedup, mixing, neardup, toxicity
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity of 0.5 or more go."""
-    return toxicity.keep_clean(docs, toxicity.fit(docs, common.read(spark, sf_dir, "labels")), 0.5)
-
-
-def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of repeated three-line windows go, and the documents of which nothing is left; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
-    changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", changed).select(*docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similarity 0.8 or more stays, the one with the smallest doc_id."""
-    gone = neardup.near_duplicates(docs, percent=80).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of similarity 0.8 or more to a benchmark item go."""
-    return decontaminate.drop_leaked(docs, common.read(spark, sf_dir, "benchmark"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target weights of their sources, shuffled; with rate and copy."""
-    return mixing.replicate(docs)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", dedup_lines),
-    ("near_dedup", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("mixing", mix_sources),
-]
-
-#: SQL can't express the classifier, minhashing and fingerprints; tests hold the stages against brute-force versions.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from trailknit.llm import bands, decontaminate, fingerprints, line_dedup, mixing, neardup, periodic, pii, quality, secrets, span_dedup, suffix_dedup, toxicity
+from trailknit.llm import bands, decontaminate, fingerprints, line_dedup, mixing, neardup, periodic, pii, pipeline, quality, secrets, span_dedup, suffix_dedup, toxicity
 from trailknit.llm.common import read
 
 
@@ -104,7 +103,7 @@ QUERIES = {
     "op11_periodic_runs": op11_periodic_runs,
     "op12_personal_data": op12_personal_data,
     "op13_price_bands": op13_price_bands,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
