@@ -54,3 +54,83 @@ def test_npy_rows(spark, tmp_path):
 def test_ids_by_position(spark):
     ids = spark.createDataFrame([(["x", "y"],)], "v array<string>")
     assert [tuple(r) for r in P.by_position(ids, "v", 1).orderBy("poi_idx").collect()] == [(1, "x"), (2, "y")]
+
+
+def mat_file(order: str, variables: list, compress: bool) -> bytes:
+    """A level-5 file of numeric matrices and cells of texts, written by hand."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    def element(kind: int, data: bytes) -> bytes:
+        if 0 < len(data) <= 4:
+            return struct.pack(f"{order}I", len(data) << 16 | kind) + data.ljust(4, b"\0")
+        return struct.pack(f"{order}II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+
+    def array(name: str, value) -> bytes:
+        shape, sort, rest = (0, 0), 6, b""
+        if isinstance(value, list):
+            shape, sort, rest = (len(value), 1), 1, b"".join(array("", v) for v in value)
+        elif isinstance(value, str):
+            shape, sort, rest = (1, len(value)), 4, element(4, np.array([ord(c) for c in value], f"{order}u2").tobytes())
+        else:
+            kind = {"i4": 5, "f8": 9}[value.dtype.str[1:]]
+            shape, rest = value.shape, element(kind, value.astype(value.dtype.newbyteorder(order)).tobytes(order="F"))
+        body = element(6, struct.pack(f"{order}II", sort, 0)) + element(5, struct.pack(f"{order}{len(shape)}i", *shape)) + element(1, name.encode()) + rest
+        return struct.pack(f"{order}II", 14, len(body)) + body
+
+    out = b"planted".ljust(124) + struct.pack(f"{order}H", 0x0100) + (b"IM" if order == "<" else b"MI")
+    for name, value in variables:
+        part = array(name, value)
+        out += struct.pack(f"{order}II", 15, len(z := zlib.compress(part))) + z if compress else part
+    return out
+
+
+def test_mat_through_clock_and_categories(spark, tmp_path):
+    import numpy as np
+    import pytest
+
+    from trailknit.sources import matlab as M
+
+    # user, hour of week, venue, category; the third row falls by 3 hours, the fourth by 152
+    rows = np.array([[1, 160, 900, 5], [1, 165, 700, 6], [1, 162, 900, 5], [1, 10, 900, 6], [2, 3, 700, 6], [2, 9, 500, 5]], np.int32)
+    parts = [("selected_checkins", rows), ("selected_venue_IDs", ["4a", "4bé", "4c"]), ("friendship_old", np.array([[1.0, 2], [2, 1], [2, 2]])), ("note", "xy")]
+    for order, compress in (("<", True), (">", False)):
+        folder = tmp_path / f"m{order == '<'}"
+        folder.mkdir()
+        (folder / "d.mat").write_bytes(mat_file(order, parts, compress))
+        c = M.read_checkins(spark, str(folder))
+        assert [tuple(r) for r in c.orderBy("row").collect()] == [(i, int(u) - 1, int(s), int(v), int(k)) for i, (u, s, v, k) in enumerate(rows)]
+        clock = P.reconstruct_clock(c).orderBy("row").collect()
+        assert [(r.week, r.abs_hour) for r in clock] == [(0, 159), (0, 164), (0, 161), (1, 177), (0, 2), (0, 8)]
+        assert {r.venue: r.category for r in P.modal_category(c, "venue").collect()} == {900: 5, 700: 6, 500: 5}
+        venues = P.compact_ids(c, "venue", "poi_idx").join(M.read_venue_ids(spark, str(folder)), "poi_idx")
+        assert {r.venue_id for r in venues.collect()} == {"4a", "4bé", "4c"}
+        assert [tuple(r) for r in M.read_friendships(spark, str(folder), "friendship_old").collect()] == [(0, 1)]
+        assert M.read_mat(spark, str(folder), "note").first().text == "xy"
+        with pytest.raises(ValueError, match="has no variable"):
+            M.read_mat(spark, str(folder), "other")
+
+
+def test_graphml_written_and_read_back(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    nodes = spark.createDataFrame([("a", "user", None), ('b & <c>"', "poi", "12.5")], "id string, kind string, lat string").repartition(2)
+    edges = spark.createDataFrame([("a", "VISITED", 'b & <c>"', "3"), ('b & <c>"', "IS_NEAR_TO", "a", None), ("a", None, "a", "x > y")], "h string, rel string, t string, count string").repartition(3)
+    S.write_graphml(nodes, edges, str(tmp_path / "g"))
+    files = list((tmp_path / "g").glob("part-*"))
+    assert len(files) > 1 and all(ET.parse(f).getroot().tag.endswith("graphml") for f in files)
+    assert {tuple(r) for r in S.read_graphml(spark, str(tmp_path / "g"), "relation").collect()} == {tuple(r)[:3] for r in edges.collect()}
+    assert {r.h: r.rel for r in S.read_graphml(spark, str(tmp_path / "g"), "count").where("t = 'a'").collect()} == {"a": "x > y", 'b & <c>"': None}
+    assert {r.id: r.attributes for r in S.read_graphml_nodes(spark, str(tmp_path / "g")).collect()} == {"a": {"kind": "user"}, 'b & <c>"': {"kind": "poi", "lat": "12.5"}}
+
+
+def test_typed_manifest_and_absent_groups(spark, tmp_path):
+    import json
+
+    values = {"n": 3, "share": 0.5, "ok": True, "sizes": [2, 8], "of": {"a": None}}
+    S.write_manifest(values, spark, str(tmp_path / "m"))
+    assert json.loads(next((tmp_path / "m").glob("part-*")).read_text()) == values
+    none = S.read_groups(spark, str(tmp_path / "nothing"))
+    assert none.count() == 0 and {"group_id", "members"} <= set(none.columns)

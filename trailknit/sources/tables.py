@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +79,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").csv(path, header=True)
 
 
-def read_groups(spark: SparkSession, path: str) -> DataFrame:
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_groups(spark: SparkSession, path: str, empty: str = "group_id string, venue_id string, poi_idx string, span_min string, size string, start_time string, end_time string, members array<long>") -> DataFrame:
+    """Groups as write_csv wrote them; no folder gives no groups, with the columns of `empty`."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], empty)
     df = spark.read.csv(path, header=True, inferSchema=False)
     return df.withColumn("members", F.transform(F.split("members", "\\|"), lambda x: x.cast("long")))
 
@@ -86,7 +98,8 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_manifest(values: dict, spark: SparkSession, path: str) -> None:
-    spark.createDataFrame([{k: str(v) for k, v in values.items()}]).coalesce(1).write.mode("overwrite").json(path)
+    """One JSON object; numbers, truth values, lists and nested objects keep their types, anything else is written as text."""
+    spark.createDataFrame([(json.dumps(values, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_graph(entities: DataFrame, relations: DataFrame, triples: DataFrame, path: str) -> None:
@@ -111,6 +124,41 @@ def read_graphml(spark: SparkSession, path: str, relation: str) -> DataFrame:
     return edges.select(F.col("_source").alias("h"), F.get(held, 0)["_VALUE"].alias("rel"), F.col("_target").alias("t"))
 
 
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, relation: str = "relation") -> None:
+    """GraphML of nodes (id, and text attributes) and edges (h, rel, t, and text attributes), as a folder of files.
+
+    Every file is a valid document of its own with the same declarations, so tasks write in parallel and no file passes through one task;
+    read_graphml reads the folder, other readers its files one after another. Null attributes are left out.
+    """
+    of_nodes, of_edges = [c for c in nodes.columns if c != "id"], [c for c in edges.columns if c not in ("h", "rel", "t")]
+    keys = [("node", c) for c in of_nodes] + [("edge", relation)] + [("edge", c) for c in of_edges]
+    named = {k: f"d{i}" for i, k in enumerate(keys)}
+    text = lambda c: F.replace(F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    data = lambda kind, c, column: F.coalesce(F.concat(F.lit(f'<data key="{named[kind, c]}">'), text(column), F.lit("</data>")), F.lit(""))
+    node = F.concat(F.lit('<node id="'), text("id"), F.lit('">'), *[data("node", c, c) for c in of_nodes], F.lit("</node>"))
+    edge = F.concat(F.lit('<edge source="'), text("h"), F.lit('" target="'), text("t"), F.lit('">'), data("edge", relation, "rel"), *[data("edge", c, c) for c in of_edges], F.lit("</edge>"))
+    head = ['<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *(f'<key id="{named[k]}" for="{k[0]}" attr.name="{k[1]}" attr.type="string"/>' for k in keys), '<graph edgedefault="directed">']
+
+    def document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"value": head})
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+        yield pa.RecordBatch.from_pydict({"value": ["</graph>", "</graphml>"]})
+
+    nodes.select(node.alias("value")).union(edges.select(edge.alias("value"))).mapInArrow(document, "value string").write.mode("overwrite").text(path)
+
+
+def read_graphml_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """(id, attributes) of the nodes, attributes by their declared names; declarations, as many as attributes, come to the driver."""
+    keys = spark.read.schema("_id string, _for string, `_attr.name` string").option("rowTag", "key").format("xml").load(path)
+    named = {r[0]: r[1] for r in keys.where(F.col("_for").isin("node", "all")).select("_id", "`_attr.name`").distinct().collect()}
+    kind = "array<struct<_VALUE: string, _key: string>>"
+    rows = spark.read.schema(f"_id string, data {kind}").option("rowTag", "node").format("xml").load(path)
+    names = F.create_map(*[F.lit(x) for k in named.items() for x in k]) if named else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    held = F.filter(F.coalesce("data", F.array().cast(kind)), lambda d: F.map_contains_key(names, d["_key"]))
+    return rows.select(F.col("_id").alias("id"), F.map_from_entries(F.transform(held, lambda d: F.struct(F.element_at(names, d["_key"]), d["_VALUE"]))).alias("attributes"))
+
+
 def read_npy(spark: SparkSession, path: str, rows_a_task: int = 1 << 16) -> DataFrame:
     """(id, z) of a two-dimensional .npy file that the driver and all executors can open; each task maps its own rows only."""
     import numpy as np
