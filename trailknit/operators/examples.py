@@ -5,6 +5,10 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -25,19 +29,61 @@ def recent(split: DataFrame, value: str, length: int = 15) -> Column:
     return F.collect_list(value).over(W.partitionBy("user_id").orderBy("pos").rowsBetween(-length, -1))
 
 
-def prefix_top(split: DataFrame, value: str, k: int) -> DataFrame:
-    """(user_id, pos, rank, value, n): the k commonest values before each position, ties by first appearance.
-
-    Counts of a value change only where it occurs, so each value is counted once a position by its running number: the
-    rows are positions times distinct values so far of one user, never positions squared.
+def _fold_top(k: int):
+    """Rows of a user's slice in the order of time: what was counted before it, then moments, each before the visits of its time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, counts, top = None, {}, []
+        for batch in batches:
+            out: list[tuple] = []
+            for user, part, t, kind, value, n, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (user, part) != at:
+                    at, counts, top = (user, part), {}, []
+                if kind == 1:
+                    out += [(user, t, i + 1, key[3], -key[0]) for i, key in enumerate(top)]
+                    continue
+                before, since = counts.get(value, (0, first))
+                counts[value] = (before + n, since)
+                # counts only grow, so a value outside the list can enter it only when it is counted itself
+                top = [key for key in top if key[3] != value]
+                insort(top, (-(before + n), since, value is not None, value))
+                del top[k:]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (batch.schema.field(0).type, batch.schema.field(2).type, pa.int32(), batch.schema.field(4).type, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, kinds, strict=True)], ["user_id", "t", "rank", "value", "n"])
+
+    return run
+
+
+def running_top(visits: DataFrame, moments: DataFrame, k: int, width: int) -> DataFrame:
+    """(user_id, t, rank, value, n): the k commonest values of a user's visits (user_id, t, value) before each moment (user_id, t), t a whole number.
+
+    Ties go by first appearance and then value. Time is cut into slices of `width`: running sums over slices give what each slice begins with, and
+    a fold over a slice's own visits keeps the k best, so the work is the visits, the moments and a row for each slice and value of a
+    user, never a user's moments times visits, and a long history is shared by many tasks.
     """
-    s = split.select("user_id", "pos", F.col(value).alias("value"))
-    run = s.withColumns({"n": F.row_number().over(W.partitionBy("user_id", "value").orderBy("pos")), "first": F.min("pos").over(W.partitionBy("user_id", "value")), "next": F.lead("pos").over(W.partitionBy("user_id", "value").orderBy("pos"))})
-    last = s.groupBy("user_id").agg(F.max("pos").alias("last"))
-    spans = run.join(last, "user_id").where("pos < last")
-    spread = spans.select("user_id", "value", "n", "first", F.explode(F.sequence(F.col("pos") + 1, F.least(F.coalesce("next", F.col("last")), F.col("last")))).alias("pos"))
-    rn = F.row_number().over(W.partitionBy("user_id", "pos").orderBy(F.desc("n"), "first"))
-    return spread.withColumn("rank", rn).where(F.col("rank") <= k).select("user_id", "pos", "rank", "value", "n")
+    part = lambda t: F.floor(F.col(t) / width).cast("long")
+    v = visits.select("user_id", F.col("t").cast("long").alias("t"), "value").groupBy("user_id", "t", "value").agg(F.count("*").alias("n")).withColumn("part", part("t"))
+    m = moments.select("user_id", F.col("t").cast("long").alias("t")).distinct().withColumn("part", part("t"))
+    wanted = m.select("user_id", "part").distinct()
+    last = wanted.groupBy("user_id").agg(F.max("part").alias("last"))
+    per = v.groupBy("user_id", "value", "part").agg(F.sum("n").alias("c"), F.min("t").alias("f"))
+    w = W.partitionBy("user_id", "value").orderBy("part")
+    run = per.select("user_id", "value", "part", F.sum("c").over(w).alias("n"), F.min("f").over(w).alias("first"), F.lead("part").over(w).alias("next")).join(last, "user_id").where("part < last")
+    begins = run.select("user_id", "value", "n", "first", F.explode(F.sequence(F.col("part") + 1, F.least(F.coalesce("next", "last"), F.col("last")))).alias("part")).join(wanted, ["user_id", "part"], "left_semi")
+    none = lambda kind: F.lit(None).cast(kind)
+    kind = visits.schema["value"].dataType
+    rows = begins.select("user_id", "part", none("long").alias("t"), F.lit(0).alias("kind"), "value", "n", "first")
+    rows = rows.union(m.select("user_id", "part", "t", F.lit(1), none(kind), none("long"), none("long"))).union(v.join(wanted, ["user_id", "part"], "left_semi").select("user_id", "part", "t", F.lit(2), "value", "n", F.col("t")))
+    dealt = rows.repartition("user_id", "part").sortWithinPartitions("user_id", "part", F.col("t").asc_nulls_first(), "kind", "value")
+    schema = f"user_id {visits.schema['user_id'].dataType.simpleString()}, t long, rank int, value {kind.simpleString()}, n long"
+    return dealt.mapInArrow(_fold_top(k), schema)
+
+
+def prefix_top(split: DataFrame, value: str, k: int) -> DataFrame:
+    """(user_id, pos, rank, value, n): the k commonest values before each position, ties by first appearance."""
+    s = split.select("user_id", F.col("pos").alias("t"), F.col(value).alias("value"))
+    return running_top(s, s, k, 1024).withColumnRenamed("t", "pos")
 
 
 def before_counts(checkins: DataFrame, moments: DataFrame, value: str) -> DataFrame:
@@ -53,10 +99,10 @@ def before_counts(checkins: DataFrame, moments: DataFrame, value: str) -> DataFr
     return met.select("user_id", F.col("t").alias("minute"), "value", "n", "first")
 
 
-def before_top(checkins: DataFrame, moments: DataFrame, value: str, k: int) -> DataFrame:
+def before_top(checkins: DataFrame, moments: DataFrame, value: str, k: int, width: int = 28 * 1440) -> DataFrame:
     """(user_id, minute, rank, value, n): the k commonest values in earlier minutes than each moment (user_id, minute); ties by first appearance."""
-    rn = F.row_number().over(W.partitionBy("user_id", "minute").orderBy(F.desc("n"), "first", "value"))
-    return before_counts(checkins, moments, value).withColumn("rank", rn).where(F.col("rank") <= k).select("user_id", "minute", "rank", "value", "n")
+    c = checkins.select("user_id", F.col("minute").alias("t"), F.col(value).alias("value"))
+    return running_top(c, moments.select("user_id", F.col("minute").alias("t")), k, width).withColumnRenamed("t", "minute")
 
 
 def n_before(checkins: DataFrame, moments: DataFrame) -> DataFrame:
@@ -146,6 +192,25 @@ def individual_examples(split: DataFrame, which: str, length: int = 15) -> DataF
     return rows.where((F.col("split") == which) & (F.size("hist") > 0)).select("user_id", "pos", "hist", F.col("poi_idx").alias("target"), "t_hour", "t_dow")
 
 
+def individual_records(split: DataFrame, which: str, length: int = 15, n_places: int = 5, n_categories: int = 3, n_hours: int = 3) -> DataFrame:
+    """individual_examples() with hist_hours and the profile before the position: n_seen, top_pois, top_cats, top_hrs (value, n).
+
+    split has category and hour. Profiles count positions before the check-in, whatever their split, and never the check-in itself.
+    """
+    rows = split.withColumns({"hist": recent(split, "poi_idx", length), "hist_hours": recent(split, "hour", length)})
+    rows = rows.where((F.col("split") == which) & (F.size("hist") > 0))
+    asked = rows.select("user_id", F.col("pos").cast("long").alias("t"))
+    out = rows.select("user_id", F.col("pos").cast("long").alias("pos"), "hist", "hist_hours", F.col("poi_idx").alias("target"), F.hour("utc_time").alias("t_hour"), F.date_format("utc_time", "EEEE").alias("t_dow"))
+    first = split.groupBy("user_id").agg(F.min("pos").cast("long").alias("__first"))
+    out = out.join(first, "user_id").withColumn("n_seen", F.col("pos") - F.col("__first")).drop("__first")
+    for name, value, k in (("top_pois", "poi_idx", n_places), ("top_cats", "category", n_categories), ("top_hrs", "hour", n_hours)):
+        visits = split.select("user_id", F.col("pos").cast("long").alias("t"), F.col(value).alias("value"))
+        best = running_top(visits, asked, k, 1024).groupBy("user_id", F.col("t").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("l"))
+        item = lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))
+        out = out.join(best.select("user_id", "pos", F.transform("l", item).alias(name)), ["user_id", "pos"], "left")
+    return out
+
+
 def group_examples(offers: DataFrame, checkins: DataFrame, constraint: bool = True, min_active: int = 5, min_history: int = 1, length: int = 15) -> tuple[DataFrame, DataFrame]:
     """(examples, tested): an example for each offer that passes all tests, and all offers with the reason that ends them.
 

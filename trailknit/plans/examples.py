@@ -49,6 +49,26 @@ def individual_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.individual_examples(T.split(spark, sf_dir), "test").withColumns({"hist": _joined("hist"), "pos": F.col("pos").cast("long")})
 
 
+def _best(name: str, value: str, k: int) -> str:
+    """The k commonest values before each position of the test split, ties by first appearance."""
+    return f"""{name}_n AS (SELECT a.user_id, a.pos, b.{value} AS value, count(*) AS n, min(b.pos) AS first FROM typed a JOIN typed b ON a.user_id = b.user_id AND b.pos < a.pos WHERE a.split = 'test' GROUP BY 1, 2, 3),
+{name}_r AS (SELECT *, row_number() OVER (PARTITION BY user_id, pos ORDER BY n DESC, first) AS r FROM {name}_n),
+{name} AS (SELECT user_id, pos, string_agg(value || ':' || n, '|' ORDER BY r) AS {name} FROM {name}_r WHERE r <= {k} GROUP BY 1, 2)"""
+
+
+RECORDS = """typed AS (SELECT s.*, category, CAST(hour(utc_time) AS INTEGER) AS hour FROM split s JOIN venues USING (poi_idx)),
+h AS (SELECT user_id, pos, split, poi_idx, utc_time, pos - min(pos) OVER (PARTITION BY user_id) AS n_seen, list(poi_idx) OVER w AS hist, list(hour) OVER w AS hours FROM typed WINDOW w AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING))"""
+
+
+@query(T.sql(T.CHECKINS, T.VENUES, RECORDS, _best("pois", "poi_idx", 5), _best("cats", "category", 3), _best("hrs", "hour", 3), select="SELECT user_id, CAST(pos AS BIGINT) AS pos, array_to_string(hist, '|') AS hist, array_to_string(hours, '|') AS hist_hours, CAST(n_seen AS BIGINT) AS n_seen, pois AS top_pois, cats AS top_cats, hrs AS top_hrs, poi_idx AS target, CAST(hour(utc_time) AS INTEGER) AS t_hour, dayname(utc_time) AS t_dow FROM h JOIN pois USING (user_id, pos) JOIN cats USING (user_id, pos) JOIN hrs USING (user_id, pos) WHERE split = 'test' AND len(hist) > 0"))
+def individual_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The individual examples of the test split with hours and profiles as columns; counts are written behind the values."""
+    s = cut(_typed(spark, sf_dir).withColumn("hour", F.hour("utc_time")), "typed")
+    out = X.individual_records(s, "test")
+    pairs = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["value"].cast("string"), x["n"].cast("string"))), "|").alias(c)
+    return out.select("user_id", "pos", _joined("hist").alias("hist"), _joined("hist_hours").alias("hist_hours"), "n_seen", *[pairs(c) for c in ("top_pois", "top_cats", "top_hrs")], "target", "t_hour", "t_dow")
+
+
 @query(T.sql(T.CHECKINS, "h AS (SELECT user_id, pos, split, utc_time, list(poi_idx) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) AS hist FROM split)", select="SELECT user_id, CAST(pos AS BIGINT) AS pos, 'Visited: POI ' || array_to_string(hist, ', POI ') || '. It is ' || dayname(utc_time) || printf(', %02d:00. Next venue:', hour(utc_time)) AS prompt FROM h WHERE split = 'val' AND len(hist) > 0"))
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.individual_examples(T.split(spark, sf_dir), "val").select("user_id", F.col("pos").cast("long").alias("pos"), X.prompt().alias("prompt"))
