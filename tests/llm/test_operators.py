@@ -560,3 +560,22 @@ def test_maximal_segments():
     for _ in range(200):
         s = np.array([rng.choice((-3, -2, -1, 1, 2, 3)) + rng.random() / 100 for _ in range(rng.randint(0, 12))])
         assert [x[:2] for x in toxicity.maximal_segments(s)] == brute(s, 0, len(s))
+
+
+def test_spans_of_a_long_text_are_united(spark):
+    """A text of many overlapping spans: a row a part goes on, not one for each span."""
+    long = "x. " * 200_000
+    got = by_id(span_dedup.dedup_spans(spark.createDataFrame([(1, long), (2, "fresh words here. " + long[:300]), (3, "nothing of that.")], "doc_id long, text string")))
+    assert got[1].n_spans == got[2].n_spans == 1 and got[3].n_removed == 0
+    assert len(got[1].text) < 100 and got[2].text == "fresh words here. " and got[1].n_removed + len(got[1].text) == len(long)
+
+
+def test_unions_of_intervals():
+    rng = random.Random(8)
+    for _ in range(300):
+        rows = sorted((rng.randrange(3), rng.randrange(30)) for _ in range(rng.randrange(20)))
+        group, start = (np.array([r[i] for r in rows], np.int64) for i in range(2))
+        stop = start + np.array([rng.randrange(1, 8) for _ in rows], np.int64)
+        first, a, z = span_dedup.islands(start, stop, group)
+        want = {(g, i) for g, s, e in zip(group, start, stop) for i in range(s, e)}
+        assert {(group[f], i) for f, s, e in zip(first, a, z) for i in range(s, e)} == want and sum(z - a) == len(want)

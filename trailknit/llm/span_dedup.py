@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ from trailknit.llm.common import BASE, SPACE, U64, mix
 
 RUN, MIN_WORDS = 5, 20
 UNTURN = U64(pow(int(BASE), -1, 1 << 64))
+PART = 1 << 16
 STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
 
@@ -113,22 +115,61 @@ def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def islands(start: np.ndarray, stop: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first row, start, stop) of the unions of touching intervals within groups; rows are sorted by group (which rises) and start."""
+    if not len(start):
+        return np.empty(0, np.int64), start, stop
+    step = int(stop.max()) + 2
+    reach = np.maximum.accumulate(stop + group * step)
+    first = np.flatnonzero(np.concatenate([[True], (start + group * step)[1:] > reach[:-1]]))
+    last = np.append(first[1:] - 1, len(start) - 1)
+    return first, start[first], reach[last] - group[last] * step
+
+
+MERGED = "doc_id long, text_key long, part long, start long, stop long"
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The unions of a document's spans within each part of it, from rows sorted by document, part and start; one union is held back."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not table.num_rows:
+            continue
+        keys = [pc.fill_null(table.column(0), -(1 << 63)).to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy(), pc.is_null(table.column(0)).to_numpy()]
+        change = np.zeros(table.num_rows, np.int64)
+        for k in keys:
+            change[1:] |= k[1:] != k[:-1]
+        first, start, stop = islands(table.column(3).to_numpy(), table.column(4).to_numpy(), np.cumsum(change))
+        out = table.take(pa.array(first)).set_column(3, "start", pa.array(start)).set_column(4, "stop", pa.array(stop))
+        held = out.slice(out.num_rows - 1)
+        yield from out.slice(0, out.num_rows - 1).to_batches()
+    if held is not None:
+        yield from held.to_batches()
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in common.chunks(batch):
             part = batch.slice(lo, hi - lo)
+            gone = part.column("gone")
+            offsets = gone.offsets.to_numpy()
+            ends = [gone.values.field(i).to_numpy() for i in range(2)]
+            none = gone.is_null().to_numpy(zero_copy_only=False)
             texts, removed, counts, sizes = [], [], [], []
-            for text, gone in zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), strict=True):
+            for i, text in enumerate(part.column("text").to_pylist()):
                 raw = (text or "").encode()
-                runs = merged([(g["start"], g["stop"]) for g in gone or ()])
+                a, z = (np.empty(0, np.int64) if none[i] else e[offsets[i] : offsets[i + 1]] for e in ends)
+                order = np.argsort(a, kind="stable")
+                _, start, stop = islands(a[order], z[order], np.zeros(len(a), np.int64))
                 at, kept = 0, []
-                for a, z in runs:
-                    kept.append(raw[at:a])
-                    at = z
-                texts.append(b"".join([*kept, raw[at:]]).decode() if runs else text)
+                for s, e in zip(start.tolist(), stop.tolist(), strict=True):
+                    kept.append(raw[at:s])
+                    at = e
+                texts.append(b"".join([*kept, raw[at:]]).decode() if len(start) else text)
                 sizes.append(len(raw))
-                removed.append(sum(z - a for a, z in runs))
-                counts.append(len(runs))
+                removed.append(int((stop - start).sum()))
+                counts.append(len(start))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "text", "n_bytes", "n_removed", "n_spans"])
 
 
@@ -142,6 +183,9 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     repeated = common.cut(found.join(shared, ["h1", "h2"]), "span-repeats")
     first = common.cut(repeated.groupBy("h1", "h2").agg(F.min(order).alias("first")), "span-first")
     later = repeated.join(first, ["h1", "h2"]).where(order > F.col("first"))
-    gone = later.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__tk")).agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+    # spans overlap much: they are united in parts of PART bytes, so that neither a task nor a row holds more than that has
+    placed = later.select("doc_id", "text_key", F.floor(F.col("start") / PART).cast("long").alias("part"), "start", "stop")
+    united = placed.repartition("doc_id", "text_key", "part").sortWithinPartitions("doc_id", "text_key", "part", "start").mapInArrow(_merge, MERGED)
+    gone = united.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__tk")).agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     out = texts.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__tk")), "left").select("doc_id", "text", "gone")
     return out.mapInArrow(_cut, "doc_id long, text string, n_bytes long, n_removed long, n_spans long")
