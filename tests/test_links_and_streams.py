@@ -113,3 +113,19 @@ def test_sessions_as_a_stream(spark, tmp_path):
     want = G.gap_sessions(table, 60, ["event_id"]).groupBy("poi_idx", "session").agg(F.min("minute").alias("a"), F.max("minute").alias("z"), F.count("*").alias("n"), F.array_sort(F.collect_set("user_id")).alias("u")).collect()
     assert got == {(r.poi_idx, r.a, r.z, r.n, tuple(r.u)) for r in want}
     assert {(r[0], r[3]) for r in got if r[0] == 9} == {(9, 2), (9, 1)}
+
+
+@pytest.mark.parametrize("heavy, block", [(0, 5), (3, 4), (3, 1000), (1000, 5)])
+def test_cosine_pairs_by_a_plain_loop(spark, heavy, block):
+    w = {(u, k): rng.random() for u in range(30) for k in "abcdefghij" if rng.random() < (0.9 if k < "c" else 0.1)}
+    df = spark.createDataFrame([(u, k, x) for (u, k), x in w.items()] + [(None, "a", 0.5), (3, None, 0.5)], "user_id long, key string, w double")
+    want = {}
+    for u in range(30):
+        for v in range(u + 1, 30):
+            both = [w[u, k] * w[v, k] for k in "abcdefghij" if (u, k) in w and (v, k) in w]
+            if both:
+                want[u, v] = sum(both)
+    got = {(r.u1, r.u2): r.value for r in A.cosine_pairs(df, 0.0, heavy, block).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    some = {(r.u1, r.u2): r.value for r in A.cosine_pairs(df, 0.8, heavy, block).where("value >= 0.8").collect()}
+    assert some.keys() == {k for k, v in want.items() if v >= 0.8} and all(abs(some[k] - want[k]) < 1e-9 for k in some)
