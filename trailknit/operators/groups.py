@@ -29,14 +29,18 @@ def ephemeral_groups(checkins: DataFrame, window: int = 60, min_size: int = 2, m
 
     Each check-in opens a candidate of all visitors in the `window` minutes from it on. Candidates of a fitting size are
     taken from the largest (then the earliest) on, unless one that was taken holds all their members and overlaps
-    them in time. Candidates overlap only within stretches without a gap beyond the window, so each stretch is folded alone.
+    them in time. Stretches of candidates end at minutes that no candidate spans, and each stretch is folded alone; hours in which
+    a place is empty, or too full for a group, end a stretch.
     """
     order = list(order)
-    rows = gap_sessions(_numbered(checkins, order), window, order)
+    rows = _numbered(checkins, order)
     ahead = W.partitionBy("poi_idx").orderBy("minute").rangeBetween(0, window)
     seen = F.filter(F.collect_list(F.struct(F.col("__rn").alias("rn"), F.col("user_id").alias("u"), F.col("minute").alias("t"))).over(ahead), lambda x: x["rn"] >= F.col("__rn"))
-    cand = rows.withColumn("__seen", seen).select("poi_idx", "session", F.col("minute").alias("t0"), F.array_max(F.transform("__seen", lambda x: x["t"])).alias("t1"), F.array_sort(F.array_distinct(F.transform("__seen", lambda x: x["u"]))).alias("m"), "__rn")
+    cand = rows.withColumn("__seen", seen).select("poi_idx", F.col("minute").alias("t0"), F.array_max(F.transform("__seen", lambda x: x["t"])).alias("t1"), F.array_sort(F.array_distinct(F.transform("__seen", lambda x: x["u"]))).alias("m"), "__rn")
     cand = cand.where(F.size("m").between(min_size, max_size))
+    w = W.partitionBy("poi_idx").orderBy("t0", "__rn")
+    opens = F.when(F.col("t0") > F.max("t1").over(w.rowsBetween(W.unboundedPreceding, -1)), 1).otherwise(0)
+    cand = cand.withColumn("__open", opens).withColumn("session", F.sum("__open").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     each = F.struct((-F.size("m")).alias("s"), F.col("t0"), F.col("__rn").alias("rn"), F.col("t1"), F.col("m"))
     kind = "array<struct<s:int,t0:bigint,rn:int,t1:bigint,m:array<bigint>>>"
 

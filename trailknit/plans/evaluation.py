@@ -68,6 +68,20 @@ def map_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("vec_id", gap("u", "x").alias("origin_error"), gap("v", "y").alias("base_error"), gap("k", "x").alias("klein_error"))
 
 
+BASED = """q AS (SELECT vec_id, x, y, list_dot_product(x, x) AS xx, list_dot_product(y, y) AS yy, list_dot_product(x, y) AS xy FROM pair),
+u AS (SELECT *, list_transform(x, lambda a, i: (-a * (1 - 2 * xy + yy) + y[i] * (1 - xx)) / (1 - 2 * xy + xx * yy)) AS u FROM q),
+v AS (SELECT *, sqrt(list_dot_product(u, u)) AS n FROM u),
+m AS (SELECT vec_id, x, xx, [a * (1 - xx) * atanh(n) / n FOR a IN u] AS v FROM v)"""
+
+
+@query(T.sql(POINTS, PAIR, BASED, select="SELECT vec_id, CAST(unnest(range(64)) AS INTEGER) AS i, round(unnest(v), 6) + 0.0 AS tangent, round(unnest([a * 2 / (1 + xx) FOR a IN x]), 6) + 0.0 AS klein FROM m"))
+def based_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tangent vectors at each point towards the next one, and the points in Klein's model, by coordinate."""
+    p = _pairs(spark, sf_dir).withColumns({"v": H.logmap(F.col("x"), F.col("y")), "k": H.to_klein(F.col("x"))})
+    rows = p.select("vec_id", F.posexplode(F.arrays_zip("v", "k")).alias("i", "z"))
+    return rows.select("vec_id", "i", (F.round("z.v", 6) + 0.0).alias("tangent"), (F.round("z.k", 6) + 0.0).alias("klein"))
+
+
 @query(T.sql(POINTS, "t AS (SELECT vec_id, i, x[2 * i - 1] AS a, x[2 * i] AS b, CAST(i AS DOUBLE) / 7 AS w FROM points, (SELECT unnest(generate_series(1, 32)) AS i))", select="SELECT vec_id, CAST(i AS INTEGER) AS i, round(cos(w) * a - sin(w) * b, 6) + 0 AS u, round(sin(w) * a + cos(w) * b, 6) + 0 AS v FROM t"))
 def givens_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = H.givens(F.col("x"), F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: i.cast("double") / 7))

@@ -110,9 +110,10 @@ def joint_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.withColumns({c: _joined(c) for c in ("hist", "hist_hours", "hist_owner")})
 
 
-@query(T.sql(T.CHECKINS, T.RARITY, T.groups_sql(), "anchors AS (SELECT DISTINCT user_id, minute FROM split WHERE split = 'val')", f"g AS (SELECT group_id, t0, unnest(m) AS user_id FROM groups JOIN rarity USING (poi_idx) WHERE n_users <= {T.MAX_VISITORS})", select="SELECT a.user_id, a.minute, g.group_id FROM anchors a JOIN g ON a.user_id = g.user_id AND g.t0 < a.minute", recursive=True))
+@query(T.sql(T.CHECKINS, T.RARITY, T.groups_sql(), "anchors AS (SELECT DISTINCT user_id, minute FROM split WHERE pos > 1)", f"g AS (SELECT group_id, t0, unnest(m) AS user_id FROM groups JOIN rarity USING (poi_idx) WHERE n_users <= {T.MAX_VISITORS})", select="SELECT a.user_id, a.minute, g.group_id FROM anchors a JOIN g ON a.user_id = g.user_id AND g.t0 < a.minute", recursive=True))
 def occasional_companions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    anchors = T.split(spark, sf_dir).where("split = 'val'")
+    """Every check-in from a user's second on is an anchor."""
+    anchors = T.split(spark, sf_dir).where("pos > 1")
     return X.occasional(anchors, T.groups(spark, sf_dir), G.venue_rarity(T.train(spark, sf_dir)), T.MAX_VISITORS).drop("members")
 
 
