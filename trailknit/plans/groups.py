@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailknit.functions import columns as C
 from trailknit.operators import groups as G
 from trailknit.operators import prepare as P
+from trailknit.operators.scratch import cut
 from trailknit.plans import tables as T
 
 QUERIES: dict = {}
@@ -131,6 +132,13 @@ def moved_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.moved_together(G.real_transitions(T.groups(spark, sf_dir), min_shared=1, min_jaccard=0.25), G.venue_rarity(T.train(spark, sf_dir)))
 
 
+@query(T.sql(T.CHECKINS, T.groups_sql(), T.RARITY, T.TRANSITIONS.replace("<= 240", "<= 43200"), "w AS (SELECT unnest(shared) AS u, from_group, to_group, (a.rarity + b.rarity) / 2 AS w FROM transitions JOIN rarity a ON from_poi = a.poi_idx JOIN rarity b ON to_poi = b.poi_idx)", select="SELECT x.u AS u1, y.u AS u2, count(*) AS n_transitions, round(sum(x.w), 6) AS weight_idf FROM w x JOIN w y ON x.from_group = y.from_group AND x.to_group = y.to_group AND x.u < y.u GROUP BY 1, 2", recursive=True))
+def moved_within_a_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared moves of the same people between places within 30 days, of which the tables have some."""
+    g = cut(T.groups(spark, sf_dir), "groups")
+    return G.moved_together(G.real_transitions(g, horizon=43200, min_shared=1, min_jaccard=0.25), G.venue_rarity(T.train(spark, sf_dir)))
+
+
 @query(T.sql(T.CHECKINS, """o AS (SELECT *, CASE WHEN minute - lag(minute) OVER (PARTITION BY poi_idx ORDER BY minute, event_id) > 60 THEN 1 ELSE 0 END AS opens FROM checkins),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY poi_idx ORDER BY minute, event_id ROWS UNBOUNDED PRECEDING) AS session FROM o),
 f AS (SELECT poi_idx, session, user_id, min(minute * 1000000000 + event_id) AS first, min(minute) AS a, max(minute) AS z, count(*) AS n FROM s GROUP BY 1, 2, 3)""", select="SELECT poi_idx, min(a) AS start_minute, max(z) AS end_minute, CAST(sum(n) AS BIGINT) AS n_checkins, string_agg(CAST(user_id AS VARCHAR), '|' ORDER BY first) AS members FROM f GROUP BY poi_idx, session HAVING count(*) >= 2"))
