@@ -114,7 +114,7 @@ def group_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(T.sql(T.CHECKINS, T.groups_sql(), T.TRANSITIONS, select="SELECT from_poi, to_poi, gap_min, CAST(n_shared AS INTEGER) AS n_shared, round(n_shared / n_all, 4) AS jaccard, array_to_string(shared, '|') AS members FROM transitions", recursive=True))
 def group_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.real_transitions(T.groups(spark, sf_dir), min_shared=1, min_jaccard=0.25).withColumn("members", joined("members")).drop("from_group", "to_group")
+    return G.real_transitions(cut(T.groups(spark, sf_dir), "groups"), min_shared=1, min_jaccard=0.25).withColumn("members", joined("members")).drop("from_group", "to_group")
 
 
 @query(T.sql(T.CHECKINS, T.groups_sql(), T.RARITY, T.TIES, select="SELECT * FROM ties", recursive=True))
@@ -129,7 +129,7 @@ def tie_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(T.sql(T.CHECKINS, T.groups_sql(), T.RARITY, T.TRANSITIONS, "w AS (SELECT unnest(shared) AS u, from_group, to_group, (a.rarity + b.rarity) / 2 AS w FROM transitions JOIN rarity a ON from_poi = a.poi_idx JOIN rarity b ON to_poi = b.poi_idx)", select="SELECT x.u AS u1, y.u AS u2, count(*) AS n_transitions, round(sum(x.w), 6) AS weight_idf FROM w x JOIN w y ON x.from_group = y.from_group AND x.to_group = y.to_group AND x.u < y.u GROUP BY 1, 2", recursive=True))
 def moved_together(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.moved_together(G.real_transitions(T.groups(spark, sf_dir), min_shared=1, min_jaccard=0.25), G.venue_rarity(T.train(spark, sf_dir)))
+    return G.moved_together(G.real_transitions(cut(T.groups(spark, sf_dir), "groups"), min_shared=1, min_jaccard=0.25), G.venue_rarity(T.train(spark, sf_dir)))
 
 
 @query(T.sql(T.CHECKINS, T.groups_sql(), T.RARITY, T.TRANSITIONS.replace("<= 240", "<= 43200"), "w AS (SELECT unnest(shared) AS u, from_group, to_group, (a.rarity + b.rarity) / 2 AS w FROM transitions JOIN rarity a ON from_poi = a.poi_idx JOIN rarity b ON to_poi = b.poi_idx)", select="SELECT x.u AS u1, y.u AS u2, count(*) AS n_transitions, round(sum(x.w), 6) AS weight_idf FROM w x JOIN w y ON x.from_group = y.from_group AND x.to_group = y.to_group AND x.u < y.u GROUP BY 1, 2", recursive=True))
