@@ -14,6 +14,7 @@ from trailknit.operators import affinity as A
 from trailknit.operators import examples as X
 from trailknit.operators import groups as G
 from trailknit.operators import links as L
+from trailknit.operators import metric as M
 from trailknit.operators import ordering as O
 from trailknit.streaming import sessions as S
 
@@ -129,3 +130,17 @@ def test_cosine_pairs_by_a_plain_loop(spark, heavy, block):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     some = {(r.u1, r.u2): r.value for r in A.cosine_pairs(df, 0.8, heavy, block).where("value >= 0.8").collect()}
     assert some.keys() == {k for k, v in want.items() if v >= 0.8} and all(abs(some[k] - want[k]) < 1e-9 for k in some)
+
+
+@pytest.mark.parametrize("metric", ["hyperbolic", "euclidean"])
+def test_all_nearest_by_a_plain_loop(spark, metric):
+    centres = [[rng.uniform(-0.5, 0.5) for _ in range(3)] for _ in range(4)]
+    x = [[v + rng.gauss(0, 0.02) for v in rng.choice(centres)] for _ in range(120)] + [centres[0]] * 3 + [[0.0] * 3]
+    near, counts = M.all_nearest(spark.createDataFrame([*enumerate(x), (None, None)], "id long, x array<double>"), "id", "x", 4, metric, pivots=6, block=16)
+    got = {(r.id, r.neighbour): r.distance for r in near.collect()}
+    d = M.distances(np.array(x), np.array(x), metric)
+    for i in range(len(x)):
+        want = sorted((d[i, j], j) for j in range(len(x)) if j != i)[:4]
+        assert sorted((v, j) for (k, j), v in got.items() if k == i) == want
+    c = counts.first()
+    assert c.n_points == len(x) and 0 < c.n_candidates < len(x) ** 2

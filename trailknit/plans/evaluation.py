@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailknit.functions import hyperbolic as H
 from trailknit.operators import evaluation as E
+from trailknit.operators import metric as M
 from trailknit.plans import tables as T
 
 QUERIES: dict = {}
@@ -165,6 +166,12 @@ def geodesic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.nearest(p, p.where("vec_id % 20 = 0"), "vec_id", "x").withColumn("distance", F.round("distance", 6))
 
 
+@query(T.sql(POINTS, NEAR.replace("WHERE vec_id % 20 = 0", ""), select="SELECT vec_id, neighbour, round(distance, 6) AS distance FROM hyp"))
+def all_geodesic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every point in the ball."""
+    return M.all_nearest(points(spark, sf_dir), "vec_id", "x", 10, pivots=16, block=128)[0].withColumn("distance", F.round("distance", 6))
+
+
 @query(T.sql(POINTS, NEAR, "o AS (SELECT h.vec_id, count(e.neighbour) / 10 AS overlap, avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END) AS purity FROM hyp h LEFT JOIN euc e ON h.vec_id = e.vec_id AND h.neighbour = e.neighbour JOIN points a ON a.vec_id = h.vec_id JOIN points b ON b.vec_id = h.neighbour GROUP BY 1)", select="SELECT vec_id, overlap, CAST(purity AS DOUBLE) AS purity FROM o"))
 def neighbour_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
