@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from trailknit.operators import prepare as P
 from trailknit.sources import tables as S
 
@@ -134,3 +136,36 @@ def test_typed_manifest_and_absent_groups(spark, tmp_path):
     assert json.loads(next((tmp_path / "m").glob("part-*")).read_text()) == values
     none = S.read_groups(spark, str(tmp_path / "nothing"))
     assert none.count() == 0 and {"group_id", "members"} <= set(none.columns)
+
+
+def test_mat_file_to_house_tables_and_graph(spark, tmp_path):
+    import numpy as np
+
+    from trailknit.operators import graph as K
+    from trailknit.sources import matlab as M
+
+    # four users; row 3 falls by 3 hours, row 9 by 152; venue 20 ties between categories 7 and 8
+    slots = [100, 110, 120, 117, 121, 130, 140, 150, 160, 8, 9, 10, 20, 30, 40, 50]
+    users = [1, 2, 3, 4] * 4
+    venues = [10, 20, 30, 40, 50, 20, 10, 20, 30, 20, 10, 50, 40, 10, 20, 30]
+    kinds = [7, 7, 8, 9, 9, 8, 7, 7, 8, 8, 7, 9, 9, 7, 9, 8]
+    rows = np.array([users, slots, venues, kinds], np.int32).T
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x.mat").write_bytes(mat_file("<", [("selected_checkins", rows), ("selected_venue_IDs", list("abcde")), ("friendship_old", np.array([[1, 2], [3, 2]], np.int32)), ("friendship_new", np.array([[1, 4], [2, 1]], np.int32))], True))
+    path = str(tmp_path / "d")
+    meta = spark.createDataFrame([("a", 40.7, -74.0, "Bar"), ("b", 40.71, -74.0, "Bar"), ("c", 40.72, -74.0, "Cafe"), ("d", 40.73, -74.0, "Shop"), ("e", 40.74, -74.0, "Shop")], "venue_id string, latitude double, longitude double, cat_name string")
+    taxonomy = spark.createDataFrame([("Bar", "Food>Bar"), ("Cafe", "Food>Cafe"), ("Cafe", "Dining>Cafe")], "name string, path string")
+    house = P.mat_tables(M.read_checkins(spark, path), M.read_venue_ids(spark, path), M.read_friendships(spark, path, "friendship_old"), M.read_friendships(spark, path, "friendship_new"), meta, taxonomy)
+    c = house["checkins"].orderBy("ts").collect()
+    assert [r.week for r in c] == [0] * 9 + [1] * 7 and c[9].abs_hour == 168 + 7 and c[3].abs_hour == 116
+    assert {u: [r.split for r in c if r.user_id == u] for u in range(4)} == {u: ["train", "train", "train", "val"] for u in range(4)}  # ceil(0.7 * 4) and ceil(0.8 * 4)
+    places = {r.poi_idx: r for r in house["poi_metadata"].collect()}
+    assert [places[i].venue_id for i in range(5)] == list("abcde") and places[1].n_checkins == 5
+    assert [places[i].category for i in range(5)] == ["Food>Bar", "Food>Bar", "Dining>Cafe", "Shop", "Shop"]
+    assert {tuple(r) for r in house["friendship_new_only"].collect()} == {(0, 3)} and {tuple(r) for r in house["friendship_old"].collect()} == {(0, 1), (1, 2)}
+    assert abs(house["purity"].first().mean_purity - (6 / 6 + 3 / 5 + 4 / 5) / 3) < 1e-9
+    bare = P.mat_tables(M.read_checkins(spark, path), M.read_venue_ids(spark, path), house["friendship_old"], house["friendship_old"])
+    assert {r.category for r in bare["poi_metadata"].collect()} == {"cat-0", "cat-1", "cat-2"} and bare["friendship_new_only"].count() == 0
+    v = house["poi_metadata"].withColumns({"region": F.lit("NYC")})
+    visits = {(r.h, r.t) for r in K.build(v, house["checkins"].withColumns({"event_id": F.col("ts"), "utc_time": F.col("ts")}), friends=house["friendship_old"]).where("rel = 'VISITED'").collect()}
+    assert ("user:0", "poi:3") not in visits and ("user:0", "poi:0") in visits  # a check-in of another split makes no edge

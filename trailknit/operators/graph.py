@@ -183,7 +183,12 @@ def group_layer(groups: DataFrame, ties: DataFrame, venues: DataFrame) -> DataFr
 
 
 def build(venues: DataFrame, train: DataFrame, groups: DataFrame | None = None, ties: DataFrame | None = None, friends: DataFrame | None = None, knn: int = 10, max_followed: int | None = None) -> DataFrame:
-    """The whole graph. Without coordinates there is no proximity, without groups no group layer, without friends no FRIEND_OF."""
+    """The whole graph. Without coordinates there is no proximity, without groups no group layer, without friends no FRIEND_OF.
+
+    Relations of behaviour come from training data alone: of check-ins with a column `split`, only those of 'train' count.
+    """
+    if "split" in train.columns:
+        train = train.where("split = 'train'")
     parts = [taxonomy(venues), spatial(venues), followed_by(train, max_followed), visited(train), preferences(prefers_category(train, venues))]
     if not venues.where(C.finite("latitude", "longitude")).isEmpty():
         parts.append(proximity(nearest(venues, knn)))

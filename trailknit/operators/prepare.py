@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from trailknit.functions import columns as C
 from trailknit.operators import ordering as O
+from trailknit.operators.scratch import cut
 
 TRAIN, VAL = 0.7, 0.1
 
@@ -87,6 +88,38 @@ def reconstruct_clock(rows: DataFrame, order: str = "row", slot: str = "slot", u
     return rows.withColumn("__fell", fell).withColumn("week", week).withColumn("abs_hour", F.col("week") * 168 + F.col(slot) - 1).drop("__fell")
 
 
+def file_clock(rows: DataFrame, order: str = "row", slot: str = "slot", wrap: int = 24) -> DataFrame:
+    """reconstruct_clock() over all rows of a file, whose order is 0, 1, 2, ...: a row meets the one before by its number, and falls are summed range by range."""
+    before = rows.select((F.col(order) + 1).alias(order), F.col(slot).alias("__before"))
+    fell = rows.join(before, order, "left").withColumn("__fell", F.when(F.col(slot) - F.col("__before") <= -wrap, 1).otherwise(0).cast("long"))
+    summed = O.sum_before(fell, [F.col(order)], "__fell", "week").withColumn("week", F.col("week") + F.col("__fell"))
+    return summed.withColumn("abs_hour", F.col("week") * 168 + F.col(slot) - 1).drop("__before", "__fell")
+
+
+def mat_tables(checkins: DataFrame, venue_ids: DataFrame, friends_old: DataFrame, friends_new: DataFrame, meta: DataFrame | None = None, taxonomy: DataFrame | None = None, cell: float = 0.01) -> dict[str, DataFrame]:
+    """House tables of a social .mat file: check-ins (row, user_id, slot, venue, category), venue ids (poi_idx, venue_id), friendships (u1, u2).
+
+    Venues and categories get the numbers of their values' order. A venue has its commonest category (the lower number of equally common
+    ones); a category has the name that its check-ins' venues most often have in meta (venue_id, latitude, longitude, cat_name), and the name's
+    least path in the taxonomy (name, path), or the name itself, or cat-<number> without any. purity is the mean share of the winning names.
+    """
+    number = lambda c, new: O.numbered(checkins.select(c).where(F.col(c).isNotNull()).distinct(), [F.col(c)], new)
+    rows = file_clock(checkins).join(number("venue", "poi_idx"), "venue").join(number("category", "cat_idx"), "category")
+    rows = cut(chronological_split(rows.withColumn("utc_time", F.col("row")), tie="row").select("user_id", "slot", "poi_idx", "cat_idx", "week", "abs_hour", F.col("row").alias("ts"), "split"), "mat-checkins")
+    modal = modal_category(rows, "poi_idx", "cat_idx").join(rows.groupBy("poi_idx").agg(F.count("*").alias("n_checkins")), "poi_idx")
+    venues = modal.join(venue_ids, "poi_idx", "left")
+    if meta is None:
+        meta = venue_ids.select("venue_id", *[F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude")], F.lit(None).cast("string").alias("cat_name")).limit(0)
+    meta = meta.groupBy("venue_id").agg(F.min(F.struct("latitude", "longitude", "cat_name")).alias("m")).select("venue_id", "m.*")
+    named = rows.join(venue_ids, "poi_idx").join(meta.where("cat_name <> ''"), "venue_id")
+    names, purity = category_names(named, "cat_idx", "cat_name")
+    paths = taxonomy.groupBy(F.col("name").alias("cat_name")).agg(F.min("path").alias("path")) if taxonomy is not None else names.select("cat_name", F.lit(None).cast("string").alias("path")).distinct()
+    placed = venues.join(names.select("cat_idx", "cat_name").join(paths, "cat_name", "left"), "cat_idx", "left").join(meta.drop("cat_name"), "venue_id", "left")
+    category = F.coalesce("path", "cat_name", F.concat(F.lit("cat-"), F.col("cat_idx").cast("string")))
+    placed = placed.select("poi_idx", "venue_id", category.alias("category"), "latitude", "longitude", F.when(F.col("latitude").isNotNull(), C.grid_cell("latitude", "longitude", cell)).alias("locality"), "n_checkins")
+    return {"checkins": rows, "poi_metadata": placed, "friendship_old": friends_old, "friendship_new_only": new_only(friends_new, friends_old), "purity": purity}
+
+
 def modal_category(checkins: DataFrame, venue: str = "poi_idx", category: str = "category") -> DataFrame:
     """(venue, category): the commonest category of a venue, the least of equally common ones."""
     n = checkins.groupBy(venue, category).count()
