@@ -169,3 +169,61 @@ def test_mat_file_to_house_tables_and_graph(spark, tmp_path):
     v = house["poi_metadata"].withColumns({"region": F.lit("NYC")})
     visits = {(r.h, r.t) for r in K.build(v, house["checkins"].withColumns({"event_id": F.col("ts"), "utc_time": F.col("ts")}), friends=house["friendship_old"]).where("rel = 'VISITED'").collect()}
     assert ("user:0", "poi:3") not in visits and ("user:0", "poi:0") in visits  # a check-in of another split makes no edge
+
+
+def test_metadata_of_any_delimiter_and_required_columns(spark, tmp_path):
+    import pytest
+
+    for sep in ",\t;|":
+        (tmp_path / "m.csv").write_text(sep.join(("idx", "venue", "cat", "lat", "lng", "city")) + "\n" + sep.join(("7", "v7", "A>B", "40.5", "-74", "")) + "\n" + sep.join(("8", "", "", "x1", "-74", "L")).replace("x1", "1") + "\n")
+        got = [tuple(r) for r in S.read_metadata(spark, str(tmp_path / "m.csv")).orderBy("poi_idx").collect()]
+        assert got == [(7, "v7", "A>B", None, None, 40.5, -74.0), (8, "8", "Unknown", "L", None, 1.0, -74.0)]
+        visits = P.with_metadata(spark.createDataFrame([(1, 7), (2, 9)], "user_id long, poi_idx long"), S.read_metadata(spark, str(tmp_path / "m.csv")))
+        assert {r.user_id: r.category for r in visits.collect()} == {1: "A>B", 2: None}
+    assert S.read_one(spark, str(tmp_path / "m.csv"), ()).count() == 2
+    with pytest.raises(ValueError, match="poi_idx"):
+        S.read_one(spark, str(tmp_path / "m.csv"), ("poi_idx",))
+
+
+def test_jsonl_graph_and_embedding_round_trips(spark, tmp_path):
+    import json
+
+    import pytest
+
+    rows = spark.createDataFrame([("train", 1, [1, 2]), ("test", 2, [3])], "split string, anchor long, members array<long>")
+    S.write_jsonl(rows, str(tmp_path / "j"))
+    lines = [json.loads(x) for f in (tmp_path / "j" / "split=train").glob("*.json") for x in f.read_text().splitlines()]
+    assert lines == [{"anchor": 1, "members": [1, 2]}]
+    graph = (spark.createDataFrame([(0, "a", "poi")], "id long, name string, type string"), spark.createDataFrame([(0, "NEAR", 3)], "id long, name string, count long"), spark.createDataFrame([(0, 0, 0)], "h long, r long, t long"))
+    S.write_graph(*graph, str(tmp_path / "g"))
+    assert [d.collect() for d in S.read_graph(spark, str(tmp_path / "g"))] == [d.collect() for d in graph]
+    spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.0])], "id long, z array<float>").write.parquet(str(tmp_path / "z"))
+    assert {r.id: r.z for r in S.read_embeddings(spark, str(tmp_path / "z"), 2).collect()} == {0: [1.0, 2.0], 1: [0.5, 0.0]}
+    with pytest.raises(ValueError, match="3 rows"):
+        S.read_embeddings(spark, str(tmp_path / "z"), 3)
+
+
+def test_venue_edges_of_an_attributed_graph(spark, tmp_path):
+    from trailknit.operators import graph as K
+
+    kind = "map<string,string>"
+    nodes = [("poi:1", {}), ("x", {"node_type": "POI", "poi_idx": "2"}), ("3", {"type": "poi"}), ("4", {}), ("poi:5", {"node_type": "user"}), ("poi:6", {"poi_idx": "bad"}), ("y", {"poi_idx": "7"})]
+    edges = [("poi:1", "x", None, {"relation": "A"}), ("x", "3", "k", {}), ("3", "poi:6", None, {"label": "L", "type": "T"}), ("poi:1", "4", None, {}), ("poi:1", "poi:5", None, {}), ("poi:1", "poi:1", None, {}), ("y", "poi:1", None, {"rel": ""})]
+    n, e = spark.createDataFrame(nodes, f"id string, attributes {kind}"), spark.createDataFrame(edges, f"h string, t string, key string, attributes {kind}")
+    assert {tuple(r) for r in K.attributed_venue_edges(n, e).collect()} == {(1, "A", 2), (2, "k", 3), (3, "L", 6), (7, "UNKNOWN", 1)}
+    assert {tuple(r) for r in K.attributed_venue_edges(n, e, ("A", "L")).collect()} == {(2, "k", 3), (7, "UNKNOWN", 1)}
+    flat = spark.createDataFrame([(h, a.get("relation"), t, a.get("label")) for h, t, _, a in edges], "h string, rel string, t string, label string")
+    S.write_graphml(spark.createDataFrame([(i, a.get("node_type"), a.get("poi_idx")) for i, a in nodes], "id string, node_type string, poi_idx string"), flat, str(tmp_path / "g"))
+    read = K.attributed_venue_edges(S.read_graphml_nodes(spark, str(tmp_path / "g")), S.read_graphml_edges(spark, str(tmp_path / "g")))
+    assert {tuple(r) for r in read.collect()} == {(1, "A", 2), (7, "UNKNOWN", 1)}
+
+
+def test_points_are_drawn_back_into_the_ball(spark):
+    import numpy as np
+
+    from trailknit.functions import hyperbolic as H
+
+    for c in (0.5, 1.0, 2.0):
+        rows = spark.createDataFrame([([3.0, 4.0],), ([0.1, 0.2],), ([0.0, 0.0],)], "x array<double>").select(H.project(F.col("x"), c).alias("y")).collect()
+        most = (1 - 1e-5) / c**0.5
+        assert np.allclose([r.y for r in rows], [[0.6 * most, 0.8 * most], [0.1, 0.2], [0.0, 0.0]], atol=1e-12)

@@ -85,6 +85,20 @@ def poi_of_node(name: str) -> Column:
     return F.when(found != "", found.cast("long"))
 
 
+def poi_of(name: str, attributes: str) -> Column:
+    """The venue number of a node with attributes (map of texts), else null: not of another type; by its poi_idx, its name, or a bare number of type POI."""
+    get = lambda k: F.try_element_at(attributes, F.lit(k))
+    kind = F.upper(F.coalesce(get("node_type"), get("type"), F.lit("")))
+    bare = F.when((kind == "POI") & F.col(name).rlike(r"^\d+$"), F.expr(f"try_cast({name} as bigint)"))
+    return F.when(kind.isin("", "POI"), F.coalesce(get("poi_idx").try_cast("bigint"), poi_of_node(name), bare))
+
+
+def relation_of(attributes: str, key: str) -> Column:
+    """An edge's relation: the first of its attributes relation, rel, label and type that says something, else its key, else UNKNOWN."""
+    get = lambda k: F.when(F.try_element_at(attributes, F.lit(k)) != "", F.try_element_at(attributes, F.lit(k)))
+    return F.coalesce(*[get(k) for k in ("relation", "rel", "label", "type")], F.col(key), F.lit("UNKNOWN"))
+
+
 # ---------------------------------------------------------------- hash order in the place of random numbers
 
 

@@ -232,6 +232,14 @@ def venue_edges(edges: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
     return e.where(~F.col("rel").isin(*exclude)).distinct() if exclude else e.distinct()
 
 
+def attributed_venue_edges(nodes: DataFrame, edges: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """venue_edges() of a graph with attributes: nodes (id, attributes), edges (h, t, key, attributes), attributes being maps of texts."""
+    at = nodes.select("id", C.poi_of("id", "attributes").alias("poi")).where("poi is not null")
+    e = edges.select("h", "t", C.relation_of("attributes", "key").alias("rel")).join(at.select(F.col("id").alias("h"), F.col("poi").alias("a")), "h").join(at.select(F.col("id").alias("t"), F.col("poi").alias("b")), "t")
+    e = e.where("a <> b").select("a", "rel", "b")
+    return e.where(~F.col("rel").isin(*exclude)).distinct() if exclude else e.distinct()
+
+
 def taxonomy_siblings(venues: DataFrame, levels: tuple[int, ...] = (2,), partners: int = 8, seed: int = 42) -> DataFrame:
     """(a, rel, b): for each venue, up to `partners` of the venues that share its first k levels, by least hash: SAME_TAXONOMY_L{k}.
 
@@ -252,9 +260,10 @@ def taxonomy_siblings(venues: DataFrame, levels: tuple[int, ...] = (2,), partner
 
 
 def capped(edges: DataFrame, most: int, seed: int = 42) -> DataFrame:
-    """Each relation's `most` edges of the least hash."""
-    w = W.partitionBy("rel").orderBy(C.order_key(seed, "a", "rel", "b"), "a", "b")
-    return edges.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
+    """Each relation's `most` edges of the least hash; edges are numbered range by range, so that no task sees a whole relation."""
+    at = O.numbered(edges.withColumn("__key", C.order_key(seed, "a", "rel", "b")), [F.col(c) for c in ("rel", "__key", "a", "b")], "__at")
+    begin = at.groupBy("rel").agg(F.min("__at").alias("__begin"))  # a row a relation
+    return at.join(F.broadcast(begin), "rel").where(F.col("__at") - F.col("__begin") < most).select(*edges.columns)
 
 
 def venue_triples(edges: DataFrame, venues: DataFrame, derive: tuple[int, ...] = (2,), most: int = 40_000, exclude: tuple[str, ...] = ()) -> DataFrame:

@@ -44,8 +44,18 @@ def read_one(spark: SparkSession, path: str, needed: tuple[str, ...]) -> DataFra
     return df
 
 
-def read_metadata(spark: SparkSession, path: str, sep: str = ",", unknown: str = C.UNKNOWN) -> DataFrame:
-    """poi_idx, venue_id, category, locality, region, latitude, longitude, whatever the columns are called; no category is `unknown`."""
+def sniffed(spark: SparkSession, path: str, among: str = ",\t;|") -> str:
+    """The delimiter that a file's first line has most of, of those named; the first of them if it has none."""
+    line = spark.read.text(path).limit(1).collect()
+    return max(among, key=line[0][0].count) if line else among[0]
+
+
+def read_metadata(spark: SparkSession, path: str, sep: str | None = None, unknown: str = C.UNKNOWN) -> DataFrame:
+    """poi_idx, venue_id, category, locality, region, latitude, longitude, whatever the columns are called; no category is `unknown`.
+
+    Without sep, the delimiter is the one that the first line has most of.
+    """
+    sep = sep or sniffed(spark, path)
     df = spark.read.csv(path, header=True, sep=sep)
     c = {k: C.first_present(df, names, F.lit(None).cast("string")) for k, names in ALIASES.items()}
     return df.select(c["poi_idx"].cast("long").alias("poi_idx"), F.coalesce(c["venue_id"], c["poi_idx"]).alias("venue_id"), F.coalesce(c["category"], F.lit(unknown)).alias("category"), c["locality"].alias("locality"), c["region"].alias("region"), c["latitude"].cast("double").alias("latitude"), c["longitude"].cast("double").alias("longitude"))
@@ -148,15 +158,29 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, relation: str =
     nodes.select(node.alias("value")).union(edges.select(edge.alias("value"))).mapInArrow(document, "value string").write.mode("overwrite").text(path)
 
 
+def read_graphml_edges(spark: SparkSession, path: str) -> DataFrame:
+    """(h, t, key, attributes) of the edges, attributes by their declared names; key is the edge's id, if it has one."""
+    keys = spark.read.schema("_id string, _for string, `_attr.name` string").option("rowTag", "key").format("xml").load(path)
+    named = {r[0]: r[1] for r in keys.where(F.col("_for").isin("edge", "all")).select("_id", "`_attr.name`").distinct().collect()}
+    kind = "array<struct<_VALUE: string, _key: string>>"
+    rows = spark.read.schema(f"_source string, _target string, _id string, data {kind}").option("rowTag", "edge").format("xml").load(path)
+    return rows.select(F.col("_source").alias("h"), F.col("_target").alias("t"), F.col("_id").alias("key"), _attributes(named).alias("attributes"))
+
+
+def _attributes(named: dict[str, str]) -> F.Column:
+    kind = "array<struct<_VALUE: string, _key: string>>"
+    names = F.create_map(*[F.lit(x) for k in named.items() for x in k]) if named else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    held = F.filter(F.coalesce("data", F.array().cast(kind)), lambda d: F.map_contains_key(names, d["_key"]))
+    return F.map_from_entries(F.transform(held, lambda d: F.struct(F.element_at(names, d["_key"]), d["_VALUE"])))
+
+
 def read_graphml_nodes(spark: SparkSession, path: str) -> DataFrame:
     """(id, attributes) of the nodes, attributes by their declared names; declarations, as many as attributes, come to the driver."""
     keys = spark.read.schema("_id string, _for string, `_attr.name` string").option("rowTag", "key").format("xml").load(path)
     named = {r[0]: r[1] for r in keys.where(F.col("_for").isin("node", "all")).select("_id", "`_attr.name`").distinct().collect()}
     kind = "array<struct<_VALUE: string, _key: string>>"
     rows = spark.read.schema(f"_id string, data {kind}").option("rowTag", "node").format("xml").load(path)
-    names = F.create_map(*[F.lit(x) for k in named.items() for x in k]) if named else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    held = F.filter(F.coalesce("data", F.array().cast(kind)), lambda d: F.map_contains_key(names, d["_key"]))
-    return rows.select(F.col("_id").alias("id"), F.map_from_entries(F.transform(held, lambda d: F.struct(F.element_at(names, d["_key"]), d["_VALUE"]))).alias("attributes"))
+    return rows.select(F.col("_id").alias("id"), _attributes(named).alias("attributes"))
 
 
 def read_npy(spark: SparkSession, path: str, rows_a_task: int = 1 << 16) -> DataFrame:
