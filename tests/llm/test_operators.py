@@ -222,10 +222,11 @@ def removed_bytes(texts: list[tuple[int, str]]) -> dict[int, np.ndarray]:
     return out
 
 
-@pytest.mark.parametrize("piece, block, per_batch", [(8 << 20, 3 << 20, 100), (8 << 20, 3 << 20, 3), (600, 3 << 20, 4), (8 << 20, 2000, 2), (700, 1500, 1)])
-def test_suffixes_in_chunks_pieces_and_blocks(monkeypatch, piece, block, per_batch):
-    """Passages within and across documents, chunks, pieces of a text and blocks of a bucket; padding and periods."""
+@pytest.mark.parametrize("piece, block, per_batch, many", [(8 << 20, 3 << 20, 100, 2000), (8 << 20, 3 << 20, 3, 2), (600, 3 << 20, 4, 5), (8 << 20, 2000, 2, 1), (700, 1500, 1, 2000), (700, 1500, 1, 3)])
+def test_suffixes_in_chunks_pieces_and_blocks(monkeypatch, piece, block, per_batch, many):
+    """Passages within and across documents, chunks, pieces of a text and blocks of a bucket; padding and periods; split anchors."""
     monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
     rng = random.Random(13)
     some = lambda n, a="abcdefghij": "".join(rng.choice(a) for _ in range(n))
@@ -241,6 +242,24 @@ def test_suffixes_in_chunks_pieces_and_blocks(monkeypatch, piece, block, per_bat
     assert sum(g.sum() for g in want.values()) > 5000
 
 
+def test_stock_phrase_in_many_contexts_is_split(monkeypatch):
+    """One anchor of thousands of differing runs: small buckets, and the repeats among them are found all the same."""
+    monkeypatch.setattr(suffix_dedup, "MANY", 200)
+    rng = random.Random(17)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    for phrase in ("all rights are reserved by owner", "this page was last changed by a user; its text is under a licence"):
+        contexts = [some(90) + phrase + some(90) for _ in range(3000)]
+        texts = [(i, contexts[i] if i % 10 else contexts[i // 2]) for i in range(3000)]
+        sizes = []
+        real = suffix_dedup._sorted_block
+        monkeypatch.setattr(suffix_dedup, "_sorted_block", lambda rows, real=real, sizes=sizes: sizes.append(np.unique(rows.column("bucket").to_numpy(), return_counts=True)[1].max()) or real(rows))
+        got = in_steps(texts, 50)
+        monkeypatch.setattr(suffix_dedup, "_sorted_block", real)
+        want = removed_bytes(texts)
+        assert all((got[d] == want[d]).all() for d, _ in texts) and sum(g.sum() for g in want.values()) > 20_000
+        assert max(sizes) <= 200
+
+
 def test_suffix_array_is_sorted():
     rng = random.Random(2)
     for alphabet in (b"a", b"ab", b"abcdef"):

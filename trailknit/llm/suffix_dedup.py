@@ -14,8 +14,10 @@ of which no partner can exist are never sorted:
    anchor again, and the buckets are sorted: by their first COVER_PERIOD bytes, then by ranks of a difference-cover
    sample. For any two suffixes there is a shift below the period that puts both into the sample, whose ranks are computed
    before (by doubling, as the sample is closed under whole periods), so long ties cost one look-up and no memory.
-   Neighbours in the suffix array that share LENGTH bytes are equal windows; all but the first are removed. A bucket
-   larger than a block is taken in pieces, with the first windows so far carried on.
+   Neighbours in the suffix array that share LENGTH bytes are equal windows; all but the first are removed. An anchor that more
+   than MANY runs have (a stock phrase in many contexts) is no bucket of its own: its windows are dealt by the least hashes of the
+   32-byte strings well before and well after it, too, which equal windows share and most others don't. A bucket that is
+   still larger than a block is taken in pieces, with the first windows so far carried on.
 4. Each document's removed windows are merged and cut out.
 
 Shuffle files go as soon as a step's table is written. Edge cases: null and empty texts and texts below LENGTH bytes stay as
@@ -43,8 +45,12 @@ WINDOW = LENGTH - GRAM + 1
 PIECE = 8 << 20
 BLOCK_BYTES = 3 << 20
 COVER_PERIOD = 32
-#: A run in a number, from the lowest bit on: the anchor's place, how many windows, the first window.
-PLACE, COUNT, FIRST = 0, 7, 14
+#: Anchors with more runs are split, by strings that begin at least ASIDE bytes from theirs.
+MANY, ASIDE = 2000, 16
+#: A run in a number, from the lowest bit on: the anchor's place, how many windows, the first window, whether many runs have its anchor.
+PLACE, COUNT, FIRST, SPLIT = 0, 7, 14, 62
+NO_GRAM = np.iinfo(np.uint64).max
+GRAM_TURN = common.stream(3, GRAM) | U64(1)
 _inverse = np.ones(1, U64)
 
 
@@ -254,7 +260,7 @@ def _packed(lo: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def unpacked(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, windows, place of the anchor); a row of no windows is a removed span."""
-    return run >> FIRST, (run >> COUNT) & 127, run & 127
+    return (run >> FIRST) & ((1 << SPLIT - FIRST) - 1), (run >> COUNT) & 127, run & 127
 
 
 def in_chunk(raw: np.ndarray, off: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -295,21 +301,54 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor: those with an anchor of several rows, and all spans."""
+    """Of rows sorted by anchor: those with an anchor of several rows, marked where there are more than MANY, and all spans."""
     names = ["anchor", "doc_id", "run"]
-    held = [np.empty(0, np.int64)] * 3  # the last row, as long as it may be alone
-    known = None  # the last anchor, if several rows have it
+    held = [np.empty(0, np.int64)] * 3  # the last anchor's rows, MANY at most
+    known = None  # the last anchor, if it has more
+
+    def told(anchor: np.ndarray, doc: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
+        head = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.empty(0, np.int64)
+        size = np.diff(np.append(head, len(anchor)))
+        size = np.repeat(np.where(anchor[head] == known, MANY + 1, size) if known is not None else size, size)
+        span = (run >> COUNT) & 127 == 0
+        keep = span | (size > 1)
+        run = np.where(~span & (size > MANY), run | (1 << SPLIT), run)
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (anchor, doc, run)], names)
+
     for batch in batches:
-        anchor, doc, run = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, names, strict=True)]
-        if not len(anchor):
+        rows = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, names, strict=True)]
+        if not len(rows[0]):
             continue
-        equal = anchor[1:] == anchor[:-1]
-        keep = ((run >> COUNT) & 127 == 0) | (anchor == known if known is not None else False)
-        keep[1:] |= equal
-        keep[:-1] |= equal
-        known = anchor[-1] if keep[-1] else None
-        held = [np.empty(0, np.int64) if keep[-1] else c[-1:] for c in (anchor, doc, run)]
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (anchor, doc, run)], names)
+        last = rows[0][-1]
+        at = int(np.searchsorted(rows[0], last))
+        if last == known or len(rows[0]) - at > MANY:
+            at = len(rows[0])
+        held = [c[at:] for c in rows]
+        yield told(*[c[:at] for c in rows])
+        known = last if at == len(rows[0]) else None
+    yield told(*held)
+
+
+def narrowed(raw: np.ndarray, begin: np.ndarray, n: np.ndarray, place: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(run, first window, windows, bucket) of the parts of runs whose windows agree in the least string before and after the anchor.
+
+    A window's strings are those that begin ASIDE bytes or more from the anchor's beginning, so a bucket depends on the window alone.
+    """
+    width = 2 * WINDOW - 1
+    at = np.arange(width)
+    data = np.concatenate([raw, np.zeros(width + GRAM, np.uint8)])
+    data = BYTE[data[begin[:, None] + np.arange(width + GRAM - 1)]]
+    gram = np.zeros((len(begin), width), U64)
+    for k in range(GRAM):
+        gram += data[:, k : k + width] * GRAM_TURN[k]
+    gram = mix(gram)
+    before = np.where(at <= place[:, None] - ASIDE, gram, NO_GRAM)
+    before = np.minimum.accumulate(before[:, ::-1], axis=1)[:, ::-1]
+    after = np.minimum.accumulate(np.where(at >= place[:, None] + ASIDE, gram, NO_GRAM), axis=1)
+    run, window = _ranges(np.zeros(len(n), np.int64), n)
+    bucket = mix(mix(anchor[run].view(U64) ^ before[run, window]) + after[run, window + WINDOW - 1]).view(np.int64)
+    head = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (bucket[1:] != bucket[:-1])])) if len(run) else run
+    return run[head], window[head], np.diff(np.append(head, len(run))), bucket[head]
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +363,16 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = np.repeat(np.arange(hi - lo), np.diff(lists.offsets.to_numpy()))
             first, n, place = unpacked(run)
             ok = (n > 0) & (first + n - 1 + LENGTH <= np.diff(off)[text])
+            many = run[ok] >> SPLIT > 0
             anchor, text, first, n, place = anchor[ok], text[ok], first[ok], n[ok], place[ok]
+            if many.any():
+                rest = [c[~many] for c in (anchor, text, first, n, place)]
+                anchor, text, first, n, place = (c[many] for c in (anchor, text, first, n, place))
+                for a in range(0, len(text), 2000):
+                    r, skip, size, bucket = narrowed(raw, (off[text] + first)[a : a + 2000], n[a : a + 2000], place[a : a + 2000], anchor[a : a + 2000])
+                    r += a
+                    rest = [np.concatenate(x) for x in zip(rest, (bucket, text[r], first[r] + skip, size, place[r] - skip), strict=True)]
+                anchor, text, first, n, place = rest
             for a in range(0, len(text), 50_000):
                 part = slice(a, a + 50_000)
                 _, byte = _ranges((off[text] + first)[part], n[part] + LENGTH - 1)
