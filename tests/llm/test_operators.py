@@ -61,6 +61,30 @@ def test_fingerprints(plain, docs, texts):
     assert fingerprints.fingerprints_and_edits(docs.where("false")).count() == 0
 
 
+def test_next_documents_of_ties_and_rows_without_id(spark):
+    """Ranges are few or many, some documents share a doc_id, others have none: every row meets the row that follows it in the order."""
+    rng = random.Random(23)
+    rows = [(rng.choice([None, 7, rng.randrange(-50, 1 << 40), rng.randrange(90)]), sentences(rng, 1) + str(i)) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    order = [(r.doc_id, r.text) for r in sorted(table.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))]
+    want = sorted((len(t), hashlib.sha256(fingerprints.edited(t, order[(i + 1) % len(order)][1]).encode()).hexdigest()) for i, (_, t) in enumerate(order))
+    for parts in ("1", "4", "60"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = fingerprints.fingerprints_and_edits(table.drop("h")).select("n_chars", "edited_sha256").collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert sorted(map(tuple, got)) == want
+
+
+def test_ranges_by_two_look_ups(spark):
+    bounds = [-900, *range(-500, 500, 7)]
+    for some in ([], bounds[:1], bounds[:2], bounds):
+        got = spark.range(-600, 600).select("id", fingerprints._range_of(F.col("id"), some).alias("at")).collect()
+        assert all(r["at"] == sum(b <= r["id"] for b in some) for r in got)
+
+
 def test_likeness_by_brute_force(plain, texts):
     """near_edited and near_next against a plain comparison of the nested pieces, and against difflib in order."""
     import difflib

@@ -9,9 +9,12 @@ A fingerprint is a string: root, '/', then leaves as hash.length, with ',' betwe
 between sections; inner nodes follow from the leaves. likeness() compares two fingerprints: branches with equal hashes
 match whole, what differs is compared one level down, and the result is the share of the bytes that match (Dice).
 
-pair_with_next() gives every document the next one by descending doc_id without a global sort in one task: doc_id is dealt
-into ranges by quantiles, as many as the texts' bytes ask for, each range is sorted in its own partition, and the first
-document of the following range is added to it. The text is shuffled once.
+pair_with_next() gives every document the next one by descending doc_id without a global sort in one task: documents are dealt
+into ranges of doc_id by quantiles (those without one by the hash of their text), each range is sorted in its own
+partition, and the first document of the following range is added to it. The text is shuffled once. Like the bounds of
+Spark's own range partitioning, the quantiles are bounded by the number of partitions, not by the rows: there are as many ranges as
+the texts' bytes ask for up to MOST_RANGES, and beyond that as many as spark.sql.shuffle.partitions says. A row finds its
+range in two look-ups, of about the square root of their number.
 
 Edge cases: a null text is empty; two empty texts are alike (1.0), an empty and another are not (0.0); a single row is
 its own next; rows without doc_id come last; rows of equal doc_id are ordered by a hash of their text; an empty table
@@ -21,6 +24,7 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -28,8 +32,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from trailknit.llm import common
 
@@ -37,7 +42,7 @@ PIECE = re.compile(rb"[^.!?]*(?:[.!?]+\s*|\Z)")
 WORD = re.compile(rb"\S*\s*")
 LONG_PIECE, PIECE_TURN, SECTION_TURN = 200, 8, 8
 NODE_BYTES = 16
-TASK_BYTES = 16 << 20
+TASK_BYTES, MOST_RANGES = 16 << 20, 10_000
 
 
 def _hash(kind: bytes, data: bytes) -> bytes:
@@ -151,21 +156,35 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def _range_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at most the key: found by every step-th bound first, then within a step."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    # a text is one constant of the plan, where an array of numbers would be an expression for each
+    constant = lambda numbers: F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+    at = F.size(F.filter(constant(bounds[::step]), lambda b: b <= key))
+    within = F.size(F.filter(F.slice(constant(bounds), (at - 1) * step + 1, step), lambda b: b <= key))
+    return F.when(at == 0, 0).otherwise((at - 1) * step + within)
+
+
 def pair_with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) and, as extra rows with head, the first document of the range that follows; dealt by range and sorted."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = common.partitions(spark, -(-size // TASK_BYTES))
+    n = common.partitions(spark, min(-(-size // TASK_BYTES), MOST_RANGES))
     found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 4 * n))).first()[0] or []
-    bounds = F.array(*[F.lit(b).cast("long") for b in sorted(set(found))]) if found else F.array().cast("array<bigint>")
-    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id")))))
-    # one row a range: bounded by the number of partitions
-    tops = sorted(((r["part"], r["top"]) for r in rows.groupBy("part").agg(F.max("doc_id").alias("top")).collect()), reverse=True)
-    schema = "top_part int, top long, part int"
-    follow = spark.createDataFrame([(*tops[(i + 1) % len(tops)], tops[i][0]) for i in range(len(tops))], schema) if tops else spark.createDataFrame([], schema)
-    first = rows.withColumnRenamed("part", "top_part").join(F.broadcast(follow), "top_part").where(F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = first.groupBy("part").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    share = F.shiftright((F.shiftright(F.xxhash64("text"), 32) + (1 << 31)) * n, 32).cast("int")
+    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), -1 - share).otherwise(_range_of(F.col("doc_id"), sorted(set(found)))))
+    place = F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), F.bitwise_not(F.xxhash64("text")).alias("tie"))
+    tops = rows.groupBy("part").agg(F.max(place).alias("top"))
+    # one row a range, and the first range follows the last
+    order = W.orderBy(F.desc("part"))
+    after = F.coalesce(F.lead(F.struct("part", "top")).over(order), F.first(F.struct("part", "top")).over(order))
+    follow = tops.select("part", after.alias("after")).select("part", F.col("after.part").alias("source"), F.col("after.top").alias("top"))
+    first = rows.withColumnRenamed("part", "source").join(F.broadcast(follow), "source").where(place == F.col("top"))
+    heads = first.groupBy("part").agg(F.first("text").alias("text"))
     both = rows.select("part", "doc_id", "text", F.lit(False).alias("head")).union(heads.select("part", F.lit(None).cast("long"), "text", F.lit(True)))
     return both.repartition(n, "part").sortWithinPartitions(F.desc("part"), "head", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
 
