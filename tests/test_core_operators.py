@@ -93,3 +93,11 @@ def test_moved_together_on_planted_moves(spark):
     assert {(r.from_group, r.to_group, r.gap_min, r.n_shared) for r in moves.collect()} == {(0, 1, 70, 2), (2, 3, 70, 3)}
     got = {(r.u1, r.u2): (r.n_transitions, r.weight_idf) for r in G.moved_together(moves, rarity).collect()}
     assert got == {(1, 2): (2, 1.375), (1, 3): (1, 0.625), (2, 3): (1, 0.625)}
+
+
+def test_a_target_never_stands_above_itself(spark):
+    """Scores that come out a little different whenever they're worked out, as sums of doubles in another order do."""
+    near = F.udf(lambda i: i + random.SystemRandom().random() * 1e-9, "double").asNondeterministic()
+    scores = spark.range(60).selectExpr("id as example", "explode(sequence(1, 5)) as item", "3 as target").repartition(3).withColumn("score", near("item"))
+    got = E.ranks(scores.union(spark.createDataFrame([(99, 1, 7, 1.0)], scores.schema)), "example", "item", "score", "target").collect()
+    assert sorted((r.example, r.rank) for r in got) == [(i, 3) for i in range(60)]
