@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
+from trailknit import plans
 from trailknit.operators import evaluation as E
 from trailknit.operators import graph as K
 from trailknit.operators import groups as G
@@ -62,3 +65,35 @@ def test_empty(spark):
     c = visits(spark, [(1, 0, 1)]).where("false")
     assert G.ephemeral_groups(c).count() == 0
     assert G.with_group_ids(G.ephemeral_groups(c)).count() == 0
+
+
+def test_windows_over_slices_of_time(spark, monkeypatch):
+    """Windows that reach over one slice and more, in places that are quiet, full, or always visited by the same few."""
+    rng = random.Random(8)
+    monkeypatch.setattr(G, "SLICE", 61)
+    rows = [(1, rng.randrange(-300, 900), rng.randrange(40)) for _ in range(120)] + [(2, rng.randrange(200), rng.randrange(60)) for _ in range(400)] + [(3, rng.randrange(300), rng.randrange(3)) for _ in range(300)]
+    got = [(r.poi_idx, r.start_minute, r.end_minute, tuple(r.members)) for r in G.ephemeral_groups(visits(spark, [*rows, (None, 5, 1)]).union(visits(spark, [(1, 5, None), (1, None, 4)]))).collect()]
+    want = []
+    for p in (1, 2, 3):
+        own = sorted((m, u, i) for i, (q, m, u) in enumerate(rows) if q == p)
+        cand = []
+        for i, (t, _, _) in enumerate(own):
+            some = [x for x in own[i:] if x[0] <= t + 60]
+            m = tuple(sorted({u for _, u, _ in some}))
+            if 2 <= len(m) <= 8:
+                cand.append((-len(m), t, i, some[-1][0], m))
+        kept = []
+        for _, t0, _, t1, m in sorted(cand):
+            if not any(set(m) <= set(k[2]) and not (t1 < k[0] or t0 > k[1]) for k in kept):
+                kept.append((t0, t1, m))
+        want += [(p, *k) for k in kept]
+    assert sorted(got) == sorted(want) and {p for p, *_ in want} >= {1, 3}
+
+
+def test_audits_find_groups_once(spark, monkeypatch):
+    calls, find = [], G.ephemeral_groups
+    monkeypatch.setattr(G, "ephemeral_groups", lambda *a, **k: (calls.append(1), find(*a, **k))[1])
+    for name in ("audits", "planted_audits"):
+        calls.clear()
+        plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert len(calls) == 1
