@@ -144,3 +144,20 @@ def test_all_nearest_by_a_plain_loop(spark, metric):
         assert sorted((v, j) for (k, j), v in got.items() if k == i) == want
     c = counts.first()
     assert c.n_points == len(x) and 0 < c.n_candidates < len(x) ** 2
+    tiled, again = M.all_nearest(spark.createDataFrame([*enumerate(x)], "id long, x array<double>"), "id", "x", 4, metric, pivots=6, block=16, tile=40)
+    assert {(r.id, r.neighbour): r.distance for r in tiled.collect()} == got and again.first() == c
+
+
+@pytest.mark.parametrize("metric, many, tile", [("hyperbolic", 5, 20), ("euclidean", 5, 20), ("euclidean", 1000, 1000)])
+def test_nearest_to_queries_by_a_plain_loop(spark, metric, many, tile):
+    """Equal points are equally far, though a product of their vectors may tell them apart."""
+    x = [[rng.uniform(-0.5, 0.5) for _ in range(3)] for _ in range(60)]
+    x += [x[3], x[3], x[6], *[x[9]] * 8]
+    df = spark.createDataFrame([*enumerate(x), (999, None)], "id long, x array<double>")
+    got = sorted(tuple(r) for r in M.nearest_to(df, df.where("id % 3 = 0"), "id", "x", 4, metric, many, tile).select("id", "distance", "neighbour").collect())
+    want = []
+    for i in range(0, len(x), 3):
+        gap = [float(((np.array(x[i]) - np.array(y)) ** 2).sum()) for y in x]
+        far = [g**0.5 if metric == "euclidean" else np.arccosh(max(1 + 2 * g / ((1 - np.dot(x[i], x[i])) * (1 - np.dot(y, y))), 1 + 1e-7)) for g, y in zip(gap, x, strict=True)]
+        want += [(i, round(float(d), 9), j) for d, j in sorted((round(float(d), 9), j) for j, d in enumerate(far) if j != i)[:4]]
+    assert [(i, j) for i, _, j in got] == [(i, j) for i, _, j in sorted(want)] and np.allclose([d for _, d, _ in got], [d for _, d, _ in sorted(want)], atol=2e-9)
