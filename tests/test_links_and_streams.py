@@ -161,3 +161,13 @@ def test_nearest_to_queries_by_a_plain_loop(spark, metric, many, tile):
         far = [g**0.5 if metric == "euclidean" else np.arccosh(max(1 + 2 * g / ((1 - np.dot(x[i], x[i])) * (1 - np.dot(y, y))), 1 + 1e-7)) for g, y in zip(gap, x, strict=True)]
         want += [(i, round(float(d), 9), j) for d, j in sorted((round(float(d), 9), j) for j, d in enumerate(far) if j != i)[:4]]
     assert [(i, j) for i, _, j in got] == [(i, j) for i, _, j in sorted(want)] and np.allclose([d for _, d, _ in got], [d for _, d, _ in sorted(want)], atol=2e-9)
+
+
+def test_heads_travel_once_for_all_their_tails(model, monkeypatch):
+    """29 tails of one head are one row beside its point."""
+    *_, e, r, t = model
+    written, cut = {}, L.cut
+    monkeypatch.setattr(L, "cut", lambda df, name: written.setdefault(name, cut(df, name)))
+    L.tail_ranks(t, t, e, r).count()
+    assert all(df.count() == df.select("h", "r").distinct().count() for df in written.values() if "point" in df.columns)
+    assert any("point" in df.columns for df in written.values())
