@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -42,6 +43,23 @@ def test_preference_descent(spark):
     assert {r.node for r in K.prefers_category(c, venues).collect()} == {"A", "A>B", "A>B>C"}
 
 
+def test_active_pairs_in_bounded_tasks(spark, tmp_path, monkeypatch):
+    """More rows make more tasks that count pairs, not larger ones, and rows are not sorted to meet venues and users."""
+    monkeypatch.setattr(P, "ROWS_A_TASK", 1000, raising=False)
+    rows = [(p, u) for p in range(300) for u in range(40)] + [(0, 0)] * 5 + [(999, u) for u in range(9)] + [(p, 77) for p in range(29)] + [(p, 78) for p in range(30)] + [(None, 1)] * 40 + [(2, None)] * 40
+    table = spark.createDataFrame(rows, "l_partkey long, l_suppkey long")
+    table.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = plans.QUERIES["activity_filter"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.poi_idx, r.user_id): r.n for r in found} == Counter((p, u) for p, u in rows if p not in (None, 999) and u not in (None, 77))
+    assert len(found) == 12030 and max(Counter(r.task for r in found).values()) <= 2000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = P.activity_filter(table, 10, 30, "l_partkey", "l_suppkey")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan
+
+
 def test_split_floor(spark):
     c = visits(spark, [(1, i, u) for u, n in ((1, 1), (2, 2), (3, 10)) for i in range(n)])
     got = {(r.user_id, r.split): r["count"] for r in P.chronological_split(c).groupBy("user_id", "split").count().collect()}

@@ -11,6 +11,8 @@ from trailknit.operators import ordering as O
 from trailknit.operators.scratch import cut
 
 TRAIN, VAL = 0.7, 0.1
+#: Rows that one task counts by key, if most keys are rare: about 0.1 GB of its memory.
+ROWS_A_TASK = 1 << 19
 
 
 def in_box(df: DataFrame, box: tuple[float, float, float, float], lat: str = "latitude", lon: str = "longitude") -> DataFrame:
@@ -20,11 +22,20 @@ def in_box(df: DataFrame, box: tuple[float, float, float, float], lat: str = "la
 
 
 def activity_filter(checkins: DataFrame, min_venue: int = 10, min_user: int = 30, venue: str = "poi_idx", user: str = "user_id") -> DataFrame:
-    """Venues with enough check-ins, and then users with enough of what is left; one pass each, venues first."""
+    """Venues with enough check-ins, and then users with enough of what is left; one pass each, venues first.
+
+    Tasks hold the venues and users, of which each has min_venue or min_user check-ins, and stream the check-ins past them unsorted.
+    """
     venues = checkins.groupBy(venue).count().where(F.col("count") >= min_venue).select(venue)
-    left = checkins.join(venues, venue, "left_semi")
+    left = checkins.join(venues.hint("shuffle_hash"), venue, "left_semi")
     users = left.groupBy(user).count().where(F.col("count") >= min_user).select(user)
-    return left.join(users, user, "left_semi")
+    return left.join(users.hint("shuffle_hash"), user, "left_semi")
+
+
+def key_counts(df: DataFrame, keys: list[str], rows: int, out: str = "n") -> DataFrame:
+    """(keys, out): how many rows have each key. df has `rows` rows at most, and is dealt by key into parts of some ROWS_A_TASK, as a task may hold as many keys as rows."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
+    return df.repartition(n, *keys).groupBy(*keys).agg(F.count("*").alias(out))
 
 
 def compact_ids(df: DataFrame, raw: str, new: str, numeric: bool = True) -> DataFrame:

@@ -51,7 +51,7 @@ def fraction_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 u AS (SELECT l_suppkey FROM a GROUP BY 1 HAVING count(*) >= 30) SELECT l_partkey AS poi_idx, l_suppkey AS user_id, count(*) AS n FROM a WHERE l_suppkey IN (SELECT l_suppkey FROM u) GROUP BY 1, 2""")
 def activity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("poi_idx"), F.col("l_suppkey").alias("user_id"))
-    return P.activity_filter(rows).groupBy("poi_idx", "user_id").agg(F.count("*").alias("n"))
+    return P.key_counts(P.activity_filter(rows), ["poi_idx", "user_id"], rows.count())
 
 
 @query(T.sql(T.CHECKINS, T.VENUES, select=f"SELECT poi_idx, category, locality FROM venues WHERE latitude BETWEEN {BOX[0]} AND {BOX[1]} AND longitude BETWEEN {BOX[2]} AND {BOX[3]}"))
