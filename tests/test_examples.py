@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from trailknit.functions import hyperbolic as H
@@ -106,3 +110,37 @@ def test_text_of_an_example(spark):
     )
     plain = N.example_texts(visits, "train", profiles=False).collect()
     assert [(r.user_id, r.text) for r in plain] == [(1, N.HEAD + "[recent check-ins]\n<poi_7> (Bar, 9:00)\n[current time] Monday 21:00\n[next POI] ")]
+
+
+def test_reasons_and_distances_by_a_plain_loop(spark, monkeypatch):
+    """Many check-ins in one minute, and members who come to the anchor's history late."""
+    rng = random.Random(5)
+    rows = [(i, u, rng.randrange(12 if u < 4 else 40), rng.randrange(4), rng.choice("ABC")) for i, u in enumerate(rng.choice(range(7)) for _ in range(150))]
+    visits = spark.createDataFrame([(*r, r[2] % 24) for r in rows], "event_id long, user_id long, minute long, poi_idx long, prefix string, hour int")
+    asked = [("r", u, p, rng.randrange(45), rng.choice("ABC"), [u, *rng.sample([v for v in range(8) if v != u], rng.randrange(1, 4))]) for u in range(8) for p in range(25)]
+    offers = spark.createDataFrame(asked, "regime string, user_id long, pos int, minute long, prefix string, members array<long>").withColumns({"poi_idx": F.lit(1), "split": F.lit("train"), "utc_time": F.lit(None).cast("timestamp_ntz")})
+    reasons, apart = {}, {}
+    for _, u, p, t, wanted, members in asked:
+        before = {m: sorted((r for r in rows if r[1] == m and r[2] < t), key=lambda r: (r[2], r[0])) for m in members}
+        joint = sorted((r[2], r[3], r[2] % 24, m) for m in members for r in before[m][-3:])[-3:]
+        tests = (any(all(r[4] != wanted for r in b) for b in before.values()), min(map(len, before.values())) < 2, not joint, all(x[3] == u for x in joint))
+        reasons[u, p] = next((r for r, failed in zip(X.REASONS[1:], tests, strict=True) if failed), "emitted")
+        w = [Counter(r[4] for r in b) for b in before.values()]
+        dot = lambda a, b: sum(a[k] * b[k] for k in a) / (sum(x * x for x in a.values()) * sum(x * x for x in b.values())) ** 0.5
+        if reasons[u, p] == "emitted":
+            d = [1 - dot(a, b) for i, a in enumerate(w) for b in w[:i]]
+            apart[u, p] = sum(d) / len(d)
+    assert set(reasons.values()) == {"constraint", "inactive", "anchor_only", "emitted"}
+    tested = X.tested_offers(offers, visits, min_active=2, length=3)
+    assert {(r.user_id, r.pos): r.reason for r in tested.collect()} == reasons
+    monkeypatch.setattr(X, "member_profiles", None)  # distances need no texts of profiles
+    got = {(r.user_id, r.pos): r.heterogeneity for r in X.heterogeneous(tested, visits, width=7).collect()}
+    assert got.keys() == apart.keys() and all(abs(got[k] - apart[k]) < 6e-5 for k in apart)
+
+
+def test_an_example_in_two_batches(monkeypatch):
+    rows = [(0, [1, 2], [3, 4]), (0, [1, 2], [3, 4]), (3, [1], [2]), (3, [2], [5]), (3, [1], [1]), (9, [7], [1])]
+    kinds = pa.schema([("example_id", pa.int64()), ("keys", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in some], kinds) for some in (rows[:1], rows[1:3], [], rows[3:4], rows[4:])]
+    got = {r["example_id"]: round(r["apart"], 9) for b in X._fold_apart(iter(batches)) for r in b.to_pylist()}
+    assert got == {0: 0.0, 3: round(2 / 3, 9), 9: 0.0}
