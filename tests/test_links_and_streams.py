@@ -171,3 +171,18 @@ def test_heads_travel_once_for_all_their_tails(model, monkeypatch):
     L.tail_ranks(t, t, e, r).count()
     assert all(df.count() == df.select("h", "r").distinct().count() for df in written.values() if "point" in df.columns)
     assert any("point" in df.columns for df in written.values())
+
+
+@pytest.mark.parametrize("metric", ["hyperbolic", "euclidean"])
+def test_the_nearest_are_measured_alone(monkeypatch, metric):
+    """Of 300 others each, some equally far, few distances are worked out; ties go by id."""
+    r = np.random.default_rng(3)
+    x = np.repeat(r.normal(size=(100, 4)), 3, axis=0) * 0.1
+    ids, want, d = np.arange(300), [], M.distances(x, x, metric)
+    for i in range(300):
+        want += [(i, j, d[i, j]) for j in sorted((j for j in range(300) if j != i), key=lambda j: (d[i, j], j))[:5]]
+    far, seen = M._far, []
+    monkeypatch.setattr(M, "_far", lambda gap, *more: (seen.append(gap.size), far(gap, *more))[1])
+    got = M._best(ids, ids, x, x, 5, metric)
+    assert list(got[["id", "neighbour"]].itertuples(index=False, name=None)) == [w[:2] for w in want]
+    assert np.allclose(got["distance"], [w[2] for w in want], atol=1e-9) and sum(seen) < 300 * 300 / 2
